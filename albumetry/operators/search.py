@@ -98,11 +98,19 @@ def rerank(hits: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     return score_hits(hits, weights).withColumn("hybrid_rank", F.row_number().over(w))
 
 
-def judge_hits(scored: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Intent check, match type, boost and final score; invalid hits are dropped."""
-    out = scored.withColumn("_i", I.classify(F.col("query_text"), whole_word))
-    out = out.withColumns({"intent": F.col("_i.intent"), "entity": F.col("_i.entity")}).drop("_i")
-    out = out.withColumn(
+def with_intent(queries: DataFrame, whole_word: bool = False) -> DataFrame:
+    """Intent and entity once per query, before any hit is joined."""
+    out = queries.withColumn("_i", I.classify(F.col("query_text"), whole_word))
+    return out.withColumns({"intent": F.col("_i.intent"), "entity": F.col("_i.entity")}).drop("_i")
+
+
+def judge_hits(reranked: DataFrame) -> DataFrame:
+    """Intent check, match type, boost and final score per hit.
+
+    ``is_hit`` is false for hits to drop; they are dropped by ``page`` after its
+    window, so that the checks are evaluated once and not again in a filter.
+    """
+    out = reranked.withColumn(
         "_v",
         I.validate(
             F.col("intent"), F.col("entity"), F.col("hybrid_score"), F.col("document_type"),
@@ -110,18 +118,19 @@ def judge_hits(scored: DataFrame, whole_word: bool = False) -> DataFrame:
         ),
     )
     valid = F.col("_v.is_valid")
-    confirmed = valid & ((F.size("_v.reasons") > 0) | F.col("_v.confidence").isin("Very High", "High"))
+    sure = valid & ((F.size("_v.reasons") > 0) | F.col("_v.confidence").isin("Very High", "High"))
+    out = out.withColumns({"is_hit": valid | (F.col("intent") == "GENERAL"), "_sure": sure})
+    sure = F.col("_sure")
     return (
-        out.filter(valid | (F.col("intent") == "GENERAL"))
-        .withColumn("match_type", F.when(confirmed, "Confirmed").otherwise("Similar"))
-        .withColumn("confidence_level", F.when(confirmed, F.col("_v.confidence")).otherwise("Similar"))
+        out.withColumn("match_type", F.when(sure, "Confirmed").otherwise("Similar"))
+        .withColumn("confidence_level", F.when(sure, F.col("_v.confidence")).otherwise("Similar"))
         .withColumn(
             "all_reasons",
-            F.when(confirmed, F.concat("boost_reasons", "_v.reasons"))
+            F.when(sure, F.concat("boost_reasons", "_v.reasons"))
             .otherwise(F.array(F.lit("Visual & semantic vector similarity match"))),
         )
-        .withColumn("final_score", F.round(F.col("hybrid_score") + F.when(confirmed, vocab.CONFIRMED_BOOST).otherwise(0.0), 6))
-        .drop("_v")
+        .withColumn("final_score", F.round(F.col("hybrid_score") + F.when(sure, vocab.CONFIRMED_BOOST).otherwise(0.0), 6))
+        .drop("_v", "_sure")
     )
 
 
@@ -132,13 +141,14 @@ def page(judged: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     """
     per_query = Window.partitionBy("query_id")
     order = per_query.orderBy(
-        F.col("final_score").desc(), F.col("hybrid_score").desc(), F.col("score").desc(), F.col("asset_id")
+        F.col("is_hit").desc(), F.col("final_score").desc(), F.col("hybrid_score").desc(),
+        F.col("score").desc(), F.col("asset_id"),
     )
-    on_page = (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
-    similar = F.sum(F.when(on_page & (F.col("match_type") == "Similar"), 1).otherwise(0)).over(per_query)
+    on_page = F.col("is_hit") & (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
+    similar = F.count_if(on_page & (F.col("match_type") == "Similar")).over(per_query)
     return (
         judged.withColumn("rank", F.row_number().over(order))
-        .withColumn("total", F.count("*").over(per_query))
+        .withColumn("total", F.count_if(F.col("is_hit")).over(per_query))
         .withColumn("total_similar", similar)
         .filter(on_page)
         .withColumn(
@@ -161,7 +171,7 @@ def candidates(queries: DataFrame, vectors: DataFrame, assets: DataFrame, record
     missing = {c: F.lit(None).cast("boolean" if c == "is_indoor" else "string")
                for c in RECORD_COLUMNS if c not in records.columns}
     return (
-        hits.join(queries.select("query_id", "query_text"), "query_id")
+        hits.join(queries.drop("embedding"), "query_id")
         .join(active, "asset_id").join(wide, "asset_id", "left").withColumns(missing)
     )
 
@@ -175,9 +185,9 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, assets: DataFrame, rec
     queries: query_id, query_text, embedding. Blank query texts return no rows
     (see ``blank_queries``).
     """
-    asked = queries.filter(X.strip(F.col("query_text")) != "")
+    asked = with_intent(queries.filter(X.strip(F.col("query_text")) != ""), whole_word)
     hits = candidates(asked, vectors, assets, records, pool, prefilter)
-    return page(judge_hits(score_hits(hits, weights), whole_word), limit, offset)
+    return page(judge_hits(rerank(hits, weights)), limit, offset)
 
 
 def blank_queries(queries: DataFrame) -> DataFrame:
@@ -189,11 +199,9 @@ def blank_queries(queries: DataFrame) -> DataFrame:
 
 def empty_messages(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Message per query that found nothing (general queries give none)."""
-    unmatched = queries.join(results.select("query_id").distinct(), "query_id", "left_anti")
-    out = unmatched.withColumn("_i", I.classify(F.col("query_text")))
-    return out.filter(F.col("_i.intent") != "GENERAL").select(
-        "query_id",
-        I.empty_message(F.col("query_text"), F.col("_i.intent"), F.col("_i.entity")).alias("message"),
+    unmatched = with_intent(queries).join(results.select("query_id").distinct(), "query_id", "left_anti")
+    return unmatched.filter(F.col("intent") != "GENERAL").select(
+        "query_id", I.empty_message(F.col("query_text"), F.col("intent"), F.col("entity")).alias("message")
     )
 
 
