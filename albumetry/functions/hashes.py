@@ -32,28 +32,32 @@ def hamming(a: Column, b: Column) -> Column:
 
 def ahash64(grid: Column) -> Column:
     """Mean-threshold hash of an 8×8 grey grid, first pixel in the top bit."""
-    total = F.aggregate(grid, F.lit(0.0), lambda acc, x: acc + x)
-    return bits_hex(
-        let(
+    def packed(g: Column) -> Column:
+        total = F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x)
+        return let(
             total,
             lambda t: F.aggregate(
-                grid,
+                g,
                 F.lit(0).cast("long"),
                 lambda acc, x: F.shiftleft(acc, 1).bitwiseOR((x * 64 >= t).cast("long")),
             ),
         )
-    )
+
+    return bits_hex(let(grid, packed))
 
 
 def dhash64(grid: Column) -> Column:
     """Left-greater-than-right hash of 8 rows of 9 grey values, first bit lowest."""
 
-    def step(acc: Column, i: Column) -> Column:
-        at = F.floor(i / 8).cast("int") * 9 + i % 8
-        bit = (F.get(grid, at) > F.get(grid, at + 1)).cast("long")
-        return acc.bitwiseOR(F.call_function("shiftleft", bit, i))
+    def packed(g: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            at = F.floor(i / 8).cast("int") * 9 + i % 8
+            bit = (F.get(g, at) > F.get(g, at + 1)).cast("long")
+            return acc.bitwiseOR(F.call_function("shiftleft", bit, i))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step)
 
-    return bits_hex(F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step))
+    return bits_hex(let(grid, packed))
 
 
 def valid_signature(content: Column) -> Column:

@@ -80,7 +80,7 @@ def dms_to_decimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
 
 def _aperture(c: Column) -> Column:
     number = c.try_cast("double")
-    return F.when(number.isNotNull(), F.format_string("f/%.2f", number)).otherwise(c)
+    return F.when(number.isNotNull(), F.format_string("f/%.2f", F.bround(number, 2))).otherwise(c)
 
 
 def _exif_time(c: Column) -> Column:

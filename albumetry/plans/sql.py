@@ -57,7 +57,7 @@ def grid(c: str, cells: int = 64) -> str:
 
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
-NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 CTES = {
     "assets": f"""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from albumetry import vocab
 from albumetry.functions.hashes import ahash64
+from albumetry.functions.text import let
 
 EPOCH = "2024-01-01 00:00:00"
-NOW = "2024-01-31 00:00:00"
+NOW = "2024-02-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +42,16 @@ def words(text: Column, low: int, high: int) -> Column:
     )
 
 
-def letter_grid(text: Column, cells: int = 64) -> Column:
-    """Count of the letter e in equal slices of the whole text: a small raster."""
-    n = F.length(text)
+def letter_grid(text: Column, n: Column, cells: int = 64) -> Column:
+    """Count of the letter e in equal slices of the whole text of n characters: a small raster."""
 
     def cell(i: Column) -> Column:
         lo = F.floor(i * n / cells).cast("int")
         hi = F.floor((i + 1) * n / cells).cast("int")
-        part = F.substring(text, lo + 1, hi - lo)
-        return (F.length(part) - F.length(F.replace(part, F.lit("e"), F.lit("")))).cast("double")
+        return let(
+            F.substring(text, lo + 1, hi - lo),
+            lambda part: (F.length(part) - F.length(F.replace(part, F.lit("e"), F.lit("")))).cast("double"),
+        )
 
     return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
 
@@ -83,7 +85,7 @@ def assets(spark: SparkSession, sf_dir: str, content_hash: bool = False, p_hash:
     if content_hash:
         cols["file_hash"] = F.sha2("text", 256)
     if p_hash:
-        cols["p_hash"] = ahash64(letter_grid(F.col("text")))
+        cols["p_hash"] = ahash64(letter_grid(F.col("text"), F.col("n_chars")))
     return docs.join(labels, "doc_id", "left").select(*[c.alias(k) for k, c in cols.items()])
 
 
