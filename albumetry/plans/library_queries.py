@@ -15,7 +15,7 @@ from albumetry.operators import quality as Q
 from albumetry.operators import records as R
 from albumetry.plans import views as W
 from albumetry.plans.registry import epoch, joined, query
-from albumetry.plans.sql import NOW, any_in, grid, one_of, strip, texts, with_views
+from albumetry.plans.sql import NOW, any_in, exact_round, grid, one_of, strip, texts, with_views
 from albumetry.sources.files import category_counts
 
 US = "epoch_us"
@@ -46,7 +46,7 @@ def hydrate(spark, sf):
     return out.select("asset_id", "filename", F.col("width").cast("long").alias("width"), "scene", F.col("people_count").cast("long").alias("people_count"), "quality_grade")
 
 
-@query("asset_detail", with_views("""SELECT a.asset_id, filename, status, caption, quality_grade, round(overall, 4) AS overall_score FROM assets a
+@query("asset_detail", with_views(f"""SELECT a.asset_id, filename, status, caption, quality_grade, {exact_round("overall", 4)} AS overall_score FROM assets a
     JOIN records r ON r.asset_id = a.asset_id LEFT JOIN quality q ON q.asset_id = a.asset_id
     WHERE a.asset_id IN (SELECT item_id FROM benchmark)""", "assets", "records", "quality"))
 def asset_detail(spark, sf):
@@ -380,16 +380,16 @@ def classical_result(spark, sf):
     return out.select("asset_id", "sharpness", "exposure", "resolution", "brightness", "blur_score")
 
 
-@query("fuse_providers", with_views("SELECT asset_id, sharpness, exposure, aesthetic::DOUBLE AS aesthetic, resolution, round(overall, 4) AS overall, confidence::DOUBLE AS confidence FROM assessed", "assessed"))
+@query("fuse_providers", with_views("SELECT asset_id, sharpness, exposure, aesthetic::DOUBLE AS aesthetic, resolution, round(overall, 6) AS overall, confidence::DOUBLE AS confidence FROM assessed", "assessed"))
 def fuse_providers(spark, sf):
     out = Q.fuse_providers(W.provider_results(spark, sf), W.PROVIDERS)
-    return out.select("asset_id", *[F.round(c, 4).alias(c) for c in ["sharpness", "exposure", "aesthetic", "resolution", "overall"]], "confidence")
+    return out.select("asset_id", *[F.round(c, 6).alias(c) for c in ["sharpness", "exposure", "aesthetic", "resolution", "overall"]], "confidence")
 
 
 ADVICE = "CASE i " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vocab.ISSUE_TEXTS.items()) + " END"
 
 
-@query("assess", with_views(f"""SELECT asset_id, round(overall, 4) AS overall_score, quality_grade, array_to_string(issues, '|') AS issues, brightness::DOUBLE AS brightness_score, blur_score,
+@query("assess", with_views(f"""SELECT asset_id, {exact_round("overall", 4)} AS overall_score, quality_grade, array_to_string(issues, '|') AS issues, brightness::DOUBLE AS brightness_score, blur_score,
     CASE WHEN len(issues) > 0 THEN 'This image ' || array_to_string(list_transform(issues, lambda i: {ADVICE}), ' and ') || '. Consider reviewing or replacing it.'
         WHEN quality_grade IN ('EXCELLENT', 'GOOD') THEN 'This image appears to be high quality with no detected problems.'
         ELSE 'Image quality is acceptable; no specific issues detected.' END AS recommendation FROM graded""", "graded"))

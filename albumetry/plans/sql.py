@@ -56,6 +56,11 @@ def grid(c: str, cells: int = 64) -> str:
     return f"list_transform(range({cells}), lambda i: length({part}) - length(replace({part}, 'e', '')))"
 
 
+def exact_round(c: str, digits: int) -> str:
+    """Half-up on the shortest decimal form of a double."""
+    return f"CAST(round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
+
+
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -159,8 +164,8 @@ CTES = {
                 CASE WHEN resolution < 0.5 / 12.0 THEN 'LOW_RESOLUTION' END], lambda i: i IS NOT NULL) END AS issues
         FROM assessed""",
     "quality": "SELECT * FROM graded WHERE labelled",
-    "items": """
-        SELECT a.*, h.p_hash, h.bits, r.* EXCLUDE (asset_id), q.quality_grade, q.issues, round(q.overall, 4) AS overall_score,
+    "items": f"""
+        SELECT a.*, h.p_hash, h.bits, r.* EXCLUDE (asset_id), q.quality_grade, q.issues, {exact_round('q.overall', 4)} AS overall_score,
             q.sharpness AS sharpness_score, q.exposure AS exposure_score, q.resolution AS resolution_score
         FROM assets a JOIN hashed h ON h.asset_id = a.asset_id JOIN records r ON r.asset_id = a.asset_id
         LEFT JOIN quality q ON q.asset_id = a.asset_id
