@@ -40,7 +40,7 @@ def norm_list(items: Column, limit: int) -> Column:
     """Lower-case, distinct, sorted, cut; null stays null."""
     clean = F.transform(items, lambda w: F.lower(strip(w)))
     kept = F.filter(clean, lambda w: w.isNotNull() & (w != "") & ~w.isin(vocab.NULL_WORDS))
-    return F.slice(F.array_sort(F.array_distinct(kept)), 1, limit)
+    return F.slice(F.sort_array(F.array_distinct(kept)), 1, limit)
 
 
 def norm_colours(items: Column, limit: int = vocab.LIST_LIMITS["dominant_colors"]) -> Column:

@@ -46,7 +46,7 @@ def hamming_histogram(items: DataFrame, pairs: int = 1_000, seed: int = 42) -> D
     coded = items.withColumn("code", hash_bits(F.col("p_hash"))).filter("code is not null")
     key = F.xxhash64(F.lit(seed), "asset_id")
     sample = coded.select(key.alias("k"), "asset_id", "code").orderBy("k", "asset_id").limit(2 * pairs)
-    numbered = sample.agg(F.array_sort(F.collect_list(F.struct("k", "asset_id", "code"))).alias("s")).select(
+    numbered = sample.agg(F.sort_array(F.collect_list(F.struct("k", "asset_id", "code"))).alias("s")).select(
         F.posexplode("s").alias("at", "r")
     )  # at most 2·pairs rows by the limit above
     paired = numbered.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumetry import vocab
 from albumetry.functions import records as R
+from albumetry.functions.text import let
 
 RECORD_FIELDS = [
     "caption", "detailed_description", "scene", "objects", "activities",
@@ -16,23 +17,30 @@ RECORD_FIELDS = [
 ]
 
 
+def _object(c: Column) -> Column:
+    """Cleaned text → variant if it is a JSON object, else null."""
+    return F.when(c.startswith("{"), F.try_parse_json(c))
+
+
 def parse_records(raw: DataFrame, text: str = "response") -> DataFrame:
     """Adds ``record`` (variant) and ``parse_error``; exactly one is set."""
     clean = R.unfenced(F.col(text))
-    parsed = F.try_parse_json(F.col("_clean"))
-    record = F.when(F.col("_clean").startswith("{"), F.col("_json"))
-    return (
-        raw.withColumn("_clean", clean)
-        .withColumn("_json", parsed)
-        .withColumn("record", record)
-        .withColumn(
-            "parse_error",
-            F.when(F.col("_clean").isNull() | (F.col("_clean") == ""), "Empty response received from provider.")
-            .when(F.col("_json").isNull(), "Failed to parse JSON response")
-            .when(F.col("record").isNull(), "Provider response parsed to non-object JSON structure."),
-        )
-        .drop("_clean", "_json")
-    )
+    out = raw.withColumn("_clean", clean).withColumn("record", _object(F.col("_clean")))
+    empty = F.col("_clean").isNull() | (F.col("_clean") == "")
+    return out.withColumn(
+        "parse_error",
+        F.when(F.col("record").isNull(),
+               F.when(empty, "Empty response received from provider.")
+               .when(F.try_parse_json("_clean").isNull(), "Failed to parse JSON response")
+               .otherwise("Provider response parsed to non-object JSON structure.")),
+    ).drop("_clean")
+
+
+def parsed_only(raw: DataFrame, text: str = "response") -> DataFrame:
+    """Rows with a valid record. Exploding a list of at most one parses every
+    text once; a filter would be pushed down and parse it again."""
+    record = let(R.unfenced(F.col(text)), _object)
+    return raw.withColumn("record", F.explode(F.filter(F.array(record), lambda v: v.isNotNull())))
 
 
 def _number(path: str):
@@ -63,8 +71,7 @@ def normalise_records(raw: DataFrame, text: str = "response") -> DataFrame:
         is_object & ~has_tags,
         F.map_keys(R.field(v, "keywords", "map<string,variant>")),
     )
-    parsed = parse_records(raw, text).filter(F.col("parse_error").isNull()).drop("parse_error")
-    return parsed.select(
+    return parsed_only(raw, text).select(
         *[c for c in raw.columns if c != text],
         R.norm_string(R.field(v, "caption"), limit["caption"], True).alias("caption"),
         R.norm_string(R.field(v, "detailed_description"), limit["detailed_description"]).alias("detailed_description"),

@@ -62,7 +62,7 @@ def score_hits(hits: DataFrame, weights: dict[str, float] | None = None) -> Data
         total = total + F.lit(w[name]) * F.col(f"{name}_score")
 
     def listed(k: str, n: int, quote: bool = False) -> Column:
-        words = F.slice(F.array_sort(f"_m_{k}"), 1, n)
+        words = F.slice(F.sort_array(f"_m_{k}"), 1, n)
         if quote:
             words = F.transform(words, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
         return F.array_join(words, ", ")
@@ -275,7 +275,7 @@ def collection_preview(results: DataFrame, covers: int = 4) -> DataFrame:
         F.count_if(F.col("match_type") == "Confirmed").alias("confirmed"),
         F.count_if(F.col("match_type") == "Similar").alias("similar"),
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_place") <= covers, F.struct("_place", "asset_id")))),
+            F.sort_array(F.collect_list(F.when(F.col("_place") <= covers, F.struct("_place", "asset_id")))),
             lambda c: c["asset_id"],
         ).alias("covers"),
     )

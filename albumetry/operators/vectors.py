@@ -205,7 +205,7 @@ def prompt_aesthetics(vectors: DataFrame, prompts: DataFrame, tau: float) -> Dat
     """
     from albumetry.functions.vectors import dot, pair_probability
 
-    pairs = prompts.agg(F.array_sort(F.collect_list(F.struct("pair", "positive", "negative"))).alias("pairs"))
+    pairs = prompts.agg(F.sort_array(F.collect_list(F.struct("pair", "positive", "negative"))).alias("pairs"))
     shares = F.transform(
         "pairs",
         lambda p: pair_probability(dot(F.col("embedding"), p["positive"]), dot(F.col("embedding"), p["negative"]), tau),
@@ -222,7 +222,7 @@ def label_scores(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """
     from albumetry.functions.vectors import dot
 
-    table = labels.agg(F.array_sort(F.collect_list(F.struct("label_no", "label", F.col("embedding").alias("e")))).alias("labels"))
+    table = labels.agg(F.sort_array(F.collect_list(F.struct("label_no", "label", F.col("embedding").alias("e")))).alias("labels"))
     scored = vectors.join(F.broadcast(table)).select(
         "asset_id",
         F.transform(

@@ -548,7 +548,7 @@ def keyword_map(spark, sf):
     r = W.records(spark, sf).join(ahash(spark, sf), "asset_id")
     m = RF.keyword_map(F.col("scene"), F.col("objects"), F.col("dominant_colors"), F.col("p_hash"))
     out = r.select("asset_id", m.alias("m"))
-    words = F.array_sort(F.map_keys(F.map_filter("m", lambda k, v: v == str(vocab.KEYWORD_VALUE))))
+    words = F.sort_array(F.map_keys(F.map_filter("m", lambda k, v: v == str(vocab.KEYWORD_VALUE))))
     return out.select("asset_id", F.size("m").cast("long").alias("entries"), joined(words).alias("words"), F.try_element_at("m", F.lit("p_hash")).alias("p_hash"))
 
 

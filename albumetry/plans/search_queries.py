@@ -19,7 +19,7 @@ SCORE = "round(score, 6) AS score"
 @query("tokens", f"SELECT doc_id, len(t) AS n, array_to_string(list_sort(t), '|') AS tokens FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)")
 def tokens_query(spark, sf):
     d = W.table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n"), joined(F.array_sort("t")).alias("tokens"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), joined(F.sort_array("t")).alias("tokens"))
 
 
 DOT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -35,7 +35,7 @@ def vector_topk(spark, sf):
     """Nearest 20 to the mean of all vectors."""
     parts = W.table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    centre = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
     hits = V.top_k_batch(centre.withColumn("query_id", F.lit(0).cast("long")), W.vectors(spark, sf), 20)
     return hits.select("asset_id", F.round("score", 6).alias("score"))
 

@@ -13,8 +13,17 @@ EPOCH = "2024-01-01 00:00:00"
 NOW = "2024-02-01 00:00:00"
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table. Text tables that arrive in fewer pieces than there are
+    cores are spread over the cores; large inputs are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXT_TABLES[name])
+    return df
 
 
 def at(text: str) -> Column:
@@ -35,7 +44,7 @@ def _pick(c: Column, options: dict, default) -> Column:
 
 def words(text: Column, low: int, high: int) -> Column:
     """Distinct lower-case words of low..high letters, sorted."""
-    return F.array_sort(
+    return F.sort_array(
         F.array_distinct(
             F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.length(w) >= low) & (F.length(w) <= high))
         )
@@ -130,7 +139,7 @@ def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(
+    return means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select(
         "label", F.transform("v", lambda s: s["x"]).alias("embedding")
     )
 

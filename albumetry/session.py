@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # text work is heavy per byte: small shuffles still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
