@@ -67,7 +67,6 @@ def pixel_row(width: int, height: int, channels: int, data: bytes) -> tuple | No
     )
 
 
-@F.pandas_udf(PIXEL_FIELDS)
 def _pixel_fields(width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
     rows = [pixel_row(*r) for r in zip(width, height, channels, data)]
     names = [f.strip().split(" ")[0] for f in PIXEL_FIELDS.split(", ")]
@@ -81,7 +80,8 @@ def pixel_metrics(pixels: DataFrame) -> DataFrame:
     null hashes. Keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` low
     (for example 64), as rows hold whole images.
     """
-    out = pixels.withColumn("p", _pixel_fields("width", "height", "channels", "data")).drop("data")
+    read = F.pandas_udf(_pixel_fields, PIXEL_FIELDS)
+    out = pixels.withColumn("p", read("width", "height", "channels", "data")).drop("data")
     out = out.select("path", "width", "height", "channels", "p.*")
     good = F.col("brightness").isNotNull()
     raw = F.col("sharpness")
