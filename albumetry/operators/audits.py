@@ -15,7 +15,7 @@ from albumetry.functions.text import base_name
 from albumetry.operators import groups as G
 from albumetry.operators import pairs as P
 from albumetry.operators import recommend as R
-from albumetry.operators.scale import global_rank
+from albumetry.operators.scale import global_rank, lookup_join
 from albumetry.session import written
 
 BLOCK = 1024
@@ -73,7 +73,7 @@ def edit_pair_distances(items: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = folded.groupBy("base").agg(F.count("*").alias("codes")).filter("codes > 1").withColumn(
         "blocks", F.ceil(F.col("codes") / block).cast("int")
     )
-    placed = written(folded.join(sizes, "base"))
+    placed = written(lookup_join(folded, sizes, "base", "code", count="codes", how="inner"))
     # names of one block: joined in place, pairs go straight into the partial counts
     small = placed.filter("blocks = 1")
     x = small.select("base", F.col("code").alias("x"), F.col("n").alias("nx"))
@@ -118,19 +118,27 @@ def cross_image_pairs(items: DataFrame) -> DataFrame:
     """
     coded = items.select(base_name(F.col("filename")).alias("base"), hash_bits(F.col("p_hash")).alias("code")).filter("code is not null")
     folded = written(coded.groupBy("code", "base").agg(F.count("*").alias("n")))
-    codes = written(folded.groupBy("code").agg(F.sum("n").alias("items")))
+    codes = written(folded.groupBy("code").agg(F.sum("n").alias("items"), F.count("*").alias("bases")))
     found = P.hash_pairs(codes, vocab.NEAR_RADIUS)
-    a = folded.select(F.col("code").alias("code_a"), "base", F.col("n").alias("n_a"))
-    b = folded.select(F.col("code").alias("code_b"), "base", F.col("n").alias("n_b"))
-    same = found.join(a, "code_a").join(b, ["code_b", "base"]).groupBy("code_a", "code_b").agg(
-        F.sum(F.col("n_a") * F.col("n_b")).alias("same_base")
+    left = codes.select(F.col("code").alias("code_a"), F.col("items").alias("items_a"), F.col("bases").alias("bases_a"))
+    right = codes.select(F.col("code").alias("code_b"), F.col("items").alias("items_b"), F.col("bases").alias("bases_b"))
+    both = written(found.join(left, "code_a").join(right, "code_b"))
+    # shared base names are looked up from the hash that has fewer of them
+    swap = F.col("bases_b") < F.col("bases_a")
+    few = F.when(swap, F.col("code_b")).otherwise(F.col("code_a"))
+    many = F.when(swap, F.col("code_a")).otherwise(F.col("code_b"))
+    x = folded.select(F.col("code").alias("few"), "base", F.col("n").alias("nx"))
+    y = folded.select(F.col("code").alias("many"), "base", F.col("n").alias("ny"))
+    same = (
+        both.select("code_a", "code_b", few.alias("few"), many.alias("many"))
+        .join(x, "few").join(y, ["many", "base"])
+        .groupBy("code_a", "code_b").agg(F.sum(F.col("nx") * F.col("ny")).alias("same_base"))
     )
-    left = codes.select(F.col("code").alias("code_a"), F.col("items").alias("items_a"))
-    right = codes.select(F.col("code").alias("code_b"), F.col("items").alias("items_b"))
     pairs = F.col("items_a") * F.col("items_b") - F.coalesce("same_base", F.lit(0))
     return (
-        found.join(left, "code_a").join(right, "code_b").join(same, ["code_a", "code_b"], "left")
-        .withColumn("cross_pairs", pairs).drop("same_base").filter("cross_pairs > 0")
+        both.join(same, ["code_a", "code_b"], "left")
+        .select("code_a", "code_b", "distance", "items_a", "items_b", pairs.alias("cross_pairs"))
+        .filter("cross_pairs > 0")
     )
 
 
@@ -208,7 +216,6 @@ def group_funnel(items: DataFrame) -> DataFrame:
     exact, near and similar grouping."""
     base = written(G.copy_items(items))
     exact = written(R.exact_groups(items))
-    details = written(R.pair_details(items))
 
     def ranked(rows: DataFrame, grouped: DataFrame) -> DataFrame:
         return written(rows.select("id", "ord").join(grouped, "id", "left"))
@@ -227,7 +234,7 @@ def group_funnel(items: DataFrame) -> DataFrame:
         "compared": _pairs_seen(all_rows), "matched": taken(exact), "accepted": taken(exact), "groups": group_count(exact),
     })
     rest = base.join(exact.select("id"), "id", "left_anti")
-    close = written(P.attach_sides(P.near_items(rest, vocab.NEAR_RADIUS), details))
+    close = written(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), items))
     near = written(G.leader_groups(close.filter(P.near_valid())))
     near_rows = ranked(rest, near)
     out = out.unionByName(_funnel_rows("near", {
@@ -236,7 +243,7 @@ def group_funnel(items: DataFrame) -> DataFrame:
     }))
     rest = rest.join(near.select("id"), "id", "left_anti")
     far = written(P.near_items(rest, vocab.SIMILAR_RADIUS))
-    judged = P.similar_verdict(P.attach_sides(far, details)).filter("is_similar")
+    judged = P.similar_verdict(R.with_details(far, items)).filter("is_similar")
     similar = written(G.leader_groups(judged))
     similar_rows = ranked(rest, similar)
     return out.unionByName(_funnel_rows("similar", {

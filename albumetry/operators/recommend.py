@@ -81,11 +81,19 @@ def pair_details(items: DataFrame) -> DataFrame:
     return worded.select(F.col("asset_id").alias("id"), *[c for c in P.RULE_COLUMNS if c in worded.columns])
 
 
+def with_details(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Both sides' rule columns; words are split only for items that are in a pair."""
+    pairs = written(pairs)
+    paired = pairs.select(F.col("a_id").alias("asset_id")).unionByName(pairs.select(F.col("b_id").alias("asset_id"))).distinct()
+    details = written(pair_details(items.join(paired, "asset_id", "left_semi")))
+    return P.attach_sides(pairs, details)
+
+
 def near_pairs(items: DataFrame, exact: DataFrame) -> DataFrame:
     """Accepted near pairs among items outside exact groups, earlier item left."""
     rest = G.copy_items(items).join(exact.select("id"), "id", "left_anti")
     found = P.near_items(rest, vocab.NEAR_RADIUS)
-    return P.attach_sides(found, pair_details(items)).filter(P.near_valid())
+    return with_details(found, items).filter(P.near_valid())
 
 
 def near_groups(items: DataFrame, exact: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def similar_pairs(items: DataFrame, exact: DataFrame, near: DataFrame, keep_metr
     taken = exact.select("id").unionByName(near.select("id"))
     rest = G.copy_items(items).join(taken, "id", "left_anti")
     found = P.near_items(rest, vocab.SIMILAR_RADIUS)
-    judged = P.similar_verdict(P.attach_sides(found, pair_details(items)), keep_metric_keys)
+    judged = P.similar_verdict(with_details(found, items), keep_metric_keys)
     return judged.filter("is_similar").select(
         "a_id", "a_ord", "b_id", "b_ord", "distance", "consistency", "confidence", "reasons", "explanation"
     )

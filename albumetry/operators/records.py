@@ -71,8 +71,9 @@ def normalise_records(raw: DataFrame, text: str = "response") -> DataFrame:
         is_object & ~has_tags,
         F.map_keys(R.field(v, "keywords", "map<string,variant>")),
     )
+    kept = [c for c in raw.columns if c != text]
     return parsed_only(raw, text).select(
-        *[c for c in raw.columns if c != text],
+        *kept,
         R.norm_string(R.field(v, "caption"), limit["caption"], True).alias("caption"),
         R.norm_string(R.field(v, "detailed_description"), limit["detailed_description"]).alias("detailed_description"),
         R.norm_enum(R.field(v, "scene"), vocab.SCENES).alias("scene"),
@@ -90,10 +91,12 @@ def normalise_records(raw: DataFrame, text: str = "response") -> DataFrame:
         R.norm_string(R.field(v, "location_guess"), limit["location_guess"]).alias("location_guess"),
         R.norm_enum(R.field(v, "mood"), vocab.MOODS).alias("mood"),
         tags.alias("keyword_tags"),
-        F.when(tags.isNotNull(), F.array(F.lit("tags"))).otherwise(passed_on).alias("keyword_keys"),
+        passed_on.alias("keyword_keys"),
         F.when(is_object, R.field(v, "keywords.p_hash")).alias("p_hash"),
         R.norm_confidence(_number("ai_confidence")).alias("ai_confidence"),
         F.to_json(v).alias("raw_response"),
+    ).withColumn(
+        "keyword_keys", F.when(F.col("keyword_tags").isNotNull(), F.array(F.lit("tags"))).otherwise(F.col("keyword_keys"))
     )
 
 

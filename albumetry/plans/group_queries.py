@@ -25,6 +25,11 @@ def _items(spark, sf):
     return written(W.items(spark, sf))
 
 
+def _plain(spark, sf):
+    """Active assets with their hash, without records and quality."""
+    return written(C.active(W.assets(spark, sf, p_hash=True)))
+
+
 # --- SQL pieces --------------------------------------------------------------------------
 
 SCENE_OK = f"""(coalesce(a.scene, '') = '' OR coalesce(b.scene, '') = '' OR a.scene = b.scene
@@ -118,7 +123,7 @@ def clean_stem(spark, sf):
 
 @query("exact_groups", with_views("SELECT leader_id, id FROM exact", "exact"))
 def exact_groups(spark, sf):
-    return R.exact_groups(_items(spark, sf))
+    return R.exact_groups(_plain(spark, sf))
 
 
 @query("near_pairs", with_views("SELECT a_id, b_id, distance FROM close WHERE accepted", "worded", close=CLOSE))
@@ -134,7 +139,7 @@ def near_pairs(spark, sf):
 def rule_trace(spark, sf):
     items = _items(spark, sf)
     rest = G.copy_items(items).join(R.exact_groups(items).select("id"), "id", "left_anti")
-    out = P.rule_trace(P.attach_sides(P.near_items(rest, vocab.NEAR_RADIUS), R.pair_details(items)))
+    out = P.rule_trace(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), items))
     return out.select("a_id", "b_id", *[f"{n}_rule" for n in RULES], "decision")
 
 
@@ -210,7 +215,7 @@ BEST = """SELECT leader_id, id, score, reasons FROM (
 
 @query("keep_best", with_views(f"SELECT leader_id, id AS keep_id, score, reasons FROM ({BEST})", "exact"))
 def keep_best(spark, sf):
-    items = _items(spark, sf)
+    items = _plain(spark, sf)
     out = G.keep_best(G.group_members(R.exact_groups(items), items))
     return out.select("leader_id", "keep_id", "score", joined("reasons").alias("reasons"))
 
@@ -218,7 +223,7 @@ def keep_best(spark, sf):
 @query("group_savings", with_views("""SELECT leader_id, count(*) AS items, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum(file_size) - max(file_size) AS BIGINT) AS savings
     FROM exact JOIN items ON items.asset_id = exact.id GROUP BY leader_id""", "exact"))
 def group_savings(spark, sf):
-    items = _items(spark, sf)
+    items = _plain(spark, sf)
     return G.group_savings(G.group_members(R.exact_groups(items), items))
 
 
@@ -347,7 +352,7 @@ CLASSES = {
 
 @query("duplicate_totals", with_views("SELECT count(*) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_count, CAST(sum(s) AS BIGINT) AS duplicate_savings FROM dup_sets", "items", recursive=True, **CLASSES))
 def duplicate_totals(spark, sf):
-    return A.duplicate_totals(_items(spark, sf))
+    return A.duplicate_totals(_plain(spark, sf))
 
 
 A_LOW = "(quality_grade IN ('POOR', 'VERY_POOR') OR (quality_grade = 'FAIR' AND list_has_any(issues, ['MOTION_BLUR', 'OUT_OF_FOCUS', 'LOW_RESOLUTION'])))"

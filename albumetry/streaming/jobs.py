@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -74,16 +74,17 @@ def asset_lifecycle(events: DataFrame) -> DataFrame:
 
     Aggregates only, so an asset with very many events is combined in parts.
     """
-    last_reset = events.filter("state = 'UPLOADED'").groupBy("asset_id").agg(F.max("seq").alias("reset"))
-    since = events.join(last_reset, "asset_id", "left").filter(
-        F.col("reset").isNull() | (F.col("seq") >= F.col("reset"))
-    )
-    ready = F.min(F.when(F.col("state") == "READY", F.col("seq")))
+    def latest(state: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("state") == state, F.col("seq"))), F.lit(-1))
+
     last = F.max(F.struct("seq", "state", "error"))
-    return since.groupBy("asset_id").agg(ready.alias("ready"), last.alias("last"), F.count("*").alias("events")).select(
+    done = F.col("ready") > F.col("reset")
+    return events.groupBy("asset_id").agg(
+        latest("READY").alias("ready"), latest("UPLOADED").alias("reset"), last.alias("last")
+    ).select(
         "asset_id",
-        F.when(F.col("ready").isNotNull(), "READY").otherwise(F.col("last.state")).alias("status"),
-        F.when(F.col("ready").isNull() & (F.col("last.state") == "FAILED"),
+        F.when(done, "READY").otherwise(F.col("last.state")).alias("status"),
+        F.when(~done & (F.col("last.state") == "FAILED"),
                F.substring("last.error", 1, vocab.ASSET_ERROR_CHARS)).alias("error_message"),
     )
 
