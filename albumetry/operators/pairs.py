@@ -105,9 +105,11 @@ def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows:
         crowded = keyed.groupBy("path", "slot").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
         splittable = [p for p in range(first, len(paths.rows)) if paths.fixed[p].bit_count() <= 64 - radius - 1
                       and 2 ** (64 - paths.fixed[p].bit_count()) > bucket_rows]
-        crowded = written(crowded.filter(F.col("path").isin(splittable))) if total > bucket_rows else None
-        sizes = [] if crowded is None else crowded.groupBy("path").agg(F.max("n").alias("n")).collect()
+        crowded = crowded.filter(F.col("path").isin(splittable))
+        # one row per band combination at most
+        sizes = crowded.groupBy("path").agg(F.max("n").alias("n")).collect() if total > bucket_rows else []
         if sizes:
+            crowded = written(crowded)
             # few by construction (total / bucket_rows), and salted on both sides
             marked = keyed.withColumn("_salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int")).join(
                 crowded.select("path", "slot", F.lit(True).alias("_hot"),
