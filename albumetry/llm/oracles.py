@@ -39,8 +39,8 @@ levels as (
   select *, cast(sum(source_size) over () - coalesce(sum(cap) over before, 0) as double)
             / cast(sum(w) over () - coalesce(sum(w) over before, 0) as double) as lvl
   from weighed window before as (order by cap / w, n rows between unbounded preceding and 1 preceding)),
-at as (select arg_min(lvl, cap / w) as lvl from levels where not (cap < lvl * w)),
-goal as (select source, source_size, least(cast(cap as double), coalesce((select lvl from at) * w, cap)) as target from levels),
+share as (select arg_min(lvl, cap / w) as lvl from levels where not (cap < lvl * w)),
+goal as (select source, source_size, least(cast(cap as double), coalesce((select lvl from share) * w, cap)) as target from levels),
 budget as (
   select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from goal),
 places as (
@@ -60,8 +60,8 @@ counted as (
   select doc_id, source, cast(len(w) as bigint) as n_words,
          cast(length(array_to_string(w, '')) as bigint) as word_chars,
          cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
-         cast(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-              - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) as bigint) as n_dup_lines,
+         cast(len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+              - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) as bigint) as n_dup_lines,
          cast(coalesce(c.n, 0) as bigint) as n_repeat_words
   from rows left join covered c using (r)),
 failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
