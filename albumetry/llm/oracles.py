@@ -72,3 +72,15 @@ rated as (
   from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept
 from failed join rated on failed.source is not distinct from rated.source"""
+
+
+TOP_K = r"""
+with ints as (
+  select vec_id, [cast(floor(cast(x as double) * 256) as bigint) for x in embedding] as v
+  from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from ints q join ints c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(r as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored) where r <= 5"""

@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetry.llm import mixing, oracles, quality, sharding, urls
+from albumetry.llm import mixing, oracles, packing, quality, sharding, topk, urls
 from albumetry.llm.tables import read
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; it lies at the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +46,8 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_top_k": op3_top_k,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op10_host_quality": op10_host_quality,
@@ -38,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": oracles.URLS,
+    "op3_top_k": oracles.TOP_K,
     "op6_mixing": oracles.MIXING,
     "op10_host_quality": oracles.QUALITY,
 }
