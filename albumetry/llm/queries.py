@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetry.llm import mixing, oracles, packing, quality, sharding, topk, urls
+from albumetry.llm import mixing, near_dedup, oracles, packing, quality, sharding, topk, urls
 from albumetry.llm.tables import read
 
 
@@ -26,6 +26,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), similarity=0.85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -47,6 +51,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_top_k": op3_top_k,
+    "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
