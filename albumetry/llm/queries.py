@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetry.llm import mixing, near_dedup, oracles, packing, quality, sharding, topk, urls
+from albumetry.llm import mixing, near_dedup, oracles, packing, quality, sharding, suffixes, topk, urls
 from albumetry.llm.tables import read
 
 
@@ -43,6 +43,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(read(spark, sf_dir, "documents"))
+
+
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"))
     return judged.drop("host", "host_rate")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_host_quality": op10_host_quality,
 }
 

@@ -44,21 +44,21 @@ def _with_starts(rows: pd.DataFrame, keys: list[str]) -> tuple[pd.DataFrame, np.
     return rows.reset_index(drop=True), np.flatnonzero(new)
 
 
-def bit_of(c: str | Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+def bit_of(c: str | Column, bits: int = BITMAP_BITS) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << bits))
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the ids' hashes, 2^BITMAP_BITS of them whatever the number of ids; summed up by Spark in 4 kB rows."""
-    at = ids.select(bit_of(column).alias("p"))
+def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bits of the ids' hashes, 2^bits of them whatever the number of ids; summed up by Spark in 4 kB rows."""
+    at = ids.select(bit_of(column, bits).alias("p"))
     rows = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("b"))
-    out = np.zeros(1 << BITMAP_BITS, dtype=bool)
-    for r in rows.collect():  # at most 2^BITMAP_BITS / 32768 + 1 rows
-        bits = np.unpackbits(np.frombuffer(r["b"], dtype=np.uint8), bitorder="little")
+    out = np.zeros(1 << bits, dtype=bool)
+    for r in rows.collect():  # at most 2^bits / 32768 + 1 rows
+        part = np.unpackbits(np.frombuffer(r["b"], dtype=np.uint8), bitorder="little")
         # bucket n > 0 holds values (n - 1) * 32768 + 1 .. n * 32768
         start = (r["n"] - 1) * 32768 + 1
-        lo, hi = max(0, start), min(len(out), start + len(bits))
-        out[lo:hi] |= bits[lo - start: hi - start].astype(bool)
+        lo, hi = max(0, start), min(len(out), start + len(part))
+        out[lo:hi] |= part[lo - start: hi - start].astype(bool)
     return np.packbits(out, bitorder="little")
 
 
