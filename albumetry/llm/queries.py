@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetry.llm import mixing, near_dedup, oracles, packing, quality, sharding, suffixes, topk, urls
+from albumetry.llm import language, mixing, near_dedup, oracles, packing, quality, sharding, suffixes, topk, urls
 from albumetry.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_url_filter": op2_url_filter,
     "op3_top_k": op3_top_k,
     "op4_minhash": op4_minhash,

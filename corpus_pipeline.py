@@ -6,19 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from albumetry.llm import mixing
+from albumetry.llm import language, mixing, near_dedup, packing, suffixes
+from albumetry.llm.queries import tokenizer
 from albumetry.llm.tables import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified; texts without letters and those far from every language go."""
+    return language.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 or more."""
+    return near_dedup.one_of_each(docs, similarity=0.8)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes or more that occur twice."""
+    return suffixes.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, repeated as often as they are taken."""
     return mixing.mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
     ("mix sources", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 # language models and suffix refinement have no SQL form; tests hold each stage against a brute-force version
