@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumetry.llm.shingles import chunks, mixed
+from albumetry.llm.tables import kept_whole
 
 ORDER = 5
 BITS = 12  # of a letter's number in a gram
@@ -314,4 +315,4 @@ def predict(docs: DataFrame, held_out: int = 2) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified without rejection; columns of ``docs``. Cases as in ``predict``."""
-    return identified(docs, fit(docs)).filter("_found.accepted").select(*[docs[c] for c in docs.columns])
+    return identified(kept_whole(docs, "text"), fit(docs)).filter("_found.accepted").select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumetry.llm.tables import unit_hash, word_count, written
+from albumetry.llm.tables import kept_whole, unit_hash, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -130,9 +130,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
     The texts only meet one row per source; they are not shuffled while those rows can be sent to all tasks.
     """
-    plan = _plan(written(sizes(docs)), weights, most).withColumnsRenamed({c: f"_mix_{c}" for c in ("whole", "cut")})
-    place = unit_hash(docs["doc_id"], LEVELS * BITS)
-    times = F.least(F.lit(most), F.col("_mix_whole") + F.when(place < F.col("_mix_cut"), 1).otherwise(0)).cast("int")
-    taken = docs.join(plan.select("_s", "_mix_whole", "_mix_cut"), docs["source"].eqNullSafe(F.col("_s")))
-    taken = taken.withColumn("_mix_times", times).filter("_mix_times > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*[docs[c] for c in docs.columns])
+    plan = _plan(written(sizes(docs)), weights, most).select("_s", "whole", "cut")
+    rows = kept_whole(docs, "source").withColumn("place", unit_hash(F.col("row.doc_id"), LEVELS * BITS))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", _times(most)).filter("times > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from albumetry.session import written
 
-__all__ = ["read", "written", "SPACES", "word_count", "words", "unit_hash", "ordered_id"]
+__all__ = ["read", "written", "SPACES", "word_count", "words", "unit_hash", "kept_whole"]
 
 # ASCII white space that separates words: \x20 and \x09 to \x0D
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,5 +34,6 @@ def unit_hash(c: Column, bits: int = 36) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), 1, bits // 4), 16, 10).cast("long")
 
 
-def ordered_id(c: str) -> Column:
-    return F.col(c).cast("long")
+def kept_whole(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` columns and all columns as one struct ``row``, so that added columns clash with none of the table's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
