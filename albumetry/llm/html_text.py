@@ -32,6 +32,8 @@ BLOCK = frozenset(
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote figure table hr fieldset xmp".split())
 LISTS = frozenset("ul ol menu dir".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt tbody td tfoot th thead tr option optgroup legend".split())
+BOXES = frozenset("select button ruby".split())
+INNER = frozenset("tr td th tbody thead tfoot caption".split())
 # start tag -> (elements that it ends, elements beyond which it does not look)
 ENDS = {
     "li": ({"li"}, LISTS | {"table"}),
@@ -112,9 +114,11 @@ def tree(page: str) -> Element:
         at = found.end()
         tag = found[2].lower()
         if found[1]:
-            if tag in BLOCK or tag not in VOID:
-                beyond = {"table"} if tag not in ("table", "body", "html") and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else set()
-                close({tag}, beyond if tag in BLOCK else beyond | {"td", "th"})
+            if tag in INNER:
+                close({tag}, {"table"} - {tag})
+            elif tag not in VOID:
+                # the end of an inline element does not end a block within it
+                close({tag}, set() if tag in ("table", "body", "html") else {"table"} if tag in BLOCK or tag in BOXES else BLOCK)
             continue
         if tag in ENDS_P:
             close({"p"}, {"table", "td", "th", "li", "button", "caption"})
@@ -234,13 +238,15 @@ def _table(out: Page, table: Element, depth: int) -> None:
         out.end()
     cells = [[(_rendered(c, depth), max(1, min(100, _number(c.attrs.get("colspan"), 1)))) for c in row] for row in rows]
     width: dict[int, int] = {}
-    for row in cells:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+    for one in (True, False):  # cells of one column first; wider ones then widen their last column
+        for row in cells:
+            at = 0
+            for lines, span in row:
                 longest = max(map(len, lines), default=0)
-                width[at] = max(width.get(at, 0), longest if longest <= WIDEST else 0)
-            at += span
+                if (span == 1) == one and longest <= WIDEST:
+                    room = sum(width.get(c, 0) for c in range(at, at + span - 1)) + 2 * (span - 1)
+                    width[at + span - 1] = max(width.get(at + span - 1, 0), longest - room)
+                at += span
     for row in cells:
         for k in range(max((len(lines) for lines, _ in row), default=0)):
             line, at = "", 0
@@ -259,13 +265,18 @@ def _rendered(e: Element, depth: int) -> list[str]:
     return text.split("\n") if text else []
 
 
+def _margin(e: Element, parent: Element | None) -> bool:
+    """Whether blank lines surround the element; lists within items have none."""
+    return e.tag in MARGIN and not (e.tag in LISTS and parent is not None and parent.tag == "li")
+
+
 def _lay_out(out: Page, nodes: list, depth: int) -> None:
     """Lays out nodes in order, without recursion but for table cells."""
     todo: list = [("in", n, None) for n in reversed(nodes)]
     while todo:
         step, e, parent = todo.pop()
         if step == "out":
-            out.end(e.tag in MARGIN)
+            out.end(_margin(e, parent))
             if e.tag in ("li", "blockquote", "dd"):
                 out.indent.pop()
                 out.bullet = ""
@@ -293,7 +304,7 @@ def _lay_out(out: Page, nodes: list, depth: int) -> None:
         if tag not in BLOCK:
             todo += [("in", c, e) for c in reversed(e.children)]
             continue
-        out.end(tag in MARGIN and not (tag in LISTS and parent is not None and parent.tag == "li"))
+        out.end(_margin(e, parent))
         if tag == "hr":
             continue
         if tag in ("pre", "xmp"):

@@ -19,9 +19,9 @@ def corpus():
     for k in range(300):
         source = "a" if k % 3 == 0 else rng.choice(["b", "c", "é", "Z", None])
         rows.append((k, text_of(k, rng.randrange(0, 90), 30), "en", source))
-    rows += [(k, text_of(1, 20), "en", "tiny") for k in range(3)] + [(600, "", "en", "empty")]
+    rows += [(610 + k, text_of(1, 20), "en", "tiny") for k in range(3)] + [(600, "", "en", "empty")]
     rows += [(700, "same line\nsame line\n\n#x $y\nother", "en", "b"), (701, text_of(4, 9000), "en", "c"), (702, text_of(4, 9), "en", "w")]
-    rows += [(5, text_of(5, 33, 30), "en", "b")] * 2
+    rows += [(620, text_of(5, 33, 30), "en", "b")] * 2
     return rows
 
 

@@ -23,9 +23,8 @@ def test_equals_all_pairs(spark, monkeypatch, shard, block, leaf):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(150)]
     rows += [(200 + k, [0.5] * 6) for k in range(60)]  # ties
-    rows += [(400, None), (401, [1.0, None, 1, 1, 1, 1]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6),
-             (404, []), (410, [1e30] * 6), (411, [1.0, 2.0]), (420, [3.0, 4.0])]
-    rows = [r for r in rows if r[0] != 410]
+    rows += [(400, None), (401, [1.0, None, 1.0, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6),
+             (404, []), (411, [1.0, 2.0]), (420, [3.0, 4.0])]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, shard string")
     got = sorted(map(tuple, topk.top_k(frame, 10, 5, shard=shard, block=block).collect()))
     assert got == brute(rows, 10, 5)
