@@ -171,6 +171,7 @@ def backfill_totals(work: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_worklist(assets: DataFrame, limit: int = 50_000) -> DataFrame:
-    """READY assets, oldest id first, at most ``limit`` per run."""
-    return assets.filter(F.col("status") == "READY").orderBy("asset_id").limit(limit)
+def rebuild_worklist(assets: DataFrame, limit: int | None = None) -> DataFrame:
+    """READY assets, oldest id first; all of them, or ``limit`` per run if the caller gives one."""
+    ready = assets.filter(F.col("status") == "READY").orderBy("asset_id")
+    return ready if limit is None else ready.limit(limit)

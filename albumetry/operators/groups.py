@@ -18,9 +18,6 @@ from albumetry.functions.hashes import hash_bits
 from albumetry.operators.scale import lookup_join
 from albumetry.session import written
 
-FINISH_EDGES = 200_000
-MOST_ROUNDS = 1_000
-
 
 def list_order(created_at: Column, asset_id: Column) -> Column:
     """Newest first, then id: the order in which groups are formed."""
@@ -31,60 +28,76 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _taken_in_order(batches):
-    """Ids taken by an earlier leader; edges arrive sorted by their left item."""
-    taken: set = set()
-    for pdf in batches:
-        for a, b in zip(pdf["a_id"].tolist(), pdf["b_id"].tolist()):
-            if a not in taken:
-                taken.add(b)
-    yield pd.DataFrame({"id": list(taken)})
-
+def _settled(batches):
+    """Decides what a block can decide: (id, leads); edges come in the order of their right item.
 
-def taken_items(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    ``state``: 1 the left item leads, 0 it is taken, -1 it was undecided before this round.
+    """
+    known: dict = {}
+    current, led, waits = None, False, False
+    for pdf in batches:
+        for a, b, state in zip(pdf["a_id"].tolist(), pdf["b_id"].tolist(), pdf["state"].tolist()):
+            if b != current:
+                if current is not None and (led or not waits):
+                    known[current] = not led
+                current, led, waits = b, False, False
+            if state < 0:
+                state = known.get(a, -1)
+            led |= state == 1
+            waits |= state < 0
+    if current is not None and (led or not waits):
+        known[current] = not led
+    yield pd.DataFrame({"id": list(known), "leads": list(known.values())})
+
+
+def settle_rounds(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((id, leads) of the items that have earlier and later neighbours or head the list, number of rounds).
+
+    The items are cut into blocks of the list. In every round each block walks its own items in order and settles all
+    that do not hang on an undecided item of another block, so chains within a block cost one round, however long, and
+    the first open block is settled whole: there are at most as many rounds as blocks.
+    """
+    id_type = edges.schema["a_id"].dataType.simpleString()
+    lefts = edges.select(F.col("a_id").alias("id"), F.col("a_ord").alias("ord")).distinct()
+    lefts = written(lefts.repartitionByRange("ord").withColumn("block", F.spark_partition_id()))
+    right = lefts.select(F.col("id").alias("b_id"), F.col("ord").alias("b_ord"), "block")
+    live = written(edges.select("a_id", "b_id").join(right, "b_id"))
+    heads = lefts.join(live.select(F.col("b_id").alias("id")), "id", "left_anti")
+    parts = [written(heads.select("id", F.lit(True).alias("leads")))]
+    rounds = 0
+    while not live.isEmpty():
+        rounds += 1
+        known = _union(parts).select(F.col("id").alias("a_id"), F.col("leads").cast("int").alias("state"))
+        rows = live.join(known, "a_id", "left").select("a_id", "b_id", "b_ord", "block", F.coalesce("state", F.lit(-1)).alias("state"))
+        rows = rows.repartition("block").sortWithinPartitions("b_ord", "b_id")
+        now = written(rows.mapInPandas(_settled, f"id {id_type}, leads boolean"))
+        parts.append(now)
+        live = written(live.join(now.select(F.col("id").alias("b_id")), "b_id", "left_anti"))
+    return _union(parts), rounds
+
+
+def taken_items(edges: DataFrame) -> DataFrame:
     """Ids that some earlier leader takes when the list is scanned in order.
 
-    Equals the complement of the lexicographically first maximal independent
-    set. Every round decides all undecided items without an undecided earlier
-    neighbour; once at most ``finish_edges`` edges are left (checked), one
-    ordered pass ends it.
+    Equals the complement of the lexicographically first maximal independent set. Items without later neighbours decide
+    nothing for others: they are taken if any neighbour leads.
     """
-    id_type = edges.schema["a_id"].dataType
-    live = written(edges.select("a_id", "a_ord", "b_id"))
-    taken: list[DataFrame] = []
-    for _ in range(MOST_ROUNDS):
-        left = live.count()
-        if left <= finish_edges:
-            if left:
-                ordered = live.coalesce(1).sortWithinPartitions("a_ord").select("a_id", "b_id")
-                taken.append(written(ordered.mapInPandas(_taken_in_order, f"id {id_type.simpleString()}")))
-            break
-        blocked = live.select(F.col("b_id").alias("a_id")).distinct()
-        heads = written(live.select("a_id").distinct().join(blocked, "a_id", "left_anti"))
-        now = written(live.join(heads, "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
-        taken.append(now)
-        live = written(
-            live.join(heads, "a_id", "left_anti")
-            .join(now.withColumnRenamed("id", "a_id"), "a_id", "left_anti")
-            .join(now.withColumnRenamed("id", "b_id"), "b_id", "left_anti")
-        )
-    else:
-        raise RuntimeError(f"leader grouping undecided after {MOST_ROUNDS} rounds")
-    if not taken:
-        return edges.select(F.col("b_id").alias("id")).limit(0)
-    return _union(taken)
+    settled, _ = settle_rounds(edges)
+    leaders = settled.filter("leads").select(F.col("id").alias("a_id"))
+    return edges.join(leaders, "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct()
 
 
-def leader_groups(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def leader_groups(edges: DataFrame) -> DataFrame:
     """(leader_id, id) of groups with at least two items, leaders included.
 
     ``edges``: a_id, a_ord, b_id with a before b. Each taken item joins its
     first adjacent leader.
     """
     edges = written(edges.select("a_id", "a_ord", "b_id"))
-    taken = taken_items(edges, finish_edges).withColumnRenamed("id", "a_id")
+    settled, _ = settle_rounds(edges)
+    leaders = settled.filter("leads").select(F.col("id").alias("a_id"))
     joined = (
-        edges.join(taken, "a_id", "left_anti")
+        edges.join(leaders, "a_id", "left_semi")
         .groupBy("b_id").agg(F.min(F.struct("a_ord", "a_id")).alias("first"))
         .select(F.col("first.a_id").alias("leader_id"), F.col("b_id").alias("id"))
     )
@@ -104,7 +117,7 @@ def copy_items(assets: DataFrame, same_time: bool = True) -> DataFrame:
     return assets.select(
         F.col("asset_id").alias("id"),
         list_order(F.col("created_at"), F.col("asset_id")).alias("ord"),
-        F.when(F.col("p_hash") != "", F.col("p_hash")).alias("p_hash"),
+        F.when(F.col("p_hash") != "", F.lower("p_hash")).alias("p_hash"),  # digits count, not their case
         fallback.alias("fallback"),
     )
 
@@ -189,7 +202,7 @@ def _mixed_groups(items: DataFrame, radius: int) -> DataFrame:
     open_keys = keys.select("fallback", "u")
     anchors: list[DataFrame] = []
     key_leaders: list[DataFrame] = []
-    for _ in range(MOST_ROUNDS):
+    while True:  # every round decides at least the first undecided item
         if waiting.isEmpty() and open_keys.isEmpty():
             break
         first = waiting.groupBy("p_hash").agg(F.min("ord").alias("first"))
@@ -219,8 +232,6 @@ def _mixed_groups(items: DataFrame, radius: int) -> DataFrame:
             .join(leads, "fallback", "left").filter("u is null or u.ord > ord").drop("u")
         )
         open_keys = state.filter("now = 'waits'").select("fallback", "u")
-    else:
-        raise RuntimeError(f"copy grouping undecided after {MOST_ROUNDS} rounds")
     lead, key_lead = _union(anchors), _union(key_leaders)
     by_hash = near.join(lead.select(F.col("p_hash").alias("other"), me.alias("led")), "other").groupBy("p_hash").agg(
         F.min("led").alias("by_hash")

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from albumetry import vocab
 from albumetry.functions import text as X
 from albumetry.functions.hashes import bit_distance, hash_bits
-from albumetry.operators.scale import SALTS
 from albumetry.session import written
 
 BUCKET_ROWS = 4096
@@ -107,15 +106,11 @@ def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows:
                       and 2 ** (64 - paths.fixed[p].bit_count()) > bucket_rows]
         crowded = crowded.filter(F.col("path").isin(splittable))
         # one row per band combination at most
-        sizes = crowded.groupBy("path").agg(F.max("n").alias("n")).collect() if total > bucket_rows else []
+        sizes = crowded.groupBy("path").agg(F.max("n").alias("n")).collect()
         if sizes:
             crowded = written(crowded)
-            # few by construction (total / bucket_rows), and salted on both sides
-            marked = keyed.withColumn("_salt", F.pmod(F.xxhash64("code"), F.lit(SALTS)).cast("int")).join(
-                crowded.select("path", "slot", F.lit(True).alias("_hot"),
-                               F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")),
-                ["path", "slot", "_salt"], "left",
-            )
+            # one row per crowded bucket: the planner splits the buckets' side where it is skewed
+            marked = keyed.join(crowded.select("path", "slot", F.lit(True).alias("_hot")), ["path", "slot"], "left")
             cold = marked.filter("_hot is null").select("path", "slot", "code")
         else:
             cold = keyed

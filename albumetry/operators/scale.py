@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+from albumetry.session import written
+
+ROWS_PER_TASK = 1_000_000
 
 
 def lookup_join(
@@ -15,22 +16,21 @@ def lookup_join(
     key: str,
     spread_by: str,
     count: str = "n",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    rows_per_task: int = ROWS_PER_TASK,
     how: str = "left",
 ) -> DataFrame:
     """Join rows to a table with one line per key, splitting the hot keys.
 
-    ``table[count]`` holds how many rows carry the key. Keys above ``hot_rows``
-    are spread over ``salts`` tasks by the hash of column ``spread_by`` (stable
-    when a task is rerun). There can be at most rows / hot_rows hot keys, which
-    bounds the broadcast list.
+    ``table[count]`` holds how many rows carry the key. A key with more than ``rows_per_task`` rows is spread over as
+    many tasks as its count asks for, by the hash of column ``spread_by`` (stable when a task is rerun). There can be at
+    most rows / rows_per_task hot keys, which bounds the broadcast list. The table is evaluated once.
     """
-    hot = table.filter(F.col(count) > hot_rows).select(key, F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_hot")
-    last = F.when(F.col(count) > hot_rows, salts - 1).otherwise(0)
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    table = written(table)
+    parts = F.ceil(F.col(count) / rows_per_task).cast("int")
+    hot = table.filter(F.col(count) > rows_per_task).select(key, parts.alias("_parts"))
+    spread = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")).cast("int"), F.lit(0))
+    salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_parts")
+    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
 
 
@@ -42,8 +42,6 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    from albumetry.session import written
-
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     parts = written(parts)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))

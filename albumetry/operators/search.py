@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from albumetry import vocab
 from albumetry.functions import intent as I
 from albumetry.functions import text as X
+from albumetry.operators.scale import global_rank
 from albumetry.operators.vectors import top_k_batch
 
 RECORD_COLUMNS = [
@@ -182,12 +183,29 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, assets: DataFrame, rec
                   whole_word: bool = False) -> DataFrame:
     """Vector candidates, lexical rerank, intent rules, page and explanation.
 
-    queries: query_id, query_text, embedding. Blank query texts return no rows
-    (see ``blank_queries``).
+    queries: query_id, query_text, embedding. Blank query texts return no rows (see ``blank_queries``). The query that
+    asks for the whole library is answered without vectors: every active asset, newest first, score 1, no paging.
     """
-    asked = with_intent(queries.filter(X.strip(F.col("query_text")) != ""), whole_word)
+    whole = is_whole_library(F.col("query_text"))
+    asked = with_intent(queries.filter((X.strip(F.col("query_text")) != "") & ~whole), whole_word)
     hits = candidates(asked, vectors, assets, records, pool, prefilter)
-    return page(judge_hits(rerank(hits, weights)), limit, offset)
+    found = page(judge_hits(rerank(hits, weights)), limit, offset)
+    if queries.filter(whole).isEmpty():
+        return found
+    return found.unionByName(_everything(queries.filter(whole), assets), allowMissingColumns=True)
+
+
+def _everything(queries: DataFrame, assets: DataFrame) -> DataFrame:
+    """All active assets for each whole-library query; ranks come from one pass over the list, not per query."""
+    order = [F.col("created_at").desc(), F.col("asset_id")]
+    listed = global_rank(assets.filter(~F.col("is_deleted")).select("asset_id", "filename", "created_at"), *order).drop("created_at")
+    asked = queries.select("query_id", "query_text").withColumn("_all", F.lit(True))
+    total = listed.agg(F.count("*").alias("total"))
+    return (
+        listed.withColumn("_all", F.lit(True)).join(asked, "_all").crossJoin(F.broadcast(total))  # one row
+        .withColumns({"score": F.lit(1.0), "hybrid_score": F.lit(1.0), "final_score": F.lit(1.0), "total_similar": F.lit(0).cast("long"),
+                      "is_hit": F.lit(True), "rank": F.col("rank").cast("int")}).drop("_all")
+    )
 
 
 def blank_queries(queries: DataFrame) -> DataFrame:
@@ -197,12 +215,16 @@ def blank_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def empty_messages(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """Message per query that found nothing (general queries give none)."""
+def empty_messages(queries: DataFrame, results: DataFrame, indexed: int | None = None) -> DataFrame:
+    """Message per query that was searched and found nothing (general queries give none).
+
+    ``indexed``: how many vectors there are, where the caller knows; without any, every query gets the message for an
+    empty index.
+    """
     unmatched = with_intent(queries).join(results.select("query_id").distinct(), "query_id", "left_anti")
-    return unmatched.filter(F.col("intent") != "GENERAL").select(
-        "query_id", I.empty_message(F.col("query_text"), F.col("intent"), F.col("entity")).alias("message")
-    )
+    empty = F.lit(indexed == 0)
+    message = F.when(empty, vocab.EMPTY_INDEX).otherwise(I.empty_message(F.col("query_text"), F.col("intent"), F.col("entity")))
+    return unmatched.filter(empty | (F.col("intent") != "GENERAL")).select("query_id", message.alias("message"))
 
 
 def orphans(hits: DataFrame, assets: DataFrame) -> DataFrame:

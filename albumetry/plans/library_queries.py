@@ -180,7 +180,7 @@ def backfill_totals(spark, sf):
     return C.backfill_totals(C.missing_quality(t["assets"], t["quality"]), t["vectors"])
 
 
-@query("rebuild_worklist", with_views("SELECT asset_id FROM assets WHERE status = 'READY' ORDER BY asset_id LIMIT 50000", "assets"))
+@query("rebuild_worklist", with_views("SELECT asset_id FROM assets WHERE status = 'READY'", "assets"))
 def rebuild_worklist(spark, sf):
     return C.rebuild_worklist(W.assets(spark, sf)).select("asset_id")
 

@@ -210,14 +210,27 @@ def hybrid_search(spark, sf):
        WHEN intent = 'DOCUMENT' THEN 'No ' || entity || ' documents were found in your library.'
        WHEN intent IN ('OBJECT','SCENE') THEN 'No ' || entity || ' photos were found in your library.'
        ELSE 'No matching photos found for ''' || query_text || '''.' END AS message, intent
-    FROM (SELECT *, {INTENT} FROM (SELECT *, {_class_sql('clean')} FROM (SELECT doc_id AS query_id, text AS query_text, {strip('lower(text)')} AS clean FROM documents)))
+    FROM (SELECT *, {INTENT} FROM (SELECT *, {_class_sql('clean')} FROM (SELECT query_id, query_text, {strip('lower(query_text)')} AS clean FROM queries)))
     WHERE query_id NOT IN (SELECT query_id FROM finals)) WHERE intent <> 'GENERAL'""",
     "scored", **{k: v for k, v in FINAL.items() if k in [*JUDGE, "typed", "finals"]}))
 def search_messages(spark, sf):
-    """Documents as queries that found nothing: only those numbered like a benchmark query were searched."""
-    asked = W.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = S.hybrid_search(W.queries(spark, sf), W.vectors(spark, sf), W.assets(spark, sf), W.records(spark, sf))
-    return S.empty_messages(asked, found.select("query_id"))
+    """Queries that were searched and found nothing."""
+    asked = W.queries(spark, sf)
+    found = S.hybrid_search(asked, W.vectors(spark, sf), W.assets(spark, sf), W.records(spark, sf))
+    return S.empty_messages(asked, found.select("query_id"), W.vectors(spark, sf).count())
+
+
+@query("search_photo", with_views(
+    """SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, asset_id) AS rank,
+        asset_id, 1.0::DOUBLE AS final_score, (SELECT count(*) FROM assets WHERE NOT is_deleted) AS total
+    FROM assets, (SELECT min(item_id) AS item_id FROM benchmark) WHERE NOT is_deleted""", "assets"))
+def search_photo(spark, sf):
+    """The first query asks for the whole library."""
+    asked = W.queries(spark, sf)
+    first = W.table(spark, sf, "benchmark").agg(F.min("item_id").alias("query_id"))
+    photo = asked.join(F.broadcast(first), "query_id").withColumn("query_text", F.lit("Photo"))  # one row
+    out = S.hybrid_search(photo, W.vectors(spark, sf), W.assets(spark, sf), W.records(spark, sf))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "asset_id", "final_score", "total")
 
 
 @query("search_all", with_views("SELECT asset_id, filename, 1.0::DOUBLE AS score FROM assets WHERE NOT is_deleted", "assets"))

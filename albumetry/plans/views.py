@@ -13,17 +13,9 @@ EPOCH = "2024-01-01 00:00:00"
 NOW = "2024-02-01 00:00:00"
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. Text tables that arrive in fewer pieces than there are
-    cores are spread over the cores; large inputs are left as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, TEXT_TABLES[name])
-    return df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def at(text: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # text work is heavy per byte: small shuffles still use all cores
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.sql.files.openCostInBytes": "1m",
 }
 
 
@@ -25,19 +25,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for written tables: ``spark.checkpoint.dir``.
+    """Shared folder for this application's written tables.
 
-    A temporary folder is used only where that setting is missing and the
-    session runs on one machine.
+    Below ``spark.checkpoint.dir``, or where that is not set, below the warehouse, which all machines share as well. The
+    folder is removed when the application ends.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    folder = f"{top}/albumetry/{sc.applicationId}"
+    if folder not in _marked:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
+_marked: set[str] = set()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -47,6 +52,6 @@ def written(df: DataFrame) -> DataFrame:
     re-read the files instead of recomputing.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/albumetry/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

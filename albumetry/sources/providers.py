@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +14,27 @@ from albumetry import vocab
 def run_vision_provider(assets: DataFrame, analyze: Callable, prompt: str = "prompt", path: str = "original_path") -> DataFrame:
     """Runs a pandas UDF over READY assets and sets the analysis status.
 
-    ``analyze(path, prompt)`` is a pandas UDF returning struct<response:string,
-    error:string>: no response and no error means no provider (skipped), an
-    error text means failed.
+    ``analyze(path, prompt)`` maps two series to a frame (response, error), as a plain function or a pandas UDF: no
+    response and no error means no provider (skipped), an error text means failed. If it raises, the rows of the batch
+    are tried one by one, and those that raise again fail with the exception's text.
     """
+    step = getattr(analyze, "func", analyze)
+
+    @F.pandas_udf("response string, error string")
+    def careful(paths: pd.Series, prompts: pd.Series) -> pd.DataFrame:
+        try:
+            return step(paths, prompts)
+        except Exception:
+            parts = []
+            for k in range(len(paths)):
+                try:
+                    parts.append(step(paths.iloc[k: k + 1].reset_index(drop=True), prompts.iloc[k: k + 1].reset_index(drop=True)))
+                except Exception as error:
+                    parts.append(pd.DataFrame({"response": [None], "error": [str(error) or type(error).__name__]}))
+            return pd.concat(parts, ignore_index=True)
+
     ready = assets.filter(F.col("status") == "READY")
-    called = ready.withColumn("_r", analyze(F.col(path), F.col(prompt)))
+    called = ready.withColumn("_r", careful(F.col(path), F.col(prompt)))
     error = F.col("_r.error")
     status = F.when(error.isNotNull(), "FAILED").when(F.col("_r.response").isNull(), "SKIPPED_NO_PROVIDER").otherwise("COMPLETED")
     return called.select(

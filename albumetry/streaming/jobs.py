@@ -89,33 +89,59 @@ def asset_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
+def _chunk_last(chunk: pd.DataFrame) -> tuple:
+    """(seq, state, error) of the chunk's latest event."""
+    row = chunk.loc[chunk["seq"].idxmax()]
+    return int(row["seq"]), row["state"], row["error"] if isinstance(row["error"], str) else None
+
+
+def _latest(chunk: pd.DataFrame, state: str) -> int:
+    seq = chunk.loc[chunk["state"] == state, "seq"]
+    return int(seq.max()) if len(seq) else -1
+
+
 class AssetLifecycle(StatefulProcessor):
-    """Status per asset; emits a row on every accepted change."""
+    """Status per asset; emits a row whenever it changes.
+
+    The state holds maxima by sequence number only, so events may come late and in any order, and very many events of one
+    asset are folded chunk by chunk.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string")
+        self.state = handle.getValueState("state", "ready long, reset long, seq long, state string, error string", self.ttl_ms)
+
+    @staticmethod
+    def _status(ready, reset, seq, state, error):
+        if ready > reset:
+            return "READY", None
+        return state, error[: vocab.ASSET_ERROR_CHARS] if state == "FAILED" and error else None
 
     def handleInputRows(self, key, rows, timer_values):
-        events = pd.concat(list(rows)).sort_values("seq")
-        status = self.status.get()[0] if self.status.exists() else None
-        error, changed = None, False
-        for state, text in zip(events["state"], events["error"]):
-            if status == "READY" and state != "UPLOADED":
-                continue
-            status, changed = state, True
-            error = text[: vocab.ASSET_ERROR_CHARS] if state == "FAILED" and text else None
-        if changed:
-            self.status.update((status,))
+        before = tuple(self.state.get()) if self.state.exists() else None
+        now = before or (-1, -1, -1, None, None)
+        for chunk in rows:
+            if len(chunk):
+                last = max(now[2:], _chunk_last(chunk), key=lambda x: x[0])
+                now = (max(now[0], _latest(chunk, "READY")), max(now[1], _latest(chunk, "UPLOADED")), *last)
+        if now != before:
+            self.state.update(now)
+        if before is None or self._status(*now) != self._status(*before):
+            status, error = self._status(*now)
             yield pd.DataFrame({"asset_id": [key[0]], "status": [status], "error_message": [error]})
 
     def close(self) -> None:
         pass
 
 
-def stream_asset_lifecycle(events: DataFrame) -> DataFrame:
+def stream_asset_lifecycle(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Status changes per asset; with ``ttl_ms`` the state of an asset without events for so long is dropped."""
     id_type = events.schema["asset_id"].dataType.simpleString()
     return events.groupBy("asset_id").transformWithStateInPandas(
-        AssetLifecycle(), f"asset_id {id_type}, status string, error_message string", "update", "none"
+        AssetLifecycle(ttl_ms), f"asset_id {id_type}, status string, error_message string", "update",
+        "none" if ttl_ms is None else "processingTime",
     )
 
 
@@ -136,31 +162,43 @@ def analysis_lifecycle(events: DataFrame, ready: DataFrame | None = None) -> Dat
 
 
 class AnalysisLifecycle(StatefulProcessor):
-    """Status, failure count and last error per asset."""
+    """Status, failure count and last error per asset, by sequence number as above."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, retries long, error string")
+        self.state = handle.getValueState("state", "seq long, status string, retries long, failed long, error string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
-        events = pd.concat(list(rows)).sort_values("seq")
-        status, retries, error = self.state.get() if self.state.exists() else ("PENDING", 0, None)
-        for now, text in zip(events["state"], events["error"]):
-            status = now
-            if now == "FAILED":
-                retries += 1
+        seq, status, retries, failed, error = self.state.get() if self.state.exists() else (-1, "PENDING", 0, -1, None)
+        for chunk in rows:
+            if not len(chunk):
+                continue
+            last = _chunk_last(chunk)
+            if last[0] > seq:
+                seq, status = last[:2]
+            wrong = chunk[chunk["state"] == "FAILED"]
+            retries += len(wrong)
+            if len(wrong) and _chunk_last(wrong)[0] > failed:
+                failed, _, text = _chunk_last(wrong)
                 error = text[: vocab.ANALYSIS_ERROR_CHARS] if text else None
-        self.state.update((status, retries, error))
+        self.state.update((seq, status, retries, failed, error))
         yield pd.DataFrame({"asset_id": [key[0]], "status": [status], "retry_count": [retries], "error_message": [error]})
 
     def close(self) -> None:
         pass
 
 
-def stream_analysis_lifecycle(events: DataFrame) -> DataFrame:
+def stream_analysis_lifecycle(events: DataFrame, ready: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Analysis status per asset; with ``ready`` (a table of asset_id) only events of READY assets count."""
+    if ready is not None:
+        events = events.join(ready.select("asset_id").distinct(), "asset_id", "left_semi")
     id_type = events.schema["asset_id"].dataType.simpleString()
     return events.groupBy("asset_id").transformWithStateInPandas(
-        AnalysisLifecycle(),
-        f"asset_id {id_type}, status string, retry_count long, error_message string", "update", "none",
+        AnalysisLifecycle(ttl_ms),
+        f"asset_id {id_type}, status string, retry_count long, error_message string", "update",
+        "none" if ttl_ms is None else "processingTime",
     )
 
 

@@ -26,6 +26,7 @@ HYBRID_WEIGHTS = {
 }
 CANDIDATES_PER_QUERY = 20
 CONFIRMED_BOOST = 0.35
+EMPTY_INDEX = "Search index is empty. Upload photos to start searching."
 WHOLE_LIBRARY_QUERY = "photo"
 
 # --- query intent (fixed values; first hit in this order wins) ---------------

@@ -78,9 +78,8 @@ def scan(n, matches):
     return out
 
 
-@pytest.mark.parametrize("finish", [0, 10**6])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_leader_groups_equal_list_scan(spark, seed, finish):
+def test_leader_groups_equal_list_scan(spark, seed):
     rng = random.Random(seed)
     n = 120
     edge = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.03}
@@ -88,10 +87,34 @@ def test_leader_groups_equal_list_scan(spark, seed, finish):
     df = spark.createDataFrame(
         [(i, (i, i), j) for i, j in edge], "a_id long, a_ord struct<t:long,i:long>, b_id long"
     )
-    got = {r["id"]: r["leader_id"] for r in groups.leader_groups(df, finish).collect()}
+    got = {r["id"]: r["leader_id"] for r in groups.leader_groups(df).collect()}
     assert got == scan(n, lambda i, j: (i, j) in edge)
 
 
+def test_a_burst_takes_as_many_rounds_as_blocks(spark):
+    """10,000 shots that each resemble the next: the scan pairs them up, in few rounds."""
+    n = 10_000
+    order = list(range(n))
+    random.Random(4).shuffle(order)  # ids are not in list order
+    df = spark.createDataFrame([(order[i], (i, i), order[i + 1]) for i in range(n - 1)], "a_id long, a_ord struct<t:long,i:long>, b_id long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keeps several blocks
+    try:
+        settled, rounds = groups.settle_rounds(df.repartition(4))
+        got = {r["id"]: r["leader_id"] for r in groups.leader_groups(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 < rounds <= 8
+    assert got == {order[i]: order[i - i % 2] for i in range(n)}
+
+
+def test_hash_case_does_not_matter(spark):
+    rows = [(k, f"{h}", 10, k) for k, h in enumerate(["00ab00ab00ab00ab", "00AB00ab00AB00ab", "00ab00ab00ab00aa"])]
+    df = spark.createDataFrame(rows, "asset_id long, p_hash string, file_size long, n long").withColumns(
+        {"filename": F.lit("x.jpg"), "taken_at": F.timestamp_seconds("n"), "created_at": F.timestamp_seconds("n")})
+    items = groups.copy_items(df)
+    assert {(r["leader_id"], r["id"]) for r in groups.copy_groups(items).collect()} == {(1, 1), (1, 0)}
+
+
 def copies(rng, n, missing):
     rows = []
     for i in range(n):
@@ -123,7 +146,7 @@ def test_copy_groups_with_a_hot_hash(spark, monkeypatch):
     from albumetry.operators import scale
 
     monkeypatch.setattr(groups, "lookup_join",
-                        lambda *a, **k: scale.lookup_join(*a, **{**k, "hot_rows": 50}))
+                        lambda *a, **k: scale.lookup_join(*a, **{**k, "rows_per_task": 50}))
     items = spark.range(600).select(
         "id", F.struct(F.col("id").alias("t"), F.col("id").alias("i")).alias("ord"),
         F.when(F.col("id") % 3 == 0, "00000000000000ff").otherwise(F.lpad(F.hex("id"), 16, "0")).alias("p_hash"),

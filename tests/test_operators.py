@@ -206,7 +206,7 @@ def test_exif_blocks(spark):
 def test_lookup_join_splits_hot_keys(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    out = lookup_join(rows, table, "k", "id", hot_rows=100, salts=7)
+    out = lookup_join(rows, table, "k", "id", rows_per_task=100)
     assert out.count() == 1000 and out.filter("k = 'hot' and first = 0").count() == 900
 
 

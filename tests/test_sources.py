@@ -124,6 +124,29 @@ def test_stream_life_cycles_equal_batch(spark, tmp_path):
     assert run_stream(spark, tmp_path, J.stream_analysis_lifecycle, "ana") == want
 
 
+def test_stream_life_cycles_take_late_events(spark, tmp_path):
+    """Several micro-batches in the wrong order give what the batch twins give."""
+    schema = "asset_id string, seq long, state string, error string"
+    parts = [[("a", 9, "PROCESSING", None), ("b", 9, "COMPLETED", None), ("c", 5, "READY", None), ("d", 4, "FAILED", "late")],
+             [("a", 3, "UPLOADED", None), ("b", 3, "FAILED", "old"), ("c", 2, "UPLOADED", None), ("d", 7, "FAILED", "new")],
+             [("c", 8, "PROCESSING", None), ("d", 1, "READY", None), ("d", 6, "UPLOADED", None)]]
+    src = str(tmp_path / "late")
+    ready = spark.createDataFrame([("b",), ("d",), ("d",)], "asset_id string")
+    for name, job, twin in (("asset", J.stream_asset_lifecycle, J.asset_lifecycle(spark.createDataFrame(sum(parts, []), schema))),
+                            ("gated", lambda e: J.stream_analysis_lifecycle(e, ready),
+                             J.analysis_lifecycle(spark.createDataFrame(sum(parts, []), schema), ready))):
+        last = {}
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{src}_{name}")
+            seen = []
+            q = job(spark.readStream.schema(schema).parquet(f"{src}_{name}")).writeStream.foreachBatch(
+                lambda d, i: seen.extend(d.collect())).outputMode("update").option(
+                "checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            last.update({r["asset_id"]: tuple(r) for r in seen})
+        assert set(last.values()) == {tuple(r) for r in twin.collect()}
+
+
 def test_stream_dedupe(spark, tmp_path):
     src = str(tmp_path / "hashes")
     spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "file_hash string, n int").write.parquet(src)
@@ -144,6 +167,14 @@ def test_providers(spark):
     got = {r["asset_id"]: r["processing_status"] for r in providers.run_vision_provider(df, analyze).collect()}
     assert got == {"a": "COMPLETED", "b": "FAILED", "c": "SKIPPED_NO_PROVIDER"}
 
+    def raises(path: pd.Series, prompt: pd.Series) -> pd.DataFrame:
+        if (path == "bad").any():
+            raise ValueError("no such model")
+        return pd.DataFrame({"response": ["{}"] * len(path), "error": [None] * len(path)})
+
+    got = {r["asset_id"]: (r["processing_status"], r["error_message"]) for r in providers.run_vision_provider(df, raises).collect()}
+    assert got == {"a": ("COMPLETED", None), "b": ("FAILED", "no such model"), "c": ("COMPLETED", None)}
+
 
 def test_quality_follows_analysis(spark, tmp_path):
     step = J.analysis_then_quality(lambda d: d.withColumn("r", F.lit(1)), lambda d: d.withColumn("q", F.lit(2)),
