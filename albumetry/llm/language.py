@@ -277,11 +277,11 @@ def fit(docs: DataFrame, held_out: int = 2, calibration: int = 1, sample: int =
     n_languages = max(1, sizes.count())
     most = max(1_000, MODEL_FLOATS // (2 * n_languages * n_languages))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= most).drop("_r").toPandas()
+    kept = counted.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= most).drop("_r").toArrow().to_pandas()
     model = kneser_ney({lang: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for lang, g in kept.groupby("lang")}, numbers)
     tested = chosen.filter(F.col("_fold") == calibration)
     # as many texts again at most: one in four of the sample
-    rows = tested.select("lang", "text").toPandas() if model.languages else pd.DataFrame({"lang": [], "text": []})
+    rows = tested.select("lang", "text").toArrow().to_pandas() if model.languages else pd.DataFrame({"lang": [], "text": []})
     model.calibrate(rows["text"].tolist(), rows["lang"].tolist())
     return model
 

@@ -50,16 +50,12 @@ def bit_of(c: str | Column, bits: int = BITMAP_BITS) -> Column:
 
 def bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bits of the ids' hashes, 2^bits of them whatever the number of ids; summed up by Spark in 4 kB rows."""
-    at = ids.select(bit_of(column, bits).alias("p"))
+    at = ids.select((bit_of(column, bits) + 1).alias("p"))  # the functions count from 1
     rows = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("b"))
-    out = np.zeros(1 << bits, dtype=bool)
-    for r in rows.collect():  # at most 2^bits / 32768 + 1 rows
-        part = np.unpackbits(np.frombuffer(r["b"], dtype=np.uint8), bitorder="little")
-        # bucket n > 0 holds values (n - 1) * 32768 + 1 .. n * 32768
-        start = (r["n"] - 1) * 32768 + 1
-        lo, hi = max(0, start), min(len(out), start + len(part))
-        out[lo:hi] |= part[lo - start: hi - start].astype(bool)
-    return np.packbits(out, bitorder="little")
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in rows.collect():  # at most 2^bits / 32768 rows
+        out[(r["n"] - 1) * 4096: r["n"] * 4096] = np.frombuffer(r["b"], dtype=np.uint8)
+    return out
 
 
 def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
