@@ -97,7 +97,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, list]]:
+def chunks(texts: list, limit: int = 1 << 19) -> Iterator[tuple[int, list]]:
     """(first row, texts) with about ``limit`` characters each, or one longer text."""
     at, size, first = [], 0, 0
     for k, t in enumerate(texts):

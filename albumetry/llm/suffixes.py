@@ -10,9 +10,9 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere is rem
    hash). A refined bucket with two suffixes or more is final too: all windows of its runs occur twice. Of it, one
    suffix goes on as a representative, so groups of copies shrink to one row before anything else happens.
 4. What is left are suffixes that part somewhere within their run, mostly at the ends of a passage. They fetch the bytes
-   around the anchor, and are refined again at every single offset: two suffixes of a bucket that agree on the window at
-   an offset share it. Buckets of up to ``SMALL`` suffixes are sorted in one task, as the method does with small
-   buckets; larger ones are refined by Spark as rows (bucket, offset, identifier) combined map-side.
+   around the anchor, and are refined again down to every single offset: two suffixes of a bucket that agree on the
+   window at an offset share it. Buckets of up to ``SMALL`` suffixes are sorted in one task, as the method does with
+   small buckets; larger ones are refined recursively by the identifiers of ever shorter stretches, as rows.
 
 Identifiers are 64-bit hashes of byte runs. Texts are shuffled only where a fixed-size bitmap says that the document
 takes part in step 4 or loses bytes.
@@ -20,7 +20,7 @@ takes part in step 4 or loses bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +30,13 @@ from pyspark.sql.types import BooleanType
 
 from albumetry.llm.shingles import mixed, prefix_hash, run_hash
 from albumetry.llm.streams import bit_of, bitmap, passes, whole_groups
-from albumetry.llm.tables import written
+from albumetry.llm.tables import kept_whole, written
 
 LENGTH = 400
 GRAM = 100
-PART = 1 << 21  # window starts handled at a time, also within one long text
+PART = 1 << 19  # window starts handled at a time, also within one long text
 SMALL = 512  # suffixes of a bucket that one task sorts
+CELLS = (32, 8, 1)  # offsets refined together in larger buckets, level by level
 KEY_BITS = 26  # 8 MB bitmap of repeated q-grams
 
 
@@ -51,7 +52,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], forth[width - 1: n])
 
 
-def parts_of(texts: list[bytes], length: int, limit: int = PART) -> Iterator[list[tuple[int, int, bytes]]]:
+def parts_of(texts: Iterable[bytes], length: int, limit: int = PART) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (row, first byte, bytes) with about ``limit`` bytes; long texts are cut so that every window lies in one part."""
     held, size = [], 0
     for row, text in enumerate(texts):
@@ -107,7 +108,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             cls, ids = batch["_cls"].to_numpy(), batch["doc_id"]
             own = pd.DataFrame({"cls": cls, "doc_id": ids, "n_bytes": batch["_n"], "crc": batch["_crc"]})
             yield own.assign(key=None, span=None, pos=None, lo=None, hi=None)[[c.split()[0] for c in ANCHOR.split(", ")]]
-            texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
+            texts = (t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"])
             for parts in parts_of(texts, length):
                 found = anchors_of(parts, length, gram)
                 row = found.pop("row")
@@ -138,7 +139,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
             for doc, cls, text, all_ in zip(batch["doc_id"], batch["cls"], batch["text"], batch["_all"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in all_:
-                    start = max(0, r["pos"] - reach)
+                    start = max(0, r["pos"] - reach - CELLS[0])
                     rows.append((r["key"], cls, doc, r["pos"], r["lo"], r["hi"], r["final"], r["many"],
                                  r["pos"] - start, raw[start: r["pos"] + length]))
                 if len(rows) > 4096:
@@ -217,24 +218,85 @@ def _sorted_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
     return rows.mapInPandas(sort, SPAN)
 
 
-def _refined_as_rows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for large buckets: one row per suffix and offset, grouped by identifier with partial sums."""
+def _cells(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(core, extent, known) of cells of ``width`` offsets from ``cell`` on: hashes of what all windows of the cell share
+    and of all that they cover, the latter where the text goes that far."""
+    raw = part["bytes"].tolist()
+    sizes = np.array([len(b) for b in raw])
+    base = (np.cumsum(sizes) - sizes)[row]
+    prefix = prefix_hash(np.frombuffer(b"".join(raw), dtype=np.uint8))
+    at = part["before"].to_numpy().astype(np.int64)[row] - cell
+    first, last = at - width + 1, at + length
+    known = (first >= 0) & (last <= sizes[row])
+    core = run_hash(prefix, base + at, base + at - width + 1 + length)
+    extent = run_hash(prefix, base + np.maximum(first, 0), base + np.minimum(last, sizes[row]))
+    here = mixed(part["key"].to_numpy().astype(np.int64).view(np.uint64)[row] ^ mixed(cell.astype(np.uint64)))
+    return mixed(core ^ here), mixed(extent ^ here ^ np.uint64(1)), known
+
+
+LEVEL = ("core long, extent long, cell int, suffix long, doc_id long, cls long, pos int, lo int, hi int, open boolean")
+
+
+def _level(contexts: DataFrame, width: int, above: int, length: int) -> DataFrame:
+    """Rows (bucket, cell of offsets, identifiers) of the contexts: all owned cells at the top, else parts of ``_alive``."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 one = batch.iloc[a: a + 2048].reset_index(drop=True)
-                row, offset, window = _windows(one, length)
-                key = one["key"].to_numpy().astype(np.int64).view(np.uint64)[row]
-                yield pd.DataFrame({
-                    "ident": mixed(window ^ mixed(key ^ mixed(offset.astype(np.uint64)))).view(np.int64),
-                    "doc_id": one["doc_id"].to_numpy()[row], "cls": one["cls"].to_numpy()[row],
-                    "pos": one["pos"].to_numpy()[row], "start": one["pos"].to_numpy()[row] - offset,
-                    "final": one["final"].to_numpy()[row]})
-
-    rows = contexts.mapInPandas(emit, "ident long, doc_id long, cls long, pos int, start int, final boolean")
-    twice = rows.groupBy("ident").agg(F.min(_suffix()).alias("_a"), F.max(_suffix()).alias("_b")).filter("_a <> _b").select("ident")
-    return rows.filter("not final").join(twice, "ident").select("doc_id", "cls", "start", (F.col("start") + length).alias("end"))
+                low = (one["pos"] - one["hi"]).to_numpy().astype(np.int64)
+                high = (one["pos"] - one["lo"]).to_numpy().astype(np.int64)
+                if "_alive" in one:
+                    held = [(k, r["cell"], r["open"]) for k, cells in enumerate(one["_alive"]) for r in cells]
+                    row = np.repeat(np.array([h[0] for h in held], dtype=np.int64), above // width)
+                    cell = np.repeat(np.array([h[1] for h in held], dtype=np.int64), above // width)
+                    cell += np.tile(np.arange(0, above, width), len(held))
+                    is_open = np.repeat(np.array([h[2] for h in held], dtype=bool), above // width)
+                else:
+                    counts = high // width - low // width + 1
+                    row = np.repeat(np.arange(len(one)), counts)
+                    cell = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + (low // width)[row]) * width
+                    is_open = ~one["final"].to_numpy().astype(bool)[row]
+                owned = (cell <= high[row]) & (cell + width > low[row])
+                row, cell, is_open = row[owned], cell[owned], is_open[owned]
+                core, extent, known = _cells(one, row, cell, width, length)
+                out = {c: one[c].to_numpy()[row] for c in ("suffix", "doc_id", "cls", "pos", "lo", "hi")}
+                yield pd.DataFrame({"core": core.view(np.int64), "extent": pd.array(extent.view(np.int64), dtype="Int64"),
+                                    "cell": cell, **out, "open": is_open}).assign(
+                    extent=lambda d: d["extent"].where(known))[[c.split()[0] for c in LEVEL.split(", ")]]
+
+    return contexts.mapInPandas(emit, LEVEL)
+
+
+def _refined_by_level(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for large buckets, from coarse to fine cells of offsets.
+
+    A cell whose extent another suffix shares is done; a cell whose core no other suffix shares holds nothing; the rest
+    goes on in smaller cells, with one representative of each finished class beside it. All classes are formed by
+    partial sums, so no bucket meets in a task.
+    """
+    contexts = written(contexts.withColumn("suffix", _suffix()))
+    spans, alive = [], None
+    for width, above in zip(CELLS, (0, *CELLS)):
+        here = contexts if alive is None else contexts.join(alive, ["suffix", "lo"])
+        rows = written(_level(here, width, above, length))
+        shared = rows.filter("extent is not null").groupBy("extent").agg(F.min("suffix").alias("_one"), F.max("suffix").alias("_b"))
+        shared = shared.filter("_one <> _b").drop("_b")
+        likely = rows.groupBy("core").agg(F.min("suffix").alias("_a"), F.max("suffix").alias("_b"), F.bool_or("open").alias("_open"))
+        rows = rows.join(likely.filter("_a <> _b and _open").select("core"), "core").join(shared, "extent", "left")
+        rows = written(rows)
+        found = rows.filter("open and _one is not null")
+        # owned windows of the cell: offsets from the larger lower end to the smaller upper end
+        first = F.greatest(F.col("lo"), F.col("pos") - F.col("cell") - (width - 1))
+        last = F.least(F.col("hi"), F.col("pos") - F.col("cell"))
+        spans.append(found.select("doc_id", "cls", first.cast("int").alias("start"), (last + length).cast("int").alias("end")))
+        onward = (F.col("open") & F.col("_one").isNull()) | F.col("_one").isNull() | (F.col("suffix") == F.col("_one"))
+        alive = rows.filter(onward).withColumn("open", F.col("open") & F.col("_one").isNull())
+        alive = alive.groupBy("suffix", "lo").agg(F.collect_list(F.struct("cell", "open")).alias("_alive"))  # within one run
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -275,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     wanted = buckets.join(open_keys.select("key", (F.col("_n") > SMALL).alias("many")), "key")
     wanted = written(wanted.select("key", "cls", "doc_id", "pos", "lo", "hi", "final", "many"))
     contexts = written(_contexts(docs, wanted, length, gram))
-    edges = _sorted_in_tasks(contexts.filter("not many"), length).unionByName(_refined_as_rows(contexts.filter("many"), length))
+    edges = _sorted_in_tasks(contexts.filter("not many"), length).unionByName(_refined_by_level(contexts.filter("many"), length))
     return whole.unionByName(edges), copies
 
 
@@ -314,7 +376,7 @@ def _touched(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     def hit(at: pd.Series) -> pd.Series:
         return pd.Series(passes(bits.value, at.to_numpy()))
 
-    named = _named(docs).withColumn("_hit", hit(bit_of(F.col("doc_id").cast("long"))))
+    named = _named(kept_whole(docs, "doc_id", "text")).withColumn("_hit", hit(bit_of(F.col("doc_id").cast("long"))))
     met = named.filter("_hit").join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_cls") == F.col("_c")), "left")
     return named.filter("not _hit"), met
 
@@ -367,7 +429,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 out.append(_cut(raw, [(0, len(raw))] if c else _merged(s, len(raw))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    met = met.withColumn("text", cut("text", "_spans", F.coalesce("_copy", F.lit(False))))
+    met = met.withColumn("_text", cut("text", "_spans", F.coalesce("_copy", F.lit(False))))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return clean.select(*docs.columns).unionByName(met.select(*docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("_spans").isNull() & ~F.coalesce("_copy", F.lit(False)), F.col("row.n_chars")).otherwise(
+            F.length("_text").cast(kind))
+    return clean.select("row.*").unionByName(met.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
