@@ -211,9 +211,10 @@ def _reached(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def group_funnel(items: DataFrame) -> DataFrame:
+def group_funnel(items: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """Pairs compared → within the hash radius → rules passed → groups, for
-    exact, near and similar grouping."""
+    exact, near and similar grouping. ``details`` as in ``near_pairs``."""
+    details = items if details is None else details
     base = written(G.copy_items(items))
     exact = written(R.exact_groups(items))
 
@@ -234,7 +235,7 @@ def group_funnel(items: DataFrame) -> DataFrame:
         "compared": _pairs_seen(all_rows), "matched": taken(exact), "accepted": taken(exact), "groups": group_count(exact),
     })
     rest = base.join(exact.select("id"), "id", "left_anti")
-    close = written(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), items))
+    close = written(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details))
     near = written(G.leader_groups(close.filter(P.near_valid())))
     near_rows = ranked(rest, near)
     out = out.unionByName(_funnel_rows("near", {
@@ -243,7 +244,7 @@ def group_funnel(items: DataFrame) -> DataFrame:
     }))
     rest = rest.join(near.select("id"), "id", "left_anti")
     far = written(P.near_items(rest, vocab.SIMILAR_RADIUS))
-    judged = P.similar_verdict(R.with_details(far, items)).filter("is_similar")
+    judged = P.similar_verdict(R.with_details(far, details)).filter("is_similar")
     similar = written(G.leader_groups(judged))
     similar_rows = ranked(rest, similar)
     return out.unionByName(_funnel_rows("similar", {

@@ -89,31 +89,36 @@ def with_details(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return P.attach_sides(pairs, details)
 
 
-def near_pairs(items: DataFrame, exact: DataFrame) -> DataFrame:
-    """Accepted near pairs among items outside exact groups, earlier item left."""
+def near_pairs(items: DataFrame, exact: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """Accepted near pairs among items outside exact groups, earlier item left.
+
+    ``details`` gives the columns that the rules read, where ``items`` holds only id, order and hash.
+    """
     rest = G.copy_items(items).join(exact.select("id"), "id", "left_anti")
     found = P.near_items(rest, vocab.NEAR_RADIUS)
-    return with_details(found, items).filter(P.near_valid())
+    return with_details(found, items if details is None else details).filter(P.near_valid())
 
 
-def near_groups(items: DataFrame, exact: DataFrame) -> DataFrame:
-    return G.leader_groups(near_pairs(items, exact))
+def near_groups(items: DataFrame, exact: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    return G.leader_groups(near_pairs(items, exact, details))
 
 
-def similar_pairs(items: DataFrame, exact: DataFrame, near: DataFrame, keep_metric_keys: bool = False) -> DataFrame:
+def similar_pairs(items: DataFrame, exact: DataFrame, near: DataFrame, keep_metric_keys: bool = False,
+                  details: DataFrame | None = None) -> DataFrame:
     """Accepted similar pairs outside exact and near groups."""
     taken = exact.select("id").unionByName(near.select("id"))
     rest = G.copy_items(items).join(taken, "id", "left_anti")
     found = P.near_items(rest, vocab.SIMILAR_RADIUS)
-    judged = P.similar_verdict(with_details(found, items), keep_metric_keys)
+    judged = P.similar_verdict(with_details(found, items if details is None else details), keep_metric_keys)
     return judged.filter("is_similar").select(
         "a_id", "a_ord", "b_id", "b_ord", "distance", "consistency", "confidence", "reasons", "explanation"
     )
 
 
-def similar_groups(items: DataFrame, exact: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_groups(items: DataFrame, exact: DataFrame, near: DataFrame,
+                   details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Group rows, and per group the highest confidence with its explanation."""
-    edges = written(similar_pairs(items, exact, near))
+    edges = written(similar_pairs(items, exact, near, details=details))
     grouped = written(G.leader_groups(edges))
     joined = grouped.select(F.col("leader_id").alias("a_id"), F.col("id").alias("b_id")).join(edges, ["a_id", "b_id"])
     best = joined.groupBy(F.col("a_id").alias("leader_id")).agg(
@@ -126,8 +131,13 @@ def similar_groups(items: DataFrame, exact: DataFrame, near: DataFrame) -> tuple
 
 # --- totals --------------------------------------------------------------------------------
 
-def category_summary(items: DataFrame, exact: DataFrame, near: DataFrame, hide_empty: bool = True) -> DataFrame:
-    """Per category: entries (groups count once), items and recoverable bytes."""
+def category_summary(items: DataFrame, exact: DataFrame, near: DataFrame, hide_empty: bool = True,
+                     narrow: DataFrame | None = None) -> DataFrame:
+    """Per category: entries (groups count once), items and recoverable bytes.
+
+    ``items`` is read once, for the classes; ``narrow`` may hold the same items without texts for the groups.
+    """
+    narrow = items if narrow is None else narrow
     flags = items.agg(
         *[
             F.struct(F.count_if(hit).alias("items"), F.coalesce(F.sum(F.when(hit, F.col("file_size"))), F.lit(0)).alias("bytes")).alias(name)
@@ -155,7 +165,7 @@ def category_summary(items: DataFrame, exact: DataFrame, near: DataFrame, hide_e
     ).select("c.*")
 
     def of_groups(place: int, name: str, grouped: DataFrame) -> DataFrame:
-        saved = G.group_savings(G.group_members(grouped, items))
+        saved = G.group_savings(G.group_members(grouped, narrow))
         return saved.agg(
             F.lit(place).alias("place"), F.lit(name).alias("category"), F.count("*").alias("entries"),
             F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("savings"), F.lit(0)).alias("bytes"),
@@ -170,16 +180,17 @@ def recoverable_bytes(summary: DataFrame) -> DataFrame:
     return summary.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("recoverable_bytes"))
 
 
-def distinct_recoverable_bytes(items: DataFrame, exact: DataFrame, near: DataFrame) -> DataFrame:
+def distinct_recoverable_bytes(items: DataFrame, exact: DataFrame, near: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     """Same, every asset once: copies that are not the largest of their group,
     low quality and screenshots."""
+    narrow = items if narrow is None else narrow
     grouped = exact.unionByName(near)
-    members = written(G.group_members(grouped, items))
+    members = written(G.group_members(grouped, narrow))
     kept = members.groupBy("leader_id").agg(F.min(F.struct((-F.col("file_size")).alias("s"), "ord", "id")).alias("k"))
     spare = members.select("id").join(kept.select(F.col("k.id").alias("id")), "id", "left_anti")
     flagged = items.filter(Q.is_low_quality(F.col("quality_grade"), F.col("overall_score")) | is_screenshot_item())
     ids_ = spare.select(F.col("id").alias("asset_id")).unionByName(flagged.select("asset_id")).distinct()
-    return items.join(ids_, "asset_id", "left_semi").agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("distinct_bytes"))
+    return narrow.join(ids_, "asset_id", "left_semi").agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("distinct_bytes"))
 
 
 def library_health(summary: DataFrame, photos: DataFrame) -> DataFrame:

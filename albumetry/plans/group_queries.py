@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from albumetry import vocab
@@ -17,12 +19,17 @@ from albumetry.operators import recommend as R
 from albumetry.plans import views as W
 from albumetry.plans.registry import joined, query
 from albumetry.plans.sql import NOW, any_in, one_of, with_views
-from albumetry.session import written
+from albumetry.session import scratch_dir, written
 from albumetry.streaming import jobs as J
 
 
+NARROW = ["asset_id", "filename", "file_size", "taken_at", "created_at", "p_hash", "quality_grade", "overall_score", "issues"]
+
+
 def _items(spark, sf):
-    return written(W.items(spark, sf))
+    """(items without any text, written once; items with all that the rules read, from the source)."""
+    items = W.items(spark, sf)
+    return written(items.select(*NARROW)), items
 
 
 def _plain(spark, sf):
@@ -126,10 +133,30 @@ def exact_groups(spark, sf):
     return R.exact_groups(_plain(spark, sf))
 
 
+MIXED = {
+    "coded": """SELECT a.*, CASE WHEN width % 4 = 0 THEN NULL ELSE bits END AS code, row_number() OVER (ORDER BY created_at DESC, a.asset_id) AS pos,
+        file_size || '|' || epoch_us(taken_at) || '|' || regexp_replace(regexp_replace(lower(filename), '\\.[^.]*$', ''), ' \\(copy 1\\)', '') AS fallback
+        FROM assets a JOIN hashed h ON h.asset_id = a.asset_id WHERE NOT is_deleted""",
+    "mixed_edges": """SELECT a.pos AS a, b.pos AS b FROM coded a JOIN coded b ON a.pos < b.pos
+        AND CASE WHEN a.code IS NOT NULL AND b.code IS NOT NULL THEN a.code = b.code ELSE a.fallback = b.fallback END""",
+    **scan_sql("mixed", "mixed_edges"),
+}
+
+
+@query("exact_groups_mixed", with_views(
+    "SELECT x.asset_id AS leader_id, y.asset_id AS id FROM mixed_led JOIN coded x ON x.pos = leader JOIN coded y ON y.pos = member",
+    "assets", "hashed", recursive=True, **MIXED))
+def exact_groups_mixed(spark, sf):
+    """Part of the items have no hash, part an upper-case one."""
+    items = C.active(W.assets(spark, sf, p_hash=True))
+    part = F.col("width") % 4
+    return R.exact_groups(written(items.withColumn("p_hash", F.when(part == 1, F.upper("p_hash")).when(part != 0, F.col("p_hash")))))
+
+
 @query("near_pairs", with_views("SELECT a_id, b_id, distance FROM close WHERE accepted", "worded", close=CLOSE))
 def near_pairs(spark, sf):
-    items = _items(spark, sf)
-    out = R.near_pairs(items, R.exact_groups(items))
+    items, details = _items(spark, sf)
+    out = R.near_pairs(items, R.exact_groups(items), details)
     return out.select("a_id", "b_id", F.col("distance").cast("long").alias("distance"))
 
 
@@ -137,9 +164,9 @@ def near_pairs(spark, sf):
     "SELECT a_id, b_id, " + ", ".join(f"{n}_rule" for n in RULES) + ", CASE WHEN accepted THEN 'ACCEPTED' ELSE 'REJECTED' END AS decision FROM close",
     "worded", close=CLOSE))
 def rule_trace(spark, sf):
-    items = _items(spark, sf)
+    items, details = _items(spark, sf)
     rest = G.copy_items(items).join(R.exact_groups(items).select("id"), "id", "left_anti")
-    out = P.rule_trace(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), items))
+    out = P.rule_trace(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details))
     return out.select("a_id", "b_id", *[f"{n}_rule" for n in RULES], "decision")
 
 
@@ -148,8 +175,8 @@ NAMED = "SELECT x.asset_id AS leader_id, y.asset_id AS id FROM {0}_led JOIN lone
 
 @query("near_groups", with_views(NAMED.format("near"), "worded", recursive=True, **NEAR))
 def near_groups(spark, sf):
-    items = _items(spark, sf)
-    return R.near_groups(items, written(R.exact_groups(items)))
+    items, details = _items(spark, sf)
+    return R.near_groups(items, written(R.exact_groups(items)), details)
 
 
 DOCS = "coalesce(a.document_type, '') <> '' AND coalesce(b.document_type, '') <> ''"
@@ -181,16 +208,16 @@ SIMILAR_ALL = {**NEAR, **SIMILAR, **scan_sql("alike", "alike_edges")}
 
 @query("similar_pairs", with_views("SELECT a_id, b_id, distance, consistency, confidence, explanation FROM alike_edges", "worded", recursive=True, **NEAR, **SIMILAR))
 def similar_pairs(spark, sf):
-    items = _items(spark, sf)
+    items, details = _items(spark, sf)
     exact = written(R.exact_groups(items))
-    out = R.similar_pairs(items, exact, R.near_groups(items, exact))
+    out = R.similar_pairs(items, exact, written(R.near_groups(items, exact, details)), details=details)
     return out.select("a_id", "b_id", F.col("distance").cast("long").alias("distance"), "consistency", "confidence", "explanation")
 
 
 def _similar(spark, sf):
-    items = _items(spark, sf)
+    items, details = _items(spark, sf)
     exact = written(R.exact_groups(items))
-    return R.similar_groups(items, exact, R.near_groups(items, exact))
+    return R.similar_groups(items, exact, written(R.near_groups(items, exact, details)), details)
 
 
 @query("similar_groups", with_views(NAMED.format("alike"), "worded", recursive=True, **SIMILAR_ALL))
@@ -294,28 +321,29 @@ SUMMARY = {k: SUMMARY[k] for k in ("near_named", "grouped", "freed", "summary")}
 
 
 def _summary(spark, sf):
-    items = _items(spark, sf)
-    exact = written(R.exact_groups(items))
-    near = written(R.near_groups(items, exact))
-    return items, exact, near, R.category_summary(items, exact, near)
+    """(items without texts, items, exact groups, near groups, summary)."""
+    narrow, items = _items(spark, sf)
+    exact = written(R.exact_groups(narrow))
+    near = written(R.near_groups(narrow, exact, items))
+    return narrow, items, exact, near, R.category_summary(items, exact, near, narrow=narrow)
 
 
 @query("category_summary", with_views("SELECT place, category, entries, items, bytes FROM summary", "worded", recursive=True, **NEAR, **SUMMARY))
 def category_summary(spark, sf):
-    return _summary(spark, sf)[3]
+    return _summary(spark, sf)[4]
 
 
 @query("recoverable_bytes", with_views("SELECT CAST(sum(bytes) AS BIGINT) AS recoverable_bytes FROM summary", "worded", recursive=True, **NEAR, **SUMMARY))
 def recoverable_bytes(spark, sf):
-    return R.recoverable_bytes(_summary(spark, sf)[3])
+    return R.recoverable_bytes(_summary(spark, sf)[4])
 
 
 @query("distinct_recoverable_bytes", with_views(f"""SELECT CAST(sum(file_size) AS BIGINT) AS distinct_bytes FROM items WHERE {IS_LOW} OR {IS_SHOT} OR asset_id IN (
     SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY leader_id ORDER BY file_size DESC, created_at DESC, id) AS p FROM grouped JOIN items ON asset_id = id) WHERE p > 1)""",
     "worded", recursive=True, **NEAR, **SUMMARY))
 def distinct_recoverable_bytes(spark, sf):
-    items, exact, near, _ = _summary(spark, sf)
-    return R.distinct_recoverable_bytes(items, exact, near)
+    narrow, items, exact, near, _ = _summary(spark, sf)
+    return R.distinct_recoverable_bytes(items, exact, near, narrow)
 
 
 @query("library_health", with_views("""
@@ -326,8 +354,8 @@ FROM (SELECT CAST(sum(entries) AS BIGINT) AS review_items, sum(bytes) AS total,
     coalesce(sum(bytes) FILTER (category = 'near_duplicates'), 0) AS near, coalesce(sum(items) FILTER (category = 'screenshots'), 0) AS shots,
     first(category ORDER BY bytes DESC, place) FILTER (place <= 3) AS biggest_opportunity FROM summary), (SELECT count(*) AS photos FROM items)""", "worded", recursive=True, **NEAR, **SUMMARY))
 def library_health(spark, sf):
-    items, _, _, summary = _summary(spark, sf)
-    return R.library_health(summary, items)
+    narrow, _, _, _, summary = _summary(spark, sf)
+    return R.library_health(summary, narrow)
 
 
 # --- analytics --------------------------------------------------------------------------------
@@ -361,7 +389,7 @@ A_LOW = "(quality_grade IN ('POOR', 'VERY_POOR') OR (quality_grade = 'FAIR' AND
 @query("potential_savings", with_views(f"""SELECT *, duplicate_savings + low_quality_bytes AS potential_savings FROM (SELECT count(*) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS duplicate_count, CAST(sum(s) AS BIGINT) AS duplicate_savings FROM dup_sets),
     (SELECT CAST(sum(file_size) AS BIGINT) AS low_quality_bytes FROM items WHERE {A_LOW})""", "items", recursive=True, **CLASSES))
 def potential_savings(spark, sf):
-    return A.potential_savings(_items(spark, sf))
+    return A.potential_savings(_items(spark, sf)[0])
 
 
 @query("analytics_low_quality", with_views(f"SELECT asset_id, quality_grade FROM items WHERE {A_LOW}", "items"))
@@ -456,7 +484,7 @@ def class_funnel(spark, sf):
 
 @query("group_funnel")
 def group_funnel(spark, sf):
-    return U.group_funnel(_items(spark, sf))
+    return U.group_funnel(*_items(spark, sf))
 
 
 # --- life cycles ---------------------------------------------------------------------------------
@@ -465,17 +493,53 @@ STATES = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.LI
 ANALYSIS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.ANALYSIS_STATES.items()) + " END"
 
 
-@query("asset_lifecycle", f"""
+ASSET_STATUS = f"""
 WITH e AS (SELECT user_id AS asset_id, event_id AS seq, {STATES} AS state, CASE WHEN event_type = 'error' THEN 'failed with ' || props END AS error FROM events),
 since AS (SELECT * FROM e WHERE seq >= coalesce((SELECT max(seq) FROM e r WHERE r.asset_id = e.asset_id AND r.state = 'UPLOADED'), 0)),
 fin AS (SELECT asset_id, bool_or(state = 'READY') AS done, last(state ORDER BY seq) AS state, last(error ORDER BY seq) AS error FROM since GROUP BY asset_id)
-SELECT asset_id, CASE WHEN done THEN 'READY' ELSE state END AS status, CASE WHEN NOT done AND state = 'FAILED' THEN error END AS error_message FROM fin""")
+SELECT asset_id, CASE WHEN done THEN 'READY' ELSE state END AS status, CASE WHEN NOT done AND state = 'FAILED' THEN error END AS error_message FROM fin"""
+
+
+@query("asset_lifecycle", ASSET_STATUS)
 def asset_lifecycle(spark, sf):
     return J.asset_lifecycle(W.status_events(spark, sf, W.LIFECYCLE_STATES))
 
 
-@query("analysis_lifecycle", f"""
+ANALYSIS_STATUS = f"""
 WITH e AS (SELECT user_id AS asset_id, event_id AS seq, {ANALYSIS} AS state, CASE WHEN event_type = 'error' THEN 'failed with ' || props END AS error FROM events)
-SELECT asset_id, last(state ORDER BY seq) AS status, count(*) FILTER (state = 'FAILED') AS retry_count, last(error ORDER BY seq) FILTER (state = 'FAILED') AS error_message FROM e GROUP BY asset_id""")
+SELECT asset_id, last(state ORDER BY seq) AS status, count(*) FILTER (state = 'FAILED') AS retry_count, last(error ORDER BY seq) FILTER (state = 'FAILED') AS error_message FROM e GROUP BY asset_id"""
+
+
+@query("analysis_lifecycle", ANALYSIS_STATUS)
 def analysis_lifecycle(spark, sf):
     return J.analysis_lifecycle(W.status_events(spark, sf, W.ANALYSIS_STATES))
+
+
+def _streamed(spark, sf, states, job):
+    """Last row per asset of a life-cycle job that runs over the events as a stream, as far as they are there."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    schema = W.table(spark, sf, "events").schema
+    # as a pattern: a stream's path must else be a folder
+    events = W.status_of(spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet"), states)
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    job(events).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    values = [c for c in rows.columns if c not in ("asset_id", "batch")]
+    return rows.groupBy("asset_id").agg(F.max_by(F.struct(*values), "batch").alias("v")).select("asset_id", "v.*")
+
+
+@query("stream_asset_lifecycle", ASSET_STATUS)
+def stream_asset_lifecycle(spark, sf):
+    return _streamed(spark, sf, W.LIFECYCLE_STATES, J.stream_asset_lifecycle)
+
+
+@query("stream_analysis_lifecycle", ANALYSIS_STATUS)
+def stream_analysis_lifecycle(spark, sf):
+    return _streamed(spark, sf, W.ANALYSIS_STATES, J.stream_analysis_lifecycle)
+

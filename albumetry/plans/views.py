@@ -186,7 +186,11 @@ ANALYSIS_STATES = {"view": "PENDING", "click": "PROCESSING", "signup": "SKIPPED_
 
 
 def status_events(spark: SparkSession, sf_dir: str, states: dict[str, str]) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return status_of(table(spark, sf_dir, "events"), states)
+
+
+def status_of(e: DataFrame, states: dict[str, str]) -> DataFrame:
+    """Status events of a table or stream of events."""
     state = _pick(F.col("event_type"), states, F.lit(None).cast("string"))
     return e.select(
         F.col("user_id").alias("asset_id"), F.col("event_id").alias("seq"), state.alias("state"),
