@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from albumetry.llm.tables import text_batches
+
 DEEPEST = 400  # elements nested deeper become siblings, as in browsers
 TABLES = 8  # tables nested deeper are laid out as plain blocks
 WIDEST = 60  # longer cells do not widen their column
@@ -379,4 +381,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [render(p) if isinstance(p, str) else None for p in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "text": pd.Series(text, dtype=object)})
 
-    return pages.select("page_id", "html").mapInPandas(rendered, f"page_id {kind}, text string")
+    return text_batches(pages).select("page_id", "html").mapInPandas(rendered, f"page_id {kind}, text string")

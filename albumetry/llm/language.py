@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumetry.llm.shingles import chunks, mixed
-from albumetry.llm.tables import kept_whole
+from albumetry.llm.tables import kept_whole, text_batches
 
 ORDER = 5
 BITS = 12  # of a letter's number in a gram
@@ -256,7 +256,7 @@ def fold_of(doc_id: Column) -> Column:
 def fit(docs: DataFrame, held_out: int = 2, calibration: int = 1, sample: int = SAMPLE) -> Model:
     """Model from labelled texts outside the fold ``held_out``; the fold ``calibration`` sets limits only."""
     spark = docs.sparkSession
-    learn = docs.select("doc_id", "lang", "text").withColumn("_fold", fold_of(F.col("doc_id"))).filter(
+    learn = text_batches(docs).select("doc_id", "lang", "text").withColumn("_fold", fold_of(F.col("doc_id"))).filter(
         (F.col("_fold") != held_out) & F.col("lang").isNotNull())
     sizes = learn.groupBy("lang").agg(F.count("*").alias("_n"))
     chance = (F.lit(float(sample)) / F.col("_n") * (1 << 30)).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from albumetry.llm import shingles
 from albumetry.llm.components import connected
 from albumetry.llm.streams import bit_of, bitmap, local_labels, passes, whole_groups
-from albumetry.llm.tables import written
+from albumetry.llm.tables import text_batches, written
 
 COORDINATES = 64
 Z = 4.2
@@ -286,6 +286,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     whole; an empty table gives no rows; other columns are ignored.
     """
     matches = least_matches(similarity)
+    docs = text_batches(docs)
     all_rows = written(signed(docs))
     folded = all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),

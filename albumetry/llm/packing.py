@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumetry.llm.tables import text_batches
+
 LENGTH = 2048
 GROUP = 8192  # documents packed together; bounds a task's rows
 END = 1  # id that closes a document
@@ -174,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
     packed as documents of their own (in one group); null ids form a group like an id; an empty table gives no rows;
     other columns are ignored. Texts of any length are cut, never shortened.
     """
-    groups = max(1, -(-docs.count() // group))
+    groups = max(1, -(-text_batches(docs).count() // group))
     cut = pieces(docs, tokenizer, length).withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

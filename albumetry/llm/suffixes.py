@@ -30,7 +30,7 @@ from pyspark.sql.types import BooleanType
 
 from albumetry.llm.shingles import mixed, prefix_hash, run_hash
 from albumetry.llm.streams import bit_of, bitmap, passes, whole_groups
-from albumetry.llm.tables import kept_whole, written
+from albumetry.llm.tables import kept_whole, text_batches, written
 
 LENGTH = 400
 GRAM = 100
@@ -363,7 +363,7 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _touched(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(documents that lose nothing for certain, the others with _copy and _spans), with the columns of ``_named``."""
-    spans, copies = repeated_spans(docs, length, gram)
+    spans, copies = repeated_spans(text_batches(docs), length, gram)
     code = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
     per = spans.groupBy("doc_id", "cls").agg(F.collect_list(code).alias("_spans"))  # within one text
     per = per.join(copies.select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"), F.lit(True).alias("_copy")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from albumetry.session import written
 
-__all__ = ["read", "written", "SPACES", "word_count", "words", "unit_hash", "kept_whole"]
+__all__ = ["read", "written", "SPACES", "word_count", "words", "unit_hash", "kept_whole", "text_batches"]
 
 # ASCII white space that separates words: \x20 and \x09 to \x0D
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,6 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most ``BATCH`` rows at a time to Python, as rows may hold long texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
