@@ -102,7 +102,8 @@ def _plan(sized: DataFrame, weights: tuple, most: int) -> DataFrame:
     """(_s, source_size, target, whole, cut) per source."""
     goal = written(targets(sized, weights, most))
     cuts = thresholds(sized, goal).select(F.col("source").alias("_s"), "whole", "cut")
-    return goal.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "source_size", "target", "whole", "cut")
+    plan = goal.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "source_size", "target", "whole", "cut")
+    return written(plan)  # with its size known, the planner sends it to the texts while it is small
 
 
 def _times(most: int):
