@@ -25,7 +25,7 @@ WIDEST = 60  # longer cells do not widen their column
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style title template noscript noembed noframes iframe object video audio canvas svg math datalist "
+    "head script style title template noscript noembed noframes iframe object video audio canvas datalist "
     "meta link base param source track area map rp dialog".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -36,6 +36,9 @@ LISTS = frozenset("ul ol menu dir".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt tbody td tfoot th thead tr option optgroup legend".split())
 BOXES = frozenset("select button ruby".split())
 INNER = frozenset("tr td th tbody thead tfoot caption".split())
+CELLS = frozenset(("td", "th"))
+FOREIGN = frozenset(("svg", "math"))
+ABOUT = frozenset("metadata desc annotation annotation-xml".split())  # describe a drawing or a formula, unseen there
 # start tag -> (elements that it ends, elements beyond which it does not look)
 ENDS = {
     "li": ({"li"}, LISTS | {"table"}),
@@ -91,6 +94,18 @@ def tree(page: str) -> Element:
             if stack[k].tag in beyond:
                 return
 
+    def end_row_content() -> None:
+        """A cell ends all that is open in its row; what is hidden as a whole keeps its cells."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == "tr":
+                del stack[k + 1:]
+                return
+            if stack[k].tag == "table" or stack[k].tag in HIDDEN:
+                return
+
+    def foreign() -> bool:
+        return next((e.tag in FOREIGN for e in reversed(stack) if e.tag in FOREIGN or e.tag == "foreignobject"), False)
+
     while at < end:
         mark = page.find("<", at)
         if mark < 0:
@@ -126,10 +141,16 @@ def tree(page: str) -> Element:
             close({"p"}, {"table", "td", "th", "li", "button", "caption"})
         if tag in ENDS:
             close(*ENDS[tag])
+        if tag in CELLS:
+            end_row_content()
         one = Element(tag, _attributes(found[3]) if found[3] else {})
         stack[-1].children.append(one)
         if tag in VOID:
             continue
+        if tag in ABOUT and foreign():
+            one.attrs["hidden"] = ""
+        if found[3].endswith("/") and foreign():
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             inside = page[at: stop.start()] if stop else page[at:]
@@ -223,10 +244,11 @@ def _grid(table: Element) -> tuple[list[Element], list[list[Element]]]:
         elif not visible(e):
             continue
         elif e.tag == "tr":
-            rows.append([c for c in e.children if isinstance(c, Element) and c.tag in ("td", "th") and visible(c)])
+            rows.append([c for c in e.children if isinstance(c, Element) and c.tag in CELLS and visible(c)])
+            other += [c for c in e.children if (c.strip() if isinstance(c, str) else c.tag not in CELLS and visible(c))]
         elif e.tag in ("tbody", "thead", "tfoot"):
             todo += reversed(e.children)
-        elif e.tag in ("td", "th"):
+        elif e.tag in CELLS:
             rows.append([e])
         else:
             other.append(e)
@@ -301,7 +323,7 @@ def _lay_out(out: Page, nodes: list, depth: int) -> None:
             if e.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email"):
                 out.text(e.attrs.get("value", ""))
             continue
-        if tag in ("td", "th"):  # outside a laid-out table
+        if tag in CELLS or tag == "text":  # outside a laid-out table; labels of a drawing
             out.text(" ")
         if tag not in BLOCK:
             todo += [("in", c, e) for c in reversed(e.children)]

@@ -23,8 +23,21 @@ CASES = [
     ("", ""), ("<", "<"), ("x<a", "x"), ("</p>q", "q"), ("<script>x", ""), ("x<a '", "x"),
 ]
 
+# what stands in a row beside its cells, in drawings and in formulas
+SEEN = [
+    ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+    ("<table><tr><center><td>A</td></center><td>B</table>", "A  B"),
+    ("<table><tr><a href=x>go<td>A</td></a></tr></table>", "go\nA"),
+    ("<table><tr>text<td>A</td> more</tr><tr><td>B</table>", "text\nmore\nA\nB"),
+    ("<table><tr><div>d<table><tr><td>in</table></div><td>A</table>", "d\n\nin\n\nA"),
+    ("<table><tr><noscript><td>no</td></noscript><td>A<b hidden>no</b></table>", "A"),
+    ("<svg><title>no</title><desc>no</desc><metadata>no</metadata><text>one</text><text>two</text></svg>", "one two"),
+    ("<svg><title/><path d='M0'/><text>one</text></svg> two", "one two"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> <desc>yes</desc>", "x=1 yes"),
+]
+
 
-@pytest.mark.parametrize("page, want", CASES)
+@pytest.mark.parametrize("page, want", CASES + SEEN)
 def test_layout(page, want):
     assert render(page) == want
 
