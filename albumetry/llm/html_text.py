@@ -56,8 +56,10 @@ ENDS = {
     "rt": ({"rp", "rt"}, {"ruby"}),
 }
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
+# A quote opens a value directly after "=" only, and only if it is closed somewhere; elsewhere it is a plain character.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s"'>][^\s>]*+|[^>])*+)>""")
+SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*+)))?""")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -81,6 +83,7 @@ def tree(page: str) -> Element:
     root = Element("#root", {})
     stack = [root]
     at, end = 0, len(page)
+    syntax = TAG
 
     def put(text: str) -> None:
         if text:
@@ -121,7 +124,11 @@ def tree(page: str) -> Element:
                 stop = page.find(">", mark)
                 at = end if stop < 0 else stop + 1
             continue
-        found = TAG.match(page, mark)
+        found = syntax.match(page, mark)
+        if found is None and syntax is TAG:
+            # quotes pair up beyond the last tag's end: from here on a tag ends at its first ">"
+            syntax = SHORT_TAG
+            found = syntax.match(page, mark)
         if found is None:
             if follow.isascii() and (follow.isalpha() or (follow == "/" and page[mark + 2: mark + 3].isalpha())):
                 break  # the page ends within a tag

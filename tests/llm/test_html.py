@@ -35,9 +35,22 @@ SEEN = [
     ("<svg><title/><path d='M0'/><text>one</text></svg> two", "one two"),
     ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> <desc>yes</desc>", "x=1 yes"),
 ]
+# quotes that open no value
+QUOTES = [
+    ('<br clear="all"">Hello <a href="x">link</a> end', "Hello link end"),
+    ("<p title=don't>text", "text"),
+    ("<p title=don't>one <b>two</b><p title='a>b'>three", "one two\n\nthree"),
+    ('<a "href="x>y">link</a> <b>it\'s</b>', "link it's"),
+    ('<a href="x>y" "class="z>w">link</a>', "link"),
+    ("<img alt='5'' x'>a<p '>b</p>c", "a\n\nb\n\nc"),
+    ('<p title="a" "hidden">seen', "seen"),
+    ('<p title="abc hidden>seen', "seen"),
+    ('<p a=b"c>one</p><p d="e>f" \'>two', "one\n\ntwo"),
+    ('<p>a<b title="x>y<i>z</i>" w', 'ayz" w'),
+]
 
 
-@pytest.mark.parametrize("page, want", CASES + SEEN)
+@pytest.mark.parametrize("page, want", CASES + SEEN + QUOTES)
 def test_layout(page, want):
     assert render(page) == want
 
