@@ -1,9 +1,13 @@
 """Sharding by vector bin packing on bytes, tokens and rows.
 
-Equal texts form a group. Groups are bundled by hash, so that the number of things to place is a parameter and not
-the number of documents; a group larger than a bundle should be is cut into parts by the hash of its ids, so one text
-that fills a third of the table still spreads evenly. The bundles, heaviest first, each go to the shard where the dot
-product of the bundle's (bytes, tokens, rows) with the shard's residual capacity is highest.
+Equal texts form a group. Small groups are bundled by hash, so that the number of things to place is bounded by a
+parameter and not by the number of documents; a group above a bundle's share of bytes, tokens or rows is placed as a
+thing of its own, whole. Only groups above ``CUT`` of a shard are cut, by the hash of their ids into parts of a bundle's
+share, so one text that fills a third of the table still spreads evenly. The things to place, heaviest first, each go to
+the shard where the dot product of their (bytes, tokens, rows) with the shard's residual capacity is highest.
+
+Rows are numbered by bundle and, in groups placed alone, by part, whether these parts lie in one shard or not: no
+numbering task holds much more than a bundle's share.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from pyspark.sql import functions as F
 from albumetry.llm.tables import word_count, written
 
 SHARDS = 8
-BUNDLES = 4096  # things to place; one row each on the driver
+BUNDLES = 4096  # by hash; with the parts of larger groups at most seven times as many rows on the driver
+CUT = 0.25  # of a shard's share of bytes, tokens or rows: groups above it are cut
 
 
 def place_bundles(loads: np.ndarray, shards: int) -> np.ndarray:
@@ -35,9 +40,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
 
     Returns doc_id, size (UTF-8 bytes + 1), tokens (words), text_crc32, law, shard, slot (gapless from 0 within the
     shard) and grown_shard (null under this law). Null text counts as an empty text. Rows that repeat are all placed.
-    A group of equal texts is kept in one bundle unless its size passes half an even bundle's share; then its rows are
-    spread by the hash of their ids over as many bundles as its size needs (repeated ids stay together). An empty
-    table gives no rows. Other columns are ignored.
+    A group of equal texts stays in one shard unless it holds more than ``CUT`` of a shard's bytes, tokens or rows; then
+    its rows are spread by the hash of their ids over as many parts as its share needs (repeated ids stay together). An
+    empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -45,24 +50,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), word_count(F.col("text")).alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_group"),
     ))
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    even = max(1, total // bundles)
-    # only groups above an even share: at most ``bundles`` / 0.5 rows
-    large = groups.filter(F.col("_size") > even / 2).withColumn("_parts", F.ceil(F.col("_size") * 2 / F.lit(even)).cast("long"))
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.col("_parts"), F.lit(1)))
-    bundle = F.pmod(F.xxhash64("_group", part), F.lit(bundles)).cast("int")
-    rows = rows.join(F.broadcast(large.select("_group", "_parts")), "_group", "left").withColumn("_bundle", bundle)
-    rows = written(rows.drop("_parts"))
-    loads = rows.groupBy("_bundle").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
-    loads = loads.orderBy("_bundle").toPandas()  # at most ``bundles`` rows
-    chosen = place_bundles(loads[["b", "t", "r"]].to_numpy(dtype=float).reshape(-1, 3), shards)
+    load = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")]
+    total = rows.agg(*load).first()
+    share = F.greatest(*[F.col(c) / F.lit(float(max(1, total[c] or 0))) for c in "btr"])
+    # only groups above a bundle's share of a resource: at most 3 * ``bundles`` rows, as many parts and once more as many
+    large = rows.groupBy("_group").agg(*load).select("_group", share.alias("_share")).filter(F.col("_share") > 1 / bundles)
+    large = large.select("_group", F.ceil(F.col("_share") * bundles).cast("long").alias("_parts"), (F.col("_share") > CUT / shards).alias("_cut"))
+    rows = rows.join(F.broadcast(large), "_group", "left").withColumns({
+        "_bundle": F.when(F.col("_parts").isNull(), F.pmod(F.xxhash64("_group"), F.lit(bundles))).otherwise(F.col("_group")),
+        "_part": F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_parts")), F.lit(-1)),  # -1: a bundle of small groups
+        "_alone": F.when(F.col("_cut"), F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).otherwise(F.when(F.col("_parts").isNull(), -1).otherwise(-2)),
+    })
+    rows = written(rows.drop("_parts", "_cut"))
+    loads = rows.groupBy("_bundle", "_alone", "_part").agg(*load).orderBy("_bundle", "_alone", "_part").toPandas()
+    things = loads.groupby(["_bundle", "_alone"])  # what is placed as one
+    chosen = place_bundles(things[["b", "t", "r"]].sum().to_numpy(dtype=float).reshape(-1, 3), shards)[things.ngroup().to_numpy(dtype=int)]
     first = loads.assign(shard=chosen).groupby("shard")["r"].cumsum() - loads["r"] if len(loads) else loads["r"]
     placed = spark.createDataFrame(
-        [(int(b), int(s), int(f)) for b, s, f in zip(loads["_bundle"], chosen, first)], "_bundle int, shard int, _first long")
-    inside = Window.partitionBy("_bundle").orderBy("_group", "doc_id")
+        [(int(b), int(p), int(s), int(f)) for b, p, s, f in zip(loads["_bundle"], loads["_part"], chosen, first)],
+        "_bundle long, _part long, shard int, _first long")
+    inside = Window.partitionBy("_bundle", "_part").orderBy("_group", "doc_id")
     return (
-        rows.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(placed), "_bundle")
+        rows.withColumn("_at", F.row_number().over(inside) - 1).join(F.broadcast(placed), ["_bundle", "_part"])
         .select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard",
                 (F.col("_first") + F.col("_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -107,6 +107,22 @@ def test_shards_are_even_without_giants(spark):
     assert max(load.values()) < 1.03 * min(load.values())
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows = [(k, text_of(k, 20 + k % 50)) for k in range(400)]
+    rows += [(1000 + 10 * g + k, text_of(9000 + g, 300)) for g in range(40) for k in range(2 + g % 2)]
+    rows += [(3000 + k, None if k % 2 else "") for k in range(300)]  # over a third of the rows, hardly any bytes
+    shards, empty, load = defaultdict(set), Counter(), Counter()
+    text = dict(rows)
+    for r in sharding.shard(documents(spark, rows)).collect():
+        t = text[r["doc_id"]] or ""
+        shards[t].add(r["shard"])
+        empty[r["shard"]] += t == ""
+        load[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for t, s in shards.items() if t)
+    assert len(shards[""]) == 8 and max(empty.values()) < 100
+    assert max(load.values()) < 1.15 * min(load.values())
+
+
 def measures(text):
     text = text or ""
     w = WORD.findall(text)
