@@ -1,13 +1,15 @@
 """Language ID with interpolated Kneser-Ney character models in sorted hash arrays.
 
 Each language gets a character 5-gram model with one discount per order. Grams of all languages lie in one array per
-order, sorted by hash, with a first-level index over the upper bits; beside each gram stand the interpolated
-log-probabilities under every language (and, for contexts, the back-off weights), so a character of a text costs one
-look-up for all languages together. A text goes to the language with the lowest cross-entropy per character, and is
+order, sorted by hash, with a first-level index over the upper bits; each gram points to the languages that have it and
+their interpolated log-probabilities (contexts: their back-off weights), so a character of a text costs one look-up
+for all languages together, and memory is linear in the languages. A text goes to the language with the lowest cross-entropy per character, and is
 rejected if that value lies too far above what texts of the language and of that length showed on a calibration fold.
 
-Models are fitted on a sample of at most about ``SAMPLE`` labelled texts per language (whole texts, chosen by hash) and
-hold at most ``MODEL_FLOATS`` probabilities, so what is sent to the tasks has a fixed bound. Prediction reads whole texts.
+Models are fitted on a sample of at most about ``SAMPLE`` labelled texts per language (whole texts, chosen by hash), each
+language in a task of its own and from all grams of its sample. Of the fitted model at most ``MODEL_GRAMS`` entries per
+language and order are kept, and its back-off weights follow, so what is sent to the tasks has a bound that is linear in
+the languages and no language depends on how many others there are. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumetry.llm.shingles import chunks, mixed
@@ -27,7 +29,7 @@ ORDER = 5
 BITS = 12  # of a letter's number in a gram
 BOUNDARY = 1
 SAMPLE = 2_000  # labelled texts per language
-MODEL_FLOATS = 1 << 23
+MODEL_GRAMS = 1 << 18  # of a language and order
 FARTHEST = 8.0  # deviations above the calibrated cross-entropy that lead to rejection
 LEAST_EXCESS = 1.75  # and at least so many nats per character above it: noise, mixed texts and lists stay
 UNKNOWN = "und"
@@ -102,15 +104,33 @@ class HashArray:
         return out
 
 
+class Sparse:
+    """Values by key and language: a hash array of the keys, each with its run of (language, value)."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        h = mixed(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        own, begin = np.unique(h[order], return_index=True)
+        self.places = HashArray(own)
+        self.begin = np.append(begin, len(h)).astype(np.int64)
+        self.language = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int32)[order]
+        self.value = np.concatenate(values).astype(np.float32)[order] if values else np.zeros(0, np.float32)
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into ``at``, language, value) of all values at the places ``at``."""
+        n = self.begin[at + 1] - self.begin[at]
+        rows = np.repeat(np.arange(len(at)), n)
+        i = np.arange(len(rows)) + np.repeat(self.begin[at] - (np.cumsum(n) - n), n)
+        return rows, self.language[i], self.value[i]
+
+
 @dataclass
 class Model:
-    """``grams[n]``/``values[n]``: log-probabilities at order n + 2; ``contexts``/``weights``: back-off; ``first``: order 1."""
+    """``grams[n]``: log-probabilities at order n + 2; ``contexts[n]``: their back-off weights; ``first``: order 1."""
 
     languages: list[str]
     grams: list
-    values: list
     contexts: list
-    weights: list
     first: np.ndarray
     numbers: np.ndarray
     mean: np.ndarray | None = None
@@ -120,23 +140,30 @@ class Model:
     def _logs(self, keys: np.ndarray, order: int) -> np.ndarray:
         if order == 1:
             return self.first[keys.astype(np.int64)]
-        at = self.grams[order - 2].find(keys)
-        out = self.values[order - 2][at]
-        miss = np.flatnonzero(at < 0)
+        grams, contexts = self.grams[order - 2], self.contexts[order - 2]
+        at = grams.places.find(keys)
+        found = np.flatnonzero(at >= 0)
+        out = np.empty((len(keys), len(self.languages)), dtype=np.float32)
+        partly = np.ones(len(keys), dtype=bool)  # not in all languages
+        partly[found] = grams.begin[at[found] + 1] - grams.begin[at[found]] < len(self.languages)
+        miss = np.flatnonzero(partly)
         if len(miss):
             rest = keys[miss]
             back = self._logs(rest & np.uint64((1 << BITS * (order - 1)) - 1), order - 1)
-            context = self.contexts[order - 2].find(rest >> np.uint64(BITS))
-            known = context >= 0
-            back[known] += self.weights[order - 2][context[known]]
+            context = contexts.places.find(rest >> np.uint64(BITS))
+            known = np.flatnonzero(context >= 0)
+            rows, language, weight = contexts.entries(context[known])
+            back[known[rows], language] += weight
             out[miss] = back
+        rows, language, value = grams.entries(at[found])
+        out[found[rows], language] = value
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nats per character under each language, characters, letters) of each text."""
         total = np.zeros((len(texts), len(self.languages)))
         length, letters = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        for first, part in chunks(texts, 1 << 19):
+        for first, part in chunks(texts, min(1 << 19, max(1 << 13, (1 << 21) // max(1, len(self.languages))))):
             grams, owner, found = sequences(part, self.numbers)
             letters[first: first + len(part)] = found
             if len(grams):
@@ -193,59 +220,81 @@ class Model:
         self.sharpness = best[1]
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], numbers: np.ndarray) -> Model:
-    """Model from (5-grams, counts) of each language.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # grams, log-probabilities, contexts, log back-off weights
+
+
+def smoothed(grams: np.ndarray, counts: np.ndarray, most: int = MODEL_GRAMS) -> tuple[np.ndarray, list[Table]]:
+    """(log-probabilities of order 1, tables of the orders from 2) of one language, from all its 5-grams.
 
     The highest order uses counts, lower orders the number of distinct letters before a gram; every order n has the
-    discount D = n1 / (n1 + 2 n2) of its counts of one and two and is interpolated with the next lower order.
+    discount D = n1 / (n1 + 2 n2) of its counts of one and two and is interpolated with the next lower order. Only then
+    the ``most`` grams of an order with the highest counts are kept; what the others held goes to the back-off weights.
     """
-    languages = sorted(counts)
-    tables: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by order from 1, by language
-    level = [(np.asarray(g, np.uint64)[o], np.asarray(c, np.float64)[o]) for g, c in (counts[x] for x in languages) for o in [np.argsort(g)]]
-    for n in range(ORDER, 0, -1):
-        tables.insert(0, level)
-        lower = []
-        for grams, _ in level:
-            g, c = np.unique(grams & np.uint64((1 << BITS * (n - 1)) - 1), return_counts=True)
-            lower.append((g, c.astype(np.float64)))
-        level = lower
     size = 1 << BITS
-    values: list[np.ndarray] = []
-    arrays, contexts, weights = [], [], []
-    below = np.full((size, len(languages)), 1.0 / size)  # order 0, for each letter
-    union = np.arange(size, dtype=np.uint64)
-    for n in range(1, ORDER + 1):
-        own = tables[n - 1]
-        grams = np.unique(np.concatenate([g for g, _ in own])) if n > 1 and own else np.arange(size, dtype=np.uint64)
-        suffix = grams & np.uint64((1 << BITS * (n - 1)) - 1)
-        lower = below if n == 1 else below[np.searchsorted(union, suffix)] if n > 2 else below[suffix.astype(np.int64)]
-        head = np.unique(grams >> np.uint64(BITS))
-        p, gamma = np.empty((len(grams), len(languages))), np.ones((len(head), len(languages)))
-        for k, (g, c) in enumerate(own):
-            ones, twos = (c == 1).sum(), (c == 2).sum()
-            d = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
-            at = np.searchsorted(head, g >> np.uint64(BITS))
-            sums = np.bincount(at, weights=c, minlength=len(head))
-            kinds = np.bincount(at, minlength=len(head))
-            seen = sums > 0
-            gamma[seen, k] = d * kinds[seen] / sums[seen]
-            mine = np.zeros(len(grams))
-            place = np.searchsorted(grams, g)
-            mine[place] = (c - d) / sums[at]
-            p[:, k] = mine + gamma[np.searchsorted(head, grams >> np.uint64(BITS)), k] * lower[:, k]
-        below, union = p, grams
-        if n > 1:
-            h = mixed(grams)
-            order = np.argsort(h)
-            arrays.append(HashArray(h[order]))
-            values.append(np.log(p[order]).astype(np.float32))
-            h = mixed(head)
-            order = np.argsort(h)
-            contexts.append(HashArray(h[order]))
-            weights.append(np.log(gamma[order]).astype(np.float32))
-        else:
-            first = np.log(p).astype(np.float32)
-    return Model(languages, arrays, values, contexts, weights, first, numbers)
+    g = np.asarray(grams, np.uint64)
+    o = np.argsort(g)
+    tables = [(g[o], np.asarray(counts, np.float64)[o])]
+    for n in range(ORDER - 1, 0, -1):
+        g, c = np.unique(tables[0][0] & np.uint64((1 << BITS * n) - 1), return_counts=True)
+        tables.insert(0, (g, c.astype(np.float64)))
+    below, union = np.full(size, 1.0 / size), np.arange(size, dtype=np.uint64)  # of the next lower order, all its grams
+    first, kept = below, []
+    whole = True
+
+    def pruned(keys: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of grams of order n under what is kept."""
+        if n == 1:
+            return first[keys.astype(np.int64)]
+        own, p, head, gamma = kept[n - 2]
+        out = pruned(keys & np.uint64((1 << BITS * (n - 1)) - 1), n - 1)
+        for there, values, seek, times in ((head, gamma, keys >> np.uint64(BITS), True), (own, p, keys, False)):
+            if len(there):
+                at = np.minimum(np.searchsorted(there, seek), len(there) - 1)
+                hit = there[at] == seek
+                out[hit] = out[hit] * values[at[hit]] if times else values[at[hit]]
+        return out
+
+    for n, (g, c) in enumerate(tables, 1):
+        ones, twos = (c == 1).sum(), (c == 2).sum()
+        d = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones + twos else 0.5
+        head, at, kinds = np.unique(g >> np.uint64(BITS), return_inverse=True, return_counts=True)
+        sums = np.bincount(at, weights=c, minlength=len(head))
+        gamma = d * kinds / sums
+        if n == 1:
+            first = (gamma[0] if len(gamma) else 1.0) * below
+            first[g.astype(np.int64)] += (c - d) / sums[at]
+            below = first
+            continue
+        suffix = g & np.uint64((1 << BITS * (n - 1)) - 1)
+        p = (c - d) / sums[at] + gamma[at] * below[np.searchsorted(union, suffix)]
+        below, union = p, g
+        if len(g) > most:
+            whole = False
+            stay = np.sort(np.lexsort((g, -c))[:most])
+            g, p, suffix = g[stay], p[stay], suffix[stay]
+        if not whole:
+            head, at = np.unique(g >> np.uint64(BITS), return_inverse=True)
+            left, lower = (np.maximum(1 - np.bincount(at, weights=x, minlength=len(head)), 1e-12) for x in (p, pruned(suffix, n - 1)))
+            gamma = left / lower
+        kept.append((g, p, head, gamma))
+    return np.log(first), [(g, np.log(p), head, np.log(gamma)) for g, p, head, gamma in kept]
+
+
+def assembled(parts: dict[str, tuple[np.ndarray, list[Table]]], numbers: np.ndarray) -> Model:
+    """Model of all languages from the tables of each."""
+    languages = sorted(parts)
+
+    def joined(n: int, keys: int) -> Sparse:
+        return Sparse([parts[x][1][n][keys] for x in languages], [parts[x][1][n][keys + 1] for x in languages])
+
+    first = np.stack([parts[x][0] for x in languages], axis=1).astype(np.float32) if languages else np.zeros((1 << BITS, 0), np.float32)
+    orders = range(ORDER - 1)
+    return Model(languages, [joined(n, 0) for n in orders], [joined(n, 2) for n in orders], first, numbers)
+
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], numbers: np.ndarray, most: int = MODEL_GRAMS) -> Model:
+    """Model from (5-grams, counts) of each language."""
+    return assembled({lang: smoothed(g, c, most) for lang, (g, c) in counts.items()}, numbers)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -274,11 +323,24 @@ def fit(docs: DataFrame, held_out: int = 2, calibration: int = 1, sample: int =
 
     counted = chosen.filter(F.col("_fold") != calibration).select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    n_languages = max(1, sizes.count())
-    most = max(1_000, MODEL_FLOATS // (2 * n_languages * n_languages))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= most).drop("_r").toArrow().to_pandas()
-    model = kneser_ney({lang: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for lang, g in kept.groupby("lang")}, numbers)
+    most = MODEL_GRAMS
+
+    def fitted(part: pd.DataFrame) -> pd.DataFrame:
+        first, tables = smoothed(part["gram"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(), most)
+        raw = [[x.tobytes() for x in (g, p.astype(np.float32), head, gamma.astype(np.float32))] for g, p, head, gamma in tables]
+        rows = [[part["lang"].iloc[0], n, *r] for n, r in enumerate([[b"", first.tobytes(), b"", b""], *raw])]
+        return pd.DataFrame(rows, columns=["lang", "n", "grams", "p", "contexts", "gamma"])
+
+    # at most ``MODEL_GRAMS`` entries per language and order
+    fit_rows = counted.groupBy("lang").applyInPandas(fitted, "lang string, n int, grams binary, p binary, contexts binary, gamma binary")
+    parts: dict = {}
+    for r in sorted(fit_rows.toArrow().to_pylist(), key=lambda r: (r["lang"], r["n"])):
+        if r["n"] == 0:
+            parts[r["lang"]] = (np.frombuffer(r["p"], np.float64), [])
+        else:
+            kinds = (("grams", np.uint64), ("p", np.float32), ("contexts", np.uint64), ("gamma", np.float32))
+            parts[r["lang"]][1].append(tuple(np.frombuffer(r[k], t) for k, t in kinds))
+    model = assembled(parts, numbers)
     tested = chosen.filter(F.col("_fold") == calibration)
     # as many texts again at most: one in four of the sample
     rows = tested.select("lang", "text").toArrow().to_pandas() if model.languages else pd.DataFrame({"lang": [], "text": []})

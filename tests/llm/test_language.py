@@ -66,6 +66,28 @@ def test_probabilities_sum_to_one():
         assert np.allclose(np.exp(model._logs(keys, 5).astype(float)).sum(axis=0), 1, atol=1e-3)
 
 
+def test_pruned_probabilities_sum_to_one():
+    numbers = language.letter_numbers()
+    grams = {lang: language.sequences([text(lang, k) for k in range(20)], numbers)[0] for lang in ("en", "fr")}
+    counts = {lang: np.unique(g, return_counts=True) for lang, g in grams.items()}
+    model = language.kneser_ney(counts, numbers, most=60)
+    letters = np.arange(1 << language.BITS, dtype=np.uint64)
+    for g in [*counts["en"][0][:40], *counts["fr"][0][-20:]]:
+        keys = (g & ~np.uint64(4095)) | letters
+        assert np.allclose(np.exp(model._logs(keys, 5).astype(float)).sum(axis=0), 1, atol=1e-3)
+
+
+def test_more_labels_leave_a_language_its_model(spark):
+    rows, _ = corpus()
+    docs = documents(spark, rows)
+    noise = documents(spark, [(5000 + k, text("en", k), f"label {k}", "s") for k in range(70)])
+    few, many = language.fit(docs), language.fit(docs.unionByName(noise))
+    texts = [text(lang, 9000) for lang in SYLLABLES]
+    assert len(many.languages) > 30
+    at = [many.languages.index(x) for x in few.languages]
+    assert np.allclose(few.entropies(texts)[0], many.entropies(texts)[0][:, at], atol=1e-5)
+
+
 def test_look_up_equals_search():
     keys = np.random.default_rng(0).integers(0, 1 << 60, 5000).astype(np.uint64)
     keys = np.unique(keys)
