@@ -30,8 +30,8 @@ BITS = 12  # of a letter's number in a gram
 BOUNDARY = 1
 SAMPLE = 2_000  # labelled texts per language
 MODEL_GRAMS = 1 << 18  # of a language and order
-FARTHEST = 8.0  # deviations above the calibrated cross-entropy that lead to rejection
-LEAST_EXCESS = 1.75  # and at least so many nats per character above it: noise, mixed texts and lists stay
+REJECTED = 0.001  # share of a language's own texts that lies beyond its limit
+TAIL = 0.1  # share of the calibration texts that the limit is extrapolated from
 UNKNOWN = "und"
 
 
@@ -124,6 +124,17 @@ class Sparse:
         return rows, self.language[i], self.value[i]
 
 
+def far_quantile(z: np.ndarray, beyond: float = REJECTED) -> float:
+    """Value that the share ``beyond`` passes: the quantile of ``z`` or, if higher, that of an exponential upper tail.
+
+    The tail's mean is taken two standard errors high, as few values say little about where the rare ones lie.
+    """
+    start = float(np.quantile(z, 1 - TAIL))
+    over = z[z > start] - start
+    mean = float(over.mean()) * (1 + 2 / np.sqrt(len(over))) if len(over) else 0.0
+    return max(float(np.quantile(z, 1 - beyond)), start + mean * float(np.log(TAIL / beyond)))
+
+
 @dataclass
 class Model:
     """``grams[n]``: log-probabilities at order n + 2; ``contexts[n]``: their back-off weights; ``first``: order 1."""
@@ -135,6 +146,7 @@ class Model:
     numbers: np.ndarray
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None  # variance = spread[:, 0] + spread[:, 1] / length
+    farthest: np.ndarray | None = None  # deviations above the mean that lead to rejection
     sharpness: float = 1.0
 
     def _logs(self, keys: np.ndarray, order: int) -> np.ndarray:
@@ -184,7 +196,7 @@ class Model:
         best = e.argmin(axis=1)
         lowest = e[np.arange(len(some)), best]
         p = np.exp(-self.sharpness * np.sqrt(length[some])[:, None] * (e - lowest[:, None]))
-        limit = self.mean[best] + np.maximum(LEAST_EXCESS, FARTHEST * np.sqrt(self.spread[best, 0] + self.spread[best, 1] / length[some]))
+        limit = self.mean[best] + self.farthest[best] * np.sqrt(self.spread[best, 0] + self.spread[best, 1] / length[some])
         out.loc[some, "lang_pred"] = np.array(self.languages, dtype=object)[best]
         out.loc[some, "score"] = 1 / p.sum(axis=1)
         out.loc[some, "cross_entropy"] = lowest
@@ -194,7 +206,7 @@ class Model:
     def calibrate(self, texts: list[str], labels: list[str]) -> None:
         """Sets the rejection limits and the score's sharpness from labelled texts that were not learned from."""
         n = len(self.languages)
-        self.mean, self.spread = np.full(n, np.inf), np.ones((n, 2))
+        self.mean, self.spread, self.farthest = np.full(n, np.inf), np.ones((n, 2)), np.ones(n)
         entropy, length, letters = self.entropies(texts)
         label = np.array([self.languages.index(x) if x in self.languages else -1 for x in labels])
         use = (label >= 0) & (letters > 0)
@@ -210,6 +222,7 @@ class Model:
             within = float(r2.mean())
             between = max(0.0, float(np.mean((own - self.mean[k]) ** 2 - within / size)))
             self.spread[k] = max(between, 1e-4), max(within, 1e-2)
+            self.farthest[k] = far_quantile((own - self.mean[k]) / np.sqrt(self.spread[k, 0] + self.spread[k, 1] / size))
         lowest = entropy.min(axis=1, keepdims=True) if len(entropy) else entropy
         best = (-np.inf, 1.0)
         for sharpness in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0):

@@ -77,6 +77,21 @@ def test_pruned_probabilities_sum_to_one():
         assert np.allclose(np.exp(model._logs(keys, 5).astype(float)).sum(axis=0), 1, atol=1e-3)
 
 
+def test_unknown_language_of_a_known_alphabet_is_rejected(spark):
+    rows, _ = corpus()
+    rng = random.Random(3)
+    near = "the er on re th of to is ou le".split()  # most syllables are English ones
+    other = [(6000 + k, " ".join("".join(rng.choice(near) for _ in range(rng.randint(1, 3))) for _ in range(60)), None, "s") for k in range(20)]
+    got = {r["doc_id"]: r["accepted"] for r in language.predict(documents(spark, rows + other)).collect()}
+    assert not any(got[r[0]] for r in other) and all(got[r[0]] for r in rows)
+
+
+def test_far_quantile():
+    z = np.random.default_rng(4).normal(size=2000)
+    assert 3 < language.far_quantile(z) < 4.5
+    assert language.far_quantile(z[:25]) > z[:25].max() and language.far_quantile(np.ones(9)) == 1
+
+
 def test_more_labels_leave_a_language_its_model(spark):
     rows, _ = corpus()
     docs = documents(spark, rows)
