@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from albumetry.llm import shingles
 from albumetry.llm.components import connected
 from albumetry.llm.streams import bit_of, bitmap, local_labels, passes, whole_groups
-from albumetry.llm.tables import text_batches, written
+from albumetry.llm.tables import kept_whole, text_batches, written
 
 COORDINATES = 64
 Z = 4.2
@@ -305,10 +305,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents of which one stays of each group (that with the smallest id), one row per id; columns of ``docs``.
+    """The documents of which one stays of each group (that with the smallest id); columns of ``docs``.
 
-    Rows without an id stay. Cases as in ``near_duplicates``.
+    Rows are judged, not ids: rows that share an id or have none are compared like others (equal ones count as copies,
+    also without words), and those without an id come last in a group. Other cases as in ``near_duplicates``.
     """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    if ids.filter("doc_id is null or _n > 1").limit(1).count():
+        # rows are numbered in the order of their ids, and the numbers take the ids' place
+        text = F.xxhash64("text", F.col("text").isNull())
+        rows = kept_whole(docs, "doc_id", "text").orderBy(F.asc_nulls_last("doc_id"), text)
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), similarity).filter("kept")
+        stays = rows.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_semi")
+        first = stays.groupBy("doc_id", text.alias("_text")).agg(F.min("_row").alias("_row"))  # wordless rows that repeat
+        return stays.join(first.select("_row"), "_row", "left_semi").select("row.*")
     kept = near_duplicates(docs, similarity).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stays = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -159,13 +159,14 @@ def top_k(vectors: DataFrame, every: int, k: int, shard: int = SHARD, block: int
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id. Vectors become integers floor(256 x).
     Null vectors, null ids and vectors with a null or non-finite component take no part; vectors meet those of
     their own length only. An id names a vector: rows that repeat the query's id count as its own, other repeated rows
-    count once each. Fewer than k candidates give fewer rows; an empty table gives none. Scores are exact while they
+    count once each; of a query id's rows the least vector is asked for. Fewer than k candidates give fewer rows; an empty table gives none. Scores are exact while they
     fit a long. Other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), as_integers(F.col("embedding")).alias("vector"))
     rows = written(rows.filter("vec_id is not null and vector is not null").withColumn("dims", F.size("vector")))
     shards = max(1, -(-rows.count() // shard))
-    queries = rows.filter(F.col("vec_id") % every == 0)
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = written(queries.withColumn("dims", F.size("vector")))
     blocks = max(1, -(-queries.count() // block))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     trees = written(_pack(dealt, ["dims", "shard"], True).withColumnRenamed("raw", "tree"))

@@ -79,6 +79,14 @@ def test_empty_and_repeated_rows(spark):
     assert kept.columns == twice.columns
 
 
+def test_rows_not_ids_are_judged(spark):
+    a, b, c, d = (text_of(k, 40) for k in range(11, 15))
+    rows = [(2, a), (5, a), (5, b), (7, b), (7, c), (None, a), (None, d), (None, d), (8, None), (8, None), (8, "")]
+    kept = near_dedup.one_of_each(documents(spark, rows), 0.8)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(2, a), (5, b), (7, c), (None, d), (8, None), (8, "")], key=repr)
+
+
 def test_links_by_products_equal_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]

@@ -39,6 +39,14 @@ def test_few_candidates_large_values_and_repeated_rows(spark):
     assert [g for g in got if g[2] == 1] == [r for r in brute(rows, 50, 5) if r[2] == 1]
 
 
+def test_repeated_query_rows_ask_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(60)]
+    frame = spark.createDataFrame(rows + rows[:1] * 3, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(frame, 20, 5, shard=20).collect()))
+    assert [r for r in got if r[0] == 0] == [r for r in brute(rows, 20, 5) if r[0] == 0]
+
+
 def test_large_integers_stay_exact():
     ids, v = np.arange(40), np.random.default_rng(1).integers(-(1 << 40), 1 << 40, (40, 3))
     tree = topk.build_tree(ids, v, leaf=4)
