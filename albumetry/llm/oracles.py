@@ -84,3 +84,31 @@ scored as (
   from ints q join ints c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, cast(r as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored) where r <= 5"""
+
+PHRASES = r"""
+with texts as (
+  select row_number() over () as d, coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+cut as (select d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+pieces as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from cut),
+places as (select lang, w, unnest(generate_series(1, len(w))) as i from pieces where len(w) > 0),
+grams as (select lang, w[i:i + s - 1] as g from places, (values (1), (2), (3), (4)) as sizes(s) where i + s - 1 <= len(w)),
+totals as (select lang, sum(len(w)) as n from pieces group by lang),
+freq as (select lang, g, count(*) as f from grams group by lang, g having count(*) >= 30),
+cand as (select lang, g, f as a from freq where len(g) >= 2),
+cuts as (select lang, g, a, unnest(generate_series(1, len(g) - 1)) as k from cand),
+scored as (
+  select c.lang, c.g, c.a, c.k, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score
+  from cuts c join freq x on x.lang = c.lang and x.g = c.g[1:c.k] join freq y on y.lang = c.lang and y.g = c.g[c.k + 1:]),
+lowest as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_ as (
+  select lang, g[i:i + s - 1] as g, max(a) as longer
+  from (select lang, g, a, s, unnest(generate_series(1, len(g) - s + 1)) as i from cand, (values (2), (3)) as sizes(s) where s < len(g))
+  group by all),
+kept as (
+  select lowest.*, array_to_string(g, ' ') as phrase from lowest left join inner_ using (lang, g)
+  where longer is null or 100::hugeint * longer < 80::hugeint * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000"""
