@@ -46,10 +46,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Cumulative hash of bytes; the run [i, j) has hash ``run_hash(prefix, i, j)``."""
+    """Cumulative hash of bytes, or of 64-bit codes; the run [i, j) has hash ``run_hash(prefix, i, j)``."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    codes = BYTE_CODES[data]
+    codes = BYTE_CODES[data] if data.dtype == np.uint8 else data.copy()
     codes *= up[: len(data)]
     np.cumsum(codes, out=out[1:], dtype=np.uint64)
     return out
@@ -61,6 +61,22 @@ def run_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word."""
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    return edge[0::2], edge[1::2]
+
+
+def word_codes(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of all words of each text, in order and as they are written."""
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    start, end = word_bounds(data)
+    hashes = run_hash(prefix_hash(data), start, end)
+    return np.split(hashes, np.searchsorted(start, np.cumsum(sizes)[:-1]))
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text.
 

@@ -14,7 +14,10 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere is rem
    window at an offset share it. Buckets of up to ``SMALL`` suffixes are sorted in one task, as the method does with
    small buckets; larger ones are refined recursively by the identifiers of ever shorter stretches, as rows.
 
-Identifiers are 64-bit hashes of byte runs. Texts are shuffled only where a fixed-size bitmap says that the document
+The same holds for texts taken as sequences of words (``unit="words"``): then lengths, places and windows count words, and
+a word stands for itself by the hash of its bytes.
+
+Identifiers are 64-bit hashes of runs. Texts are shuffled only where a fixed-size bitmap says that the document
 takes part in step 4 or loses bytes.
 """
 
@@ -28,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from albumetry.llm.shingles import mixed, prefix_hash, run_hash
+from albumetry.llm.shingles import mixed, prefix_hash, run_hash, word_bounds, word_codes
 from albumetry.llm.streams import bit_of, bitmap, passes, whole_groups
 from albumetry.llm.tables import kept_whole, text_batches, written
+from albumetry.operators.scale import ROWS_PER_TASK, lookup_join
 
 LENGTH = 400
 GRAM = 100
@@ -38,6 +42,8 @@ PART = 1 << 19  # window starts handled at a time, also within one long text
 SMALL = 512  # suffixes of a bucket that one task sorts
 CELLS = (32, 8, 1)  # offsets refined together in larger buckets, level by level
 KEY_BITS = 26  # 8 MB bitmap of repeated q-grams
+BYTES, WORDS = "bytes", "words"
+CODES = {BYTES: np.dtype(np.uint8), WORDS: np.dtype(np.uint64)}  # what stands for one unit
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,8 +58,25 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], forth[width - 1: n])
 
 
-def parts_of(texts: Iterable[bytes], length: int, limit: int = PART) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (row, first byte, bytes) with about ``limit`` bytes; long texts are cut so that every window lies in one part."""
+def units_of(texts: Iterable[str | None], unit: str) -> Iterator[np.ndarray]:
+    """Each text as an array of its bytes, or of its words' hashes; null is empty."""
+    held, size = [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        if unit == BYTES:
+            yield np.frombuffer(raw, dtype=np.uint8)
+            continue
+        if held and size + len(raw) > PART:
+            yield from word_codes(held)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield from word_codes(held)
+
+
+def parts_of(texts: Iterable[np.ndarray], length: int, limit: int = PART) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Lists of (row, first unit, units) with about ``limit`` units; long texts are cut so that every window lies in one part."""
     held, size = [], 0
     for row, text in enumerate(texts):
         for at in range(0, max(0, len(text) - length + 1), limit):
@@ -67,9 +90,9 @@ def parts_of(texts: Iterable[bytes], length: int, limit: int = PART) -> Iterator
         yield held
 
 
-def anchors_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors_of(parts: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> dict[str, np.ndarray]:
     """Anchors of all windows of the parts: row, pos, lo, hi (first and last window start), key (q-gram), span (extent)."""
-    data = np.frombuffer(b"".join(p for _, _, p in parts), dtype=np.uint8)
+    data = np.concatenate([p for _, _, p in parts])
     sizes = np.array([len(p) for _, _, p in parts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -92,7 +115,7 @@ def anchors_of(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> d
             "key": grams[pos].view(np.int64), "span": run_hash(prefix, lo, hi + length).view(np.int64)}
 
 
-ANCHOR = "key long, span long, cls long, doc_id long, pos int, lo int, hi int, n_bytes long, crc long"
+ANCHOR = "key long, span long, cls long, doc_id long, pos int, lo int, hi int, n_units long, crc long"
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -100,20 +123,26 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_cls": F.xxhash64(text), "_crc": F.crc32(text.cast("binary")), "_n": F.octet_length(text).cast("long")})
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = BYTES) -> DataFrame:
     """One row per anchor, and one row per document with a null key and its size and checksum."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cls, ids = batch["_cls"].to_numpy(), batch["doc_id"]
-            own = pd.DataFrame({"cls": cls, "doc_id": ids, "n_bytes": batch["_n"], "crc": batch["_crc"]})
-            yield own.assign(key=None, span=None, pos=None, lo=None, hi=None)[[c.split()[0] for c in ANCHOR.split(", ")]]
-            texts = (t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"])
-            for parts in parts_of(texts, length):
+            sizes: list[int] = []
+
+            def sized(texts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+                for text in texts:
+                    sizes.append(len(text))
+                    yield text
+
+            for parts in parts_of(sized(units_of(batch["text"], unit)), length):
                 found = anchors_of(parts, length, gram)
                 row = found.pop("row")
-                yield pd.DataFrame(found).assign(cls=cls[row], doc_id=ids.to_numpy()[row], n_bytes=None, crc=None)[
+                yield pd.DataFrame(found).assign(cls=cls[row], doc_id=ids.to_numpy()[row], n_units=None, crc=None)[
                     [c.split()[0] for c in ANCHOR.split(", ")]]
+            own = pd.DataFrame({"cls": cls, "doc_id": ids, "n_units": sizes, "crc": batch["_crc"]})
+            yield own.assign(key=None, span=None, pos=None, lo=None, hi=None)[[c.split()[0] for c in ANCHOR.split(", ")]]
 
     named = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return named.mapInPandas(find, ANCHOR)
@@ -124,24 +153,23 @@ def _suffix(cls="cls", pos="pos"):
     return F.xxhash64(cls, pos)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(bucket rows, bytes around the anchor) of the wanted suffixes, one text fetch per document."""
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
+    """(bucket rows, units around the anchor) of the wanted suffixes, one text fetch per document."""
     reach = length - gram
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id"))
     per_doc = wanted.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("key", "pos", "lo", "hi", "final", "many")).alias("_all"))
     texts = _hit(_named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), bits).select("doc_id", F.col("_cls").alias("_c"), "text")
     met = texts.join(per_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_c") == F.col("cls")))
-    kind = "key long, cls long, doc_id long, pos int, lo int, hi int, final boolean, many boolean, before int, bytes binary"
+    kind = "key long, cls long, doc_id long, pos int, lo int, hi int, final boolean, many boolean, before int, units binary"
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, cls, text, all_ in zip(batch["doc_id"], batch["cls"], batch["text"], batch["_all"]):
-                raw = text.encode("utf-8", "surrogatepass")
+            for doc, cls, raw, all_ in zip(batch["doc_id"], batch["cls"], units_of(batch["text"], unit), batch["_all"]):
                 for r in all_:
                     start = max(0, r["pos"] - reach - CELLS[0])
                     rows.append((r["key"], cls, doc, r["pos"], r["lo"], r["hi"], r["final"], r["many"],
-                                 r["pos"] - start, raw[start: r["pos"] + length]))
+                                 r["pos"] - start, raw[start: r["pos"] + length].tobytes()))
                 if len(rows) > 4096:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
                     rows = []
@@ -161,12 +189,17 @@ def _hit(rows: DataFrame, bits) -> DataFrame:
     return rows.filter(hit(bit_of("doc_id")))
 
 
-def _windows(part: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(part: pd.DataFrame, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all units of the contexts, number of each)."""
+    raw = part["units"].tolist()
+    return np.frombuffer(b"".join(raw), dtype=CODES[unit]), np.array([len(b) // CODES[unit].itemsize for b in raw], dtype=np.int64)
+
+
+def _windows(part: pd.DataFrame, length: int, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``part``, offset of the anchor in the window, hash of the window) for every owned window."""
-    raw = part["bytes"].tolist()
-    sizes = np.array([len(b) for b in raw])
+    data, sizes = _joined(part, unit)
     base = np.cumsum(sizes) - sizes
-    prefix = prefix_hash(np.frombuffer(b"".join(raw), dtype=np.uint8))
+    prefix = prefix_hash(data)
     pos, lo, hi = (part[c].to_numpy().astype(np.int64) for c in ("pos", "lo", "hi"))
     counts = hi - lo + 1
     row = np.repeat(np.arange(len(part)), counts)
@@ -188,7 +221,7 @@ def _runs(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
 SPAN = "doc_id long, cls long, start int, end int"
 
 
-def _sorted_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
+def _sorted_in_tasks(contexts: DataFrame, length: int, unit: str) -> DataFrame:
     """Spans of the small buckets' open suffixes that another suffix of the bucket shares."""
     rows = contexts.repartition("key").sortWithinPartitions("key")
 
@@ -199,7 +232,7 @@ def _sorted_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
             bounds = [0, *[int(s) for s, p in zip(starts[1:], starts[:-1]) if s // 2048 != p // 2048], len(part)]
             for a, b in zip(bounds[:-1], bounds[1:]):
                 one = part.iloc[a:b].reset_index(drop=True)
-                row, offset, window = _windows(one, length)
+                row, offset, window = _windows(one, length, unit)
                 ident = mixed(window ^ mixed((group[a:b][row].astype(np.uint64) << np.uint64(16)) | offset.astype(np.uint64)))
                 suffix = mixed(one["cls"].to_numpy().astype(np.uint64) ^ mixed(one["pos"].to_numpy().astype(np.uint64)))[row]
                 order = np.lexsort((suffix, ident))
@@ -218,13 +251,12 @@ def _sorted_in_tasks(contexts: DataFrame, length: int) -> DataFrame:
     return rows.mapInPandas(sort, SPAN)
 
 
-def _cells(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray, width: int, length: int, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(core, extent, known) of cells of ``width`` offsets from ``cell`` on: hashes of what all windows of the cell share
     and of all that they cover, the latter where the text goes that far."""
-    raw = part["bytes"].tolist()
-    sizes = np.array([len(b) for b in raw])
+    data, sizes = _joined(part, unit)
     base = (np.cumsum(sizes) - sizes)[row]
-    prefix = prefix_hash(np.frombuffer(b"".join(raw), dtype=np.uint8))
+    prefix = prefix_hash(data)
     at = part["before"].to_numpy().astype(np.int64)[row] - cell
     first, last = at - width + 1, at + length
     known = (first >= 0) & (last <= sizes[row])
@@ -237,7 +269,7 @@ def _cells(part: pd.DataFrame, row: np.ndarray, cell: np.ndarray, width: int, le
 LEVEL = ("core long, extent long, cell int, suffix long, doc_id long, cls long, pos int, lo int, hi int, open boolean")
 
 
-def _level(contexts: DataFrame, width: int, above: int, length: int) -> DataFrame:
+def _level(contexts: DataFrame, width: int, above: int, length: int, unit: str) -> DataFrame:
     """Rows (bucket, cell of offsets, identifiers) of the contexts: all owned cells at the top, else parts of ``_alive``."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +291,7 @@ def _level(contexts: DataFrame, width: int, above: int, length: int) -> DataFram
                     is_open = ~one["final"].to_numpy().astype(bool)[row]
                 owned = (cell <= high[row]) & (cell + width > low[row])
                 row, cell, is_open = row[owned], cell[owned], is_open[owned]
-                core, extent, known = _cells(one, row, cell, width, length)
+                core, extent, known = _cells(one, row, cell, width, length, unit)
                 out = {c: one[c].to_numpy()[row] for c in ("suffix", "doc_id", "cls", "pos", "lo", "hi")}
                 yield pd.DataFrame({"core": core.view(np.int64), "extent": pd.array(extent.view(np.int64), dtype="Int64"),
                                     "cell": cell, **out, "open": is_open}).assign(
@@ -268,7 +300,7 @@ def _level(contexts: DataFrame, width: int, above: int, length: int) -> DataFram
     return contexts.mapInPandas(emit, LEVEL)
 
 
-def _refined_by_level(contexts: DataFrame, length: int) -> DataFrame:
+def _refined_by_level(contexts: DataFrame, length: int, unit: str) -> DataFrame:
     """The same for large buckets, from coarse to fine cells of offsets.
 
     A cell whose extent another suffix shares is done; a cell whose core no other suffix shares holds nothing; the rest
@@ -279,7 +311,7 @@ def _refined_by_level(contexts: DataFrame, length: int) -> DataFrame:
     spans, alive = [], None
     for width, above in zip(CELLS, (0, *CELLS)):
         here = contexts if alive is None else contexts.join(alive, ["suffix", "lo"])
-        rows = written(_level(here, width, above, length))
+        rows = written(_level(here, width, above, length, unit))
         shared = rows.filter("extent is not null").groupBy("extent").agg(F.min("suffix").alias("_one"), F.max("suffix").alias("_b"))
         shared = shared.filter("_one <> _b").drop("_b")
         likely = rows.groupBy("core").agg(F.min("suffix").alias("_a"), F.max("suffix").alias("_b"), F.bool_or("open").alias("_open"))
@@ -299,45 +331,53 @@ def _refined_by_level(contexts: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(spans, copies): byte runs to remove as (doc_id, cls, start, end); documents whose whole text occurs twice.
+def _spread(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` met by a table of one row per key and its number ``_n`` of rows; a key with a large share of all rows is dealt out."""
+    share = min(ROWS_PER_TASK, max(1_000, total // 1_024))  # hence at most 1,024 such keys, or total / ROWS_PER_TASK
+    named = rows.withColumn("_own", F.xxhash64("doc_id", "cls", "pos"))
+    return lookup_join(named, table, key, "_own", count="_n", rows_per_task=share, how="inner").drop("_own", "_n")
 
-    Spans may overlap. Copies, of at least ``length`` bytes, lose all; spans of theirs are of no account.
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = BYTES) -> tuple[DataFrame, DataFrame]:
+    """(spans, copies): runs of units to remove as (doc_id, cls, start, end); documents whose whole text occurs twice.
+
+    Spans may overlap. Copies, of at least ``length`` units, lose all; spans of theirs are of no account.
     """
-    found = written(anchors(docs, length, gram))
-    owner = found.filter("key is null").select("doc_id", "cls", "crc", "n_bytes")
-    many = owner.filter(F.col("n_bytes") >= length).groupBy("cls", "crc", "n_bytes").agg(F.count("*").alias("_n")).filter("_n > 1")
-    copies = written(owner.join(many, ["cls", "crc", "n_bytes"]).select("doc_id", "cls").distinct())
+    found = written(anchors(docs, length, gram, unit))
+    owner = found.filter("key is null").select("doc_id", "cls", "crc", "n_units")
+    many = owner.filter(F.col("n_units") >= length).groupBy("cls", "crc", "n_units").agg(F.count("*").alias("_n")).filter("_n > 1")
+    copies = written(owner.join(many, ["cls", "crc", "n_units"]).select("doc_id", "cls").distinct())
 
-    rows = found.filter("key is not null").drop("n_bytes", "crc")
+    rows = found.filter("key is not null").drop("n_units", "crc")
     suffix = _suffix()
     # initial buckets: drop those of one suffix, first by bitmap (only bits go to Python), then exactly
-    keys = rows.groupBy("key").agg(F.min(suffix).alias("_a"), F.max(suffix).alias("_b")).filter("_a <> _b").select("key")
+    keys = rows.groupBy("key").agg(F.min(suffix).alias("_a"), F.max(suffix).alias("_b"), F.count("*").alias("_n")).filter("_a <> _b").select("key", "_n")
     keys = written(keys)
+    total = keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "key", KEY_BITS))
 
     @F.pandas_udf(BooleanType())
     def likely(at: pd.Series) -> pd.Series:
         return pd.Series(passes(bits.value, at.to_numpy()))
 
-    rows = written(rows.filter(likely(bit_of("key", KEY_BITS))).join(keys, "key"))
+    rows = written(_spread(rows.filter(likely(bit_of("key", KEY_BITS))), keys, "key", total))
 
     # first refinement: the extent of the run around the anchor
-    extent = ["key", "rlo", "rhi", "span"]
     rows = rows.withColumns({"rlo": F.col("pos") - F.col("lo"), "rhi": F.col("hi") - F.col("pos")})
-    buckets = rows.groupBy(*extent).agg(
-        (F.min(suffix) != F.max(suffix)).alias("final"), F.first("cls").alias("cls"), F.first("doc_id").alias("doc_id"),
-        F.first("pos").alias("pos"))
+    rows = rows.withColumn("extent", F.xxhash64("key", "rlo", "rhi", "span"))
+    buckets = rows.groupBy("extent").agg(
+        (F.min(suffix) != F.max(suffix)).alias("final"), F.count("*").alias("_n"), F.first("key").alias("key"), F.first("rlo").alias("rlo"),
+        F.first("rhi").alias("rhi"), F.first("cls").alias("cls"), F.first("doc_id").alias("doc_id"), F.first("pos").alias("pos"))
     buckets = written(buckets.withColumns({"lo": F.col("pos") - F.col("rlo"), "hi": F.col("pos") + F.col("rhi")}))
-    whole = rows.join(buckets.filter("final").select(*extent), extent).select(
+    whole = _spread(rows, buckets.filter("final").select("extent", "_n"), "extent", total).select(
         "doc_id", "cls", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
     # what parts within its run, with one representative of each final bucket beside it
     open_keys = buckets.groupBy("key").agg(F.count("*").alias("_n"), F.bool_or(~F.col("final")).alias("_open")).filter("_open")
     wanted = buckets.join(open_keys.select("key", (F.col("_n") > SMALL).alias("many")), "key")
     wanted = written(wanted.select("key", "cls", "doc_id", "pos", "lo", "hi", "final", "many"))
-    contexts = written(_contexts(docs, wanted, length, gram))
-    edges = _sorted_in_tasks(contexts.filter("not many"), length).unionByName(_refined_by_level(contexts.filter("many"), length))
+    contexts = written(_contexts(docs, wanted, length, gram, unit))
+    edges = _sorted_in_tasks(contexts.filter("not many"), length, unit).unionByName(_refined_by_level(contexts.filter("many"), length, unit))
     return whole.unionByName(edges), copies
 
 
@@ -361,9 +401,9 @@ def _cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _touched(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+def _touched(docs: DataFrame, length: int, gram: int, unit: str = BYTES) -> tuple[DataFrame, DataFrame]:
     """(documents that lose nothing for certain, the others with _copy and _spans), with the columns of ``_named``."""
-    spans, copies = repeated_spans(text_batches(docs), length, gram)
+    spans, copies = repeated_spans(text_batches(docs), length, gram, unit)
     code = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
     per = spans.groupBy("doc_id", "cls").agg(F.collect_list(code).alias("_spans"))  # within one text
     per = per.join(copies.select(F.col("doc_id").alias("_d"), F.col("cls").alias("_c"), F.lit(True).alias("_copy")),
@@ -382,17 +422,17 @@ def _touched(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """What every document loses: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """What every document loses and keeps: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the table, in the same text or in
     another one, judged on the input. Texts are their UTF-8 bytes; null counts as empty, and texts shorter than
-    ``length`` lose nothing. Rows that repeat are copies of each other. Null ids are ids like others. Texts of any
+    ``length`` lose nothing. ``text`` is what is left, without what remains of a letter cut in half. Rows that repeat are copies of each other. Null ids are ids like others. Texts of any
     length are taken whole; an empty table gives no rows; other columns are ignored.
     """
     clean, met = _touched(docs.select("doc_id", "text"), length, gram)
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, text string")
     def digest(texts: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.DataFrame:
         import hashlib
 
@@ -400,23 +440,34 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for t, s, c in zip(texts, spans, copy):
             raw = t.encode("utf-8", "surrogatepass")
             runs = [(0, len(raw))] if c is True or c is np.True_ else [] if s is None else _merged(s, len(raw))
-            out.append((sum(b - a for a, b in runs), len(runs), hashlib.sha256(_cut(raw, runs)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
+            left = _cut(raw, runs)
+            out.append((sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "text"])
 
     zero = F.lit(0).cast("long")
     same = clean.select("doc_id", F.col("_n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-                        F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+                        F.sha2(text.cast("binary"), 256).alias("kept_sha256"), text.alias("text"))
     cut = met.withColumn("_d", digest(text, "_spans", F.coalesce("_copy", F.lit(False))))
-    return same.unionByName(cut.select("doc_id", F.col("_n").alias("n_bytes"), "_d.n_removed", "_d.n_spans", "_d.kept_sha256"))
+    return same.unionByName(cut.select("doc_id", F.col("_n").alias("n_bytes"), "_d.n_removed", "_d.n_spans", "_d.kept_sha256", "_d.text"))
+
+
+def _byte_runs(raw: bytes, runs: list[tuple[int, int]], unit: str) -> list[tuple[int, int]]:
+    """Runs of units as runs of bytes: of words, from the first one's first byte to the last one's end."""
+    if unit == BYTES or not runs:
+        return runs
+    start, end = word_bounds(np.frombuffer(raw, dtype=np.uint8))
+    return [(int(start[a]), int(end[b - 1])) for a, b in runs]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = BYTES) -> DataFrame:
     """The documents without their repeated passages; columns of ``docs`` (``n_chars``, if there, follows the text).
 
-    Cases as in ``removed``. Where a run begins or ends within a character, what is left of that character goes too.
-    Documents that lose all stay with an empty text; null texts stay null.
+    Cases as in ``removed``. With ``unit="words"`` a passage is a run of ``length`` words, whatever stands between them, and
+    a document's words go from the first one's first byte to the last one's end. Where a run of bytes begins or ends within
+    a character, what is left of that character goes too. Documents that lose all stay with an empty text; null texts
+    stay null.
     """
-    clean, met = _touched(docs, length, gram)
+    clean, met = _touched(docs, length, gram, unit)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.Series:
@@ -426,7 +477,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 out.append(t)
             else:
                 raw = t.encode("utf-8", "surrogatepass")
-                out.append(_cut(raw, [(0, len(raw))] if c else _merged(s, len(raw))).decode("utf-8", "ignore"))
+                runs = [(0, len(raw))] if c else _byte_runs(raw, _merged(s, len(raw)), unit)
+                out.append(_cut(raw, runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     met = met.withColumn("_text", cut("text", "_spans", F.coalesce("_copy", F.lit(False))))

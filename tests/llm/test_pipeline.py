@@ -1,6 +1,7 @@
 """Each stage on its own input against plain loops, and the whole run."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -10,7 +11,6 @@ from albumetry.llm import packing
 from tests.llm.helpers import ODD, documents, text_of
 from tests.llm.test_language import text
 from tests.llm.test_near_dedup import brute as components
-from tests.llm.test_suffixes import brute as repeats
 
 pytest.importorskip("public_tokenizers")
 LANGS = ["de", "en", "fr", "ru"]
@@ -59,18 +59,47 @@ def test_near_duplicate_stage_keeps_one_of_each(spark):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
-def test_repeat_stage_cuts_what_occurs_twice(spark):
-    rows = corpus()
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def words_left(rows, length):
+    """Plain loop: the words of each text that lie in no run of ``length`` words which also starts elsewhere, and their number gone."""
+    split = [(d, [w for w in re.split(SPACES, t or "") if w]) for d, t in rows]
+    seen = Counter(tuple(w[i:i + length]) for _, w in split for i in range(len(w) - length + 1))
+    out = []
+    for d, w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i:i + length])] > 1:
+                gone[i:i + length] = [True] * length
+        out.append((d, [x for x, g in zip(w, gone) if not g], sum(gone)))
+    return out
+
+
+def test_repeat_stage_cuts_passages_of_over_50_words(spark):
+    """Passages of 50 words stay, of 51 and more go, be the words short or long and whatever stands between them."""
+    rng = random.Random(8)
+    rows = [r[:4] for r in corpus()]
+    for k, n in enumerate((50, 51, 60, 66, 90)):
+        for name, size in (("short", 1), ("middle", 5), ("long", 30)):
+            p = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéя") for _ in range(size)) for _ in range(n)]
+            for copy in range(2):
+                own = [f"own{k}{name}{copy}x{j}" for j in range(2 * rng.randrange(1, 30))]
+                half = len(own) // 2
+                rows.append((1000 + 100 * k + 10 * len(name) + copy, " ".join(own[:half]) + " " + rng.choice(["  ", "\n", "\t"]).join(p) + "\n" + " ".join(own[half:]), "en", "s1"))
+    rows += [(2000, " ".join(f"v{j}" for j in range(80)), "en", "s2")] * 2 + [(2001, " ".join(["same"] * 3000), "en", "s2")]
     docs = documents(spark, rows)
     cut = stage("repeated passages")(spark, docs, None)
     assert cut.columns == docs.columns
-    left = {r["doc_id"]: r for r in cut.collect()}
-    for d, n, gone, _, _ in repeats([r[:2] for r in rows], 400):
-        t = left[d]["text"] or ""
-        whole = len(t.encode())
-        assert n - gone - 6 <= whole <= n - gone  # a cut within a letter takes the letter
-        if gone:
-            assert left[d]["n_chars"] == len(t)
+    got = cut.collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r["doc_id"], re.sub(SPACES, " ", r["text"] or "").strip()) for r in got), key=key) == \
+        sorted(((d, " ".join(w)) for d, w, _ in words_left([r[:2] for r in rows], 51)), key=key)
+    texts = {(r[0], r[1]) for r in rows}
+    for r in got:
+        assert (r["text"] is None) == ((r["doc_id"], None) in texts) and (r["text"] is None or r["n_chars"] == len(r["text"]))
+        if r["doc_id"] is not None and r["doc_id"] // 100 == 10:
+            assert (r["doc_id"], r["text"]) in texts  # passages of 50 words stay as they are
 
 
 def test_mix_stage_repeats_documents(spark):

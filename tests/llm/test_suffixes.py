@@ -20,7 +20,7 @@ def brute(rows, length):
                 gone[i:i + length] = True
         runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(b) else 0
         left = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
-        out.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(left).hexdigest()))
+        out.append((d, len(b), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
     return sorted(out, key=repr)
 
 
@@ -78,3 +78,17 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 57)
     for w in (1, 2, 7, 57, 58):
         assert suffixes.sliding_min(x, w).tolist() == [x[i:i + w].min() for i in range(57 - w + 1)]
+
+
+@pytest.mark.parametrize("small, part", [(512, 1 << 21), (2, 150)])
+def test_words_large_buckets_and_cut_texts(spark, monkeypatch, small, part):
+    from tests.llm.test_pipeline import words_left
+
+    monkeypatch.setattr(suffixes, "SMALL", small)
+    monkeypatch.setattr(suffixes.parts_of, "__defaults__", (part,))
+    rows = corpus(90) + [(300, " ".join("ab"[k * k % 7 % 2] for k in range(900)))]
+    left = suffixes.without_repeats(documents(spark, rows), length=40, gram=8, unit=suffixes.WORDS)
+    key = lambda r: (str(r[0]), r[1])
+    got = sorted(((r["doc_id"], " ".join((r["text"] or "").split())) for r in left.collect() if r["doc_id"] != 905), key=key)
+    assert got == sorted(((d, " ".join(w)) for d, w, _ in words_left(rows, 40) if d != 905), key=key)
+    assert any(n for _, _, n in words_left(rows, 40))
