@@ -9,6 +9,7 @@ sequence with room, found in a tournament tree whose inner nodes hold the larges
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from albumetry.llm.pretokens import Ranges, Splitter, byte_letters, composed_otherwise, tokenizers_classes
 from albumetry.llm.tables import text_batches
 
 LENGTH = 2048
@@ -28,24 +30,19 @@ END = 1  # id that closes a document
 WORDS_KEPT = 500_000  # tokenized words a worker remembers before it starts anew
 
 # The tokenizer's own splitting rule (fixed values of the vocabulary file).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words for which the whole tokenizer is asked: its special tokens, letters whose lower case hangs on context,
 # and separators that Python takes for white space but the tokenizer does not.
-WHOLE = regex.compile(r"<\||[Σİ]|[^\x00-￿]")
-SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+WHOLE = re.compile("<\\||[Σİ]|[\U00010000-\U0010ffff]")
+# White space to Python but not to the tokenizer; texts with it go to the tokenizer whole.
+SEPARATORS = r"\x1c-\x1f"
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 class WordIds(dict):
     """Number of a word; its ids lie in ``flat[starts[number]:starts[number + 1]]``. Words are tokenized when first met."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: dict[str, Ranges], composed: Ranges):
         import os
 
         from tokenizers import Tokenizer
@@ -54,7 +51,12 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
+        self.split = Splitter(PIECES, classes)
+        # texts for which the whole tokenizer is asked: letters younger than Python's tables or the tokenizer's go there too
+        named = [(a, b, f"\\U{a:08x}-\\U{b:08x}") for a, b in composed]
+        self.apart_low = re.compile(f"[{SEPARATORS}{''.join(n for _, b, n in named if b < 1 << 16)}]").search
+        self.apart_high = re.compile(f"[{''.join(n for a, _, n in named if a >= 1 << 16) or SEPARATORS}]").search
         self.flat, self.starts = array("I"), array("q", [0])
 
     def reset(self) -> None:
@@ -65,7 +67,7 @@ class WordIds(dict):
         if WHOLE.search(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         out = []
-        for piece in PIECES.findall(word.lower()):
+        for piece in self.split(word.lower()):
             if not piece.isascii():
                 piece = piece.encode().decode("latin-1")
             out += [t.id for t in self.model.tokenize(piece.translate(self.letters))]
@@ -80,7 +82,7 @@ class WordIds(dict):
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to the tokenizer's, as unsigned 32-bit."""
-        if SEPARATORS.search(text):
+        if self.apart_low(text) or (BEYOND.search(text) and self.apart_high(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -104,18 +106,23 @@ class WordIds(dict):
 _known: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, classes: dict[str, Ranges], composed: Ranges) -> WordIds:
     """One table per worker process, kept between tasks."""
     if path not in _known:
-        _known[path] = WordIds(path)
+        _known[path] = WordIds(path, classes, composed)
     return _known[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at multiples of ``length``."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, line): every document cut at multiples of ``length``.
+
+    Each row has a line of its own, by its task and place there.
+    """
+    classes, composed = tokenizers_classes(), composed_otherwise()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = word_ids(tokenizer)
+        known = word_ids(tokenizer, classes, composed)
+        line = TaskContext.get().partitionId() << 40
         for batch in batches:
             owner, start, size, crc, total = [], [], [], [], []
             for k, text in enumerate(batch["text"]):
@@ -129,10 +136,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     crc.append(zlib.crc32(raw[4 * at: 4 * (at + length)]))
                     total.append(n)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner], "start": start, "length": size,
-                                "ids_crc32": crc, "doc_tokens": total})
+                                "ids_crc32": crc, "doc_tokens": total, "line": np.arange(len(start)) + line})
+            line += len(start)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, line long")
 
 
 class Tournament:
@@ -173,11 +181,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GRO
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its ids and the closing
     id 1; null and empty texts are that one id. Sequences hold at most ``length`` ids. Rows that repeat an id are
-    packed as documents of their own (in one group); null ids form a group like an id; an empty table gives no rows;
-    other columns are ignored. Texts of any length are cut, never shortened.
+    packed as documents of their own, null ids like others; an empty table gives no rows; other columns are ignored. Groups
+    are drawn row by row, so neither a repeated id nor a text of very many pieces fills one. Texts of any length are cut, never shortened.
     """
     groups = max(1, -(-text_batches(docs).count() // group))
-    cut = pieces(docs, tokenizer, length).withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+    cut = pieces(docs, tokenizer, length).withColumn("_group", F.pmod(F.xxhash64("line", F.lit(seed)), F.lit(groups))).drop("line")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

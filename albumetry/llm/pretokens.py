@@ -61,6 +61,27 @@ def tokenizers_classes() -> dict[str, Ranges]:
     return {name: ranges_of(members(name)) for name in CLASSES}
 
 
+@lru_cache(maxsize=None)
+def composed_otherwise() -> Ranges:
+    """Code points that the tokenizers library composes otherwise than Python does: younger than either's tables.
+
+    Unassigned ones, and marks that the library does not put in order after one or before another mark.
+    """
+    import unicodedata
+
+    from tokenizers import normalizers
+
+    compose = normalizers.NFC().normalize_str
+
+    def differs(c: str) -> bool:
+        if unicodedata.category(c) == "Cn":
+            return True
+        return any(compose(t) != unicodedata.normalize("NFC", t) for t in (f"a{c}", f"{c}\u0334", f"\u0345{c}"))
+
+    found = ranges_of(c for c in _all_letters() if differs(c))
+    return [r for a, b in found for r in ([(a, b)] if (a < 1 << 16) == (b < 1 << 16) else [(a, 0xFFFF), (1 << 16, b)])]
+
+
 def with_ranges(pattern: str, classes: dict[str, Ranges], top: int) -> str:
     r"""The pattern with ranges up to ``top`` in place of \p{L}, \p{N}, \s and \S, in brackets or outside."""
     inner = {name: "".join(f"\\U{a:08x}-\\U{min(b, top):08x}" for a, b in found if a <= top) for name, found in classes.items()}

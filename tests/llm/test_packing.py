@@ -1,9 +1,10 @@
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 
-from albumetry.llm import packing
+from albumetry.llm import packing, pretokens
 from tests.llm.helpers import ODD, documents, text_of
 
 public = pytest.importorskip("public_tokenizers")
@@ -17,7 +18,7 @@ def test_ids_equal_the_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    known = packing.WordIds(PATH)
+    known = packing.WordIds(PATH, pretokens.tokenizers_classes(), pretokens.composed_otherwise())
     for text in TEXTS * 2:
         assert known.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
     monkeypatch.setattr(packing, "WORDS_KEPT", 1)  # forgets between texts
@@ -25,6 +26,25 @@ def test_ids_equal_the_tokenizers(monkeypatch):
         assert known.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_letter():
+    """Between letters, between spaces and before a combining mark."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(PATH)
+    known = packing.WordIds(PATH, pretokens.tokenizers_classes(), pretokens.composed_otherwise())
+    letters = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000] + [c for c in map(chr, range(0x10000, 0x110000)) if unicodedata.category(c)[0] == "M" or ord(c) % 97 == 0]
+    texts = [f"a{x}b" for x in letters] + [f"{x} {x}\u0301 {x}x" for x in letters]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert known.encode(text).tolist() == want.ids, ascii(text)
+
+
+def test_repeated_ids_and_rows_fill_many_groups(spark):
+    rows = [(5, "same words")] * 300 + [(5, text_of(2, 60_000))]
+    got = packing.pack(documents(spark, rows), PATH, group=20).toPandas()
+    groups = (got["sequence_id"] // 2**32).value_counts()
+    assert len(groups) > 10 and groups.max() < 80
+
+
 def first_fit(sizes, length):
     """The plain rule: bins in order, the first with room."""
     bins, out = [], []
