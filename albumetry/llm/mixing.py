@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a place in [0, 2^36) by the hash of its id. For each source
+Every document has a place in [0, 2^36) by the hash of its id and text. For each source
 the words are summed by source and hash bucket (2^12 buckets); the bucket in
 which the running sum crosses the budget is the boundary, and only the rows of
 that bucket are summed again by their next 12 bits, three times in all. The
@@ -23,10 +23,16 @@ LEVELS = 3
 BITS = 12
 
 
+def _place(doc_id, text):
+    """Hash of id and text, so that rows which share an id do not share a place."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return unit_hash(name, LEVELS * BITS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, place) per document: the only pass over texts."""
     return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(F.col("doc_id"), LEVELS * BITS).alias("place")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("place")
     )
 
 
@@ -114,9 +120,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS) ->
     """How often each document is taken so that sources meet their targets.
 
     Returns doc_id, source, size, source_size, target, times (0 to ``most``) and taken = size * times.
-    Null text has size 0; null is a source of its own, ordered last; rows that repeat an id share one hash and are
+    Null text has size 0; null is a source of its own, ordered last; rows that repeat an id and a text share one hash and are
     taken or left together; an empty table gives no rows. Other columns are ignored. Sources without a word have
-    target 0. Reruns agree, as places are hashes of ids.
+    target 0. Reruns agree, as places are hashes of ids and texts.
     """
     sized = written(sizes(docs))
     return (
@@ -132,6 +138,6 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
     The texts only meet one row per source; they are not shuffled while those rows can be sent to all tasks.
     """
     plan = _plan(written(sizes(docs)), weights, most).select("_s", "whole", "cut")
-    rows = kept_whole(docs, "source").withColumn("place", unit_hash(F.col("row.doc_id"), LEVELS * BITS))
+    rows = kept_whole(docs, "source").withColumn("place", _place(F.col("row.doc_id"), F.col("row.text")))
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", _times(most)).filter("times > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -30,7 +30,7 @@ from best"""
 MIXING = rf"""
 with sized as (
   select doc_id, source, cast(len({WORDS}) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 9) as bigint) as place
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 9) as bigint) as place
   from documents),
 per as (select source, cast(sum(size) as bigint) as source_size from sized group by source),
 ranked as (select *, row_number() over (order by source is null, source) - 1 as n from per),
@@ -64,14 +64,26 @@ counted as (
               - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) as bigint) as n_dup_lines,
          cast(coalesce(c.n, 0) as bigint) as n_repeat_words
   from rows left join covered c using (r)),
-failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
-hosts as (select source, count(*) as n, sum(case when base_failed then 1 else 0 end) as f from failed group by source),
-prior as (select avg(f / n) as m, var_pop(f / n) as v from hosts),
+rules as (
+  select *, n_words < 50 as few_words, 100 * n_repeat_words > 50 * n_words as repeated_words, 10 * n_symbols > n_words as symbols,
+         10 * n_dup_lines > n_words as repeated_lines, word_chars < 2 * n_words or word_chars > 15 * n_words as word_length
+  from counted),
+long_ as (
+  unpivot (select source, cast(few_words as int) few_words, cast(repeated_words as int) repeated_words, cast(symbols as int) symbols,
+                  cast(repeated_lines as int) repeated_lines, cast(word_length as int) word_length from rules)
+  on few_words, repeated_words, symbols, repeated_lines, word_length into name rule value f),
+hosts as (select rule, source, count(*)::double as n, sum(f)::double as f from long_ group by rule, source),
+means as (select rule, sum(f) / sum(n) as m, sum(n) as docs, count(*) as hosts from hosts group by rule),
+spread as (select rule, m, docs, hosts, sum(n * (f / n - m) * (f / n - m)) as s from hosts join means using (rule) group by all),
+prior as (
+  select rule, m, case when docs > hosts and m > 0 and m < 1 then least(1.0, greatest(0.0, (s / (m * (1 - m)) - hosts) / (docs - hosts))) else 0.0 end as rho
+  from spread),
 rated as (
-  select source, case when v > 0 then (f + greatest(0, m * (1 - m) / v - 1) * m) / (n + greatest(0, m * (1 - m) / v - 1)) else m end as rate
-  from hosts, prior)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept
-from failed join rated on failed.source is not distinct from rated.source"""
+  select source, max(case when rho > 0 then (f + (1 / rho - 1) * m) / (n + (1 / rho - 1)) else m end) as rate
+  from hosts join prior using (rule) group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words or repeated_words as base_failed,
+       not (few_words or repeated_words) and rate <= 0.5 as kept
+from rules join rated on rules.source is not distinct from rated.source"""
 
 
 TOP_K = r"""

@@ -2,7 +2,7 @@
 
 Equal texts form a group. Small groups are bundled by hash, so that the number of things to place is bounded by a
 parameter and not by the number of documents; a group above a bundle's share of bytes, tokens or rows is placed as a
-thing of its own, whole. Only groups above ``CUT`` of a shard are cut, by the hash of their ids into parts of a bundle's
+thing of its own, whole. Only groups above ``CUT`` of a shard are cut, row by row at random into parts of a bundle's
 share, so one text that fills a third of the table still spreads evenly. The things to place, heaviest first, each go to
 the shard where the dot product of their (bytes, tokens, rows) with the shard's residual capacity is highest.
 
@@ -41,7 +41,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     Returns doc_id, size (UTF-8 bytes + 1), tokens (words), text_crc32, law, shard, slot (gapless from 0 within the
     shard) and grown_shard (null under this law). Null text counts as an empty text. Rows that repeat are all placed.
     A group of equal texts stays in one shard unless it holds more than ``CUT`` of a shard's bytes, tokens or rows; then
-    its rows are spread by the hash of their ids over as many parts as its share needs (repeated ids stay together). An
+    its rows are spread over as many parts as its share needs, be their ids equal or not. An
     empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -56,12 +56,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     # only groups above a bundle's share of a resource: at most 3 * ``bundles`` rows, as many parts and once more as many
     large = rows.groupBy("_group").agg(*load).select("_group", share.alias("_share")).filter(F.col("_share") > 1 / bundles)
     large = large.select("_group", F.ceil(F.col("_share") * bundles).cast("long").alias("_parts"), (F.col("_share") > CUT / shards).alias("_cut"))
-    rows = rows.join(F.broadcast(large), "_group", "left").withColumns({
+    # a number of each written row, drawn once, so that rows which share id and text are dealt out too
+    deal = F.pmod(F.xxhash64("_line"), F.col("_parts"))
+    rows = rows.withColumn("_line", F.monotonically_increasing_id()).join(F.broadcast(large), "_group", "left").withColumns({
         "_bundle": F.when(F.col("_parts").isNull(), F.pmod(F.xxhash64("_group"), F.lit(bundles))).otherwise(F.col("_group")),
-        "_part": F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_parts")), F.lit(-1)),  # -1: a bundle of small groups
-        "_alone": F.when(F.col("_cut"), F.pmod(F.xxhash64("doc_id"), F.col("_parts"))).otherwise(F.when(F.col("_parts").isNull(), -1).otherwise(-2)),
+        "_part": F.coalesce(deal, F.lit(-1)),  # -1: a bundle of small groups
+        "_alone": F.when(F.col("_cut"), deal).otherwise(F.when(F.col("_parts").isNull(), -1).otherwise(-2)),
     })
-    rows = written(rows.drop("_parts", "_cut"))
+    rows = written(rows.drop("_parts", "_cut", "_line"))
     loads = rows.groupBy("_bundle", "_alone", "_part").agg(*load).orderBy("_bundle", "_alone", "_part").toPandas()
     things = loads.groupby(["_bundle", "_alone"])  # what is placed as one
     chosen = place_bundles(things[["b", "t", "r"]].sum().to_numpy(dtype=float).reshape(-1, 3), shards)[things.ngroup().to_numpy(dtype=int)]

@@ -73,6 +73,23 @@ def test_mixed_documents(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == +times
 
 
+def test_mix_of_repeated_ids(spark):
+    """A source whose rows share two ids still comes near its target."""
+    rows = [(k % 2, text_of(k, 100), "en", "a") for k in range(400)] + [(5, text_of(1000 + k, 20), "en", "b") for k in range(600)]
+    taken, target = Counter(), {}
+    for r in mixing.mix(documents(spark, rows)).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 100 for s in target)
+
+
+def test_shards_of_one_id(spark):
+    load = Counter()
+    for r in sharding.shard(documents(spark, [(7, "equal texts of one id " * 10)] * 800 + [(7, text_of(k, 40)) for k in range(400)])).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) < 1.3 * min(load.values())
+
+
 def test_larger_budgets_take_supersets(spark):
     sized = mixing.sizes(documents(spark, corpus())).cache()
     goal = mixing.targets(sized).cache()
@@ -132,25 +149,46 @@ def measures(text):
     return (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
 
 
+def shrunk(failed, docs):
+    """Rates by a beta prior whose strength follows from the spread between hosts beyond counting noise."""
+    total = sum(docs.values())
+    m = sum(failed.values()) / total
+    if not 0 < m < 1 or total == len(docs):
+        return dict.fromkeys(docs, m)
+    spread = sum(n * (failed[h] / n - m) ** 2 for h, n in docs.items())
+    rho = min(1, max(0, (spread / (m * (1 - m)) - len(docs)) / (total - len(docs))))
+    s = 1 / rho - 1 if rho else None
+    return {h: m if s is None else (failed[h] + s * m) / (n + s) for h, n in docs.items()}
+
+
+def test_hosts_of_one_document_share_the_mean(spark):
+    """One document tells nothing of its host: 300 hosts of one document get the corpus rate, beside two hosts that differ too."""
+    rows = [(k, text_of(k, 60 if k % 3 else 5), "en", f"h{k}") for k in range(300)]
+    got = quality.judge(documents(spark, rows)).collect()
+    assert {round(r["host_rate"], 9) for r in got} == {round(1 / 3, 9)} and all(r["kept"] == (r["doc_id"] % 3 > 0) for r in got)
+    rows += [(1000 + k, text_of(k, 5 if k % 10 else 60), "en", "bad") for k in range(100)] + [(2000 + k, text_of(k, 60), "en", "good") for k in range(100)]
+    rate = {r["host"]: r["host_rate"] for r in quality.judge(documents(spark, rows)).collect()}
+    assert rate["bad"] > 0.8 and rate["good"] < 0.1 and 0 < rate["h1"] < rate["h0"] < 1
+
+
 def test_quality(spark):
     rows = corpus() + [(800, "a b c a b c a b c d", "en", "b"), (801, "x " * 60, "en", "b"), (802, "a b c", "en", "b"), (803, "a a a a", "en", "b"),
                        (804, "line\n" * 70 + "\x0b\n \n é 🎉#", "en", "b")]
     docs = documents(spark, rows)
     got = quality.judge(docs, host="source").collect()
     want = {r[0]: measures(r[1]) for r in rows}
-    failed, docs_of = Counter(), Counter()
+    broken, docs_of = defaultdict(Counter), Counter()
     for r in got:
-        m = want[r["doc_id"]]
+        n, chars, symbols, lines, repeated = m = want[r["doc_id"]]
         assert tuple(r)[1:6] == m, r
-        assert r["base_failed"] == (m[0] < 50 or 100 * m[4] > 50 * m[0])
-        failed[r["host"]] += r["base_failed"]
+        assert r["base_failed"] == (n < 50 or 100 * repeated > 50 * n)
         docs_of[r["host"]] += 1
-    raw = [failed[h] / docs_of[h] for h in docs_of]
-    mean = sum(raw) / len(raw)
-    var = sum((x - mean) ** 2 for x in raw) / len(raw)
-    s = max(0, mean * (1 - mean) / var - 1)
+        for rule, x in {"few": n < 50, "rep": 100 * repeated > 50 * n, "sym": 10 * symbols > n, "lines": 10 * lines > n,
+                        "length": chars < 2 * n or chars > 15 * n}.items():
+            broken[rule][r["host"]] += x
+    rates = [shrunk(broken[rule], docs_of) for rule in broken]
     for r in got:
-        rate = (failed[r["host"]] + s * mean) / (docs_of[r["host"]] + s)
+        rate = max(x[r["host"]] for x in rates)
         assert r["host_rate"] == pytest.approx(rate)
         assert r["kept"] == (not r["base_failed"] and rate <= 0.5)
     assert len(got) == len(rows)
