@@ -16,6 +16,7 @@ batches; each batch sends one row per distinct phrase, and all counts are summed
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ TOP = 2000  # phrases reported of a language
 SAMPLE = 8  # one document in so many is in the sample
 SAMPLE_LEAST = 2  # lowered limit there: below LEAST / SAMPLE, so that few frequent phrases are missed
 BITS = 26  # 8 MB bitmap of S
-PART = 1 << 22  # bytes of text counted at a time
+PART = 1 << 20  # bytes of text counted at a time
 PER_TASK = 50_000  # rows of one phrase looked up in one task
 FALLBACK = "und"
 
@@ -47,8 +48,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CUT = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
-COUNTED = "lang string, k int, key long, phrase string, n long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("key", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+COUNTED = "lang string, phrase string, n long"
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def parts_of(texts: list[bytes], limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -131,9 +132,15 @@ def let_in(words: Words, lang_seeds: np.ndarray, before: np.ndarray | None, bits
     return tuple(np.concatenate(x) for x in zip(*[(a, np.full(len(a), k), key) for a, key, k in found]))
 
 
+def _seeds(langs: pa.Array) -> np.ndarray:
+    """A number of each language."""
+    names = (x.encode("utf-8", "surrogatepass") for x in langs.to_pylist())
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in names], dtype=np.uint64)
+
+
 def counted(docs: DataFrame, before: np.ndarray | None, bits: np.ndarray, longest: int) -> DataFrame:
-    """(lang, k, key, phrase, n) of all phrases that ``bits`` let in and ``before`` did not; of no words (k = 0), in a first
-    pass, the number of all words."""
+    """(lang, phrase, n) of all phrases that ``bits`` let in and ``before`` did not; in a first pass also the number of all
+    words of a language, as that of the empty phrase."""
     shared = docs.sparkSession.sparkContext.broadcast((before, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +148,7 @@ def counted(docs: DataFrame, before: np.ndarray | None, bits: np.ndarray, longes
         for batch in batches:
             lang = batch.column("lang").dictionary_encode()
             codes, names = lang.indices.to_numpy(), lang.dictionary
-            seeds = np.array([int.from_bytes(_digest(x), "little") for x in names.to_pylist()], dtype=np.uint64)
+            seeds = _seeds(names)
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             for part in parts_of(texts, PART):
                 words = Words([t for _, t in part], codes[[r for r, _ in part]])
@@ -152,34 +159,47 @@ def counted(docs: DataFrame, before: np.ndarray | None, bits: np.ndarray, longes
                 key = key[order]
                 new = np.flatnonzero(np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool))
                 n = np.diff(np.append(new, len(key)))
-                first, k, key = first[order[new]], k[order[new]], key[new]
-                for a in range(0, len(key), 1 << 16):
-                    yield _rows(words, names, first[a: a + (1 << 16)], k[a: a + (1 << 16)], key[a: a + (1 << 16)], n[a: a + (1 << 16)])
+                first, k = first[order[new]], k[order[new]]
+                for a in range(0, len(n), 1 << 15):
+                    b = a + (1 << 15)
+                    yield _rows(words, names, first[a:b], k[a:b], n[a:b])
                 if before is None:
                     of = np.bincount(words.lang, minlength=len(names))
                     here = np.flatnonzero(of)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(here)), pa.array(np.zeros(len(here), np.int32)),
-                                                      pa.array(np.zeros(len(here), np.int64)), pa.array([""] * len(here)), pa.array(of[here])], schema=_SCHEMA)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(here)), pa.array([""] * len(here)), pa.array(of[here])], schema=_SCHEMA)
 
     rows = docs.mapInArrow(count, COUNTED)
-    return rows.groupBy("lang", "k", "key", "phrase").agg(F.sum("n").alias("n"))
-
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-def _digest(name: str) -> bytes:
-    import hashlib
 
-    return hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-
-
-def _rows(words: Words, names: pa.Array, first: np.ndarray, k: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(words: Words, names: pa.Array, first: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     last = first + k - 1
     begin, end = words.begin[first], words.begin[last] + words.size[last]
     bounds = np.stack((begin, end), axis=1).ravel()  # every second stretch is a phrase
     flat = gathered(words.flat, bounds, np.arange(0, len(bounds), 2))
     offsets = np.append(0, np.cumsum(end - begin)).astype(np.int32)
     text = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(flat))
-    return pa.RecordBatch.from_arrays([names.take(pa.array(words.lang[first])), pa.array(k.astype(np.int32)),
-                                       pa.array(key.view(np.int64)), text, pa.array(n)], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(words.lang[first])), text, pa.array(n)], schema=_SCHEMA)
+
+
+def keyed(rows: DataFrame, longest: int) -> DataFrame:
+    """(lang, k, key, phrase, n): the rows with their number of words and the key that ``let_in`` gives them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, _ = powers(longest + 1)
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("phrase").to_pylist()]
+            words = Words(texts, np.arange(len(texts)))  # in place of languages, the row of each word
+            k = np.bincount(words.lang, minlength=len(texts))
+            at = np.arange(len(words.lang)) - np.repeat(np.cumsum(k) - k, k) + 1
+            rolled = np.zeros(len(texts), dtype=np.uint64)
+            np.add.at(rolled, words.lang, mixed(words.hashes + at.astype(np.uint64)) * up[at])
+            key = mixed(rolled ^ _seeds(lang.dictionary)[lang.indices.to_numpy()] ^ k.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(k.astype(np.int32)), pa.array(key.view(np.int64)),
+                                              batch.column("phrase"), batch.column("n")], names=["lang", "k", "key", "phrase", "n"])
+
+    return rows.mapInArrow(find, "lang string, k int, key long, phrase string, n long")
 
 
 def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
@@ -196,7 +216,7 @@ def closed(docs: DataFrame, proposed: np.ndarray, least: int, longest: int, bits
     """(phrases with at least ``least`` occurrences and their numbers, bitmap of S, passes): passes until the border holds."""
     found, before, now, passes = None, None, proposed, 0
     while True:
-        rows = written(counted(docs, before, now, longest).filter(f"k = 0 or n >= {least}"))
+        rows = written(keyed(counted(docs, before, now, longest).filter(f"phrase = '' or n >= {least}"), longest))
         passes += 1
         found = rows if found is None else found.unionByName(rows)
         more = now | bitmap(rows.filter(f"k between 1 and {longest - 1}"), bits)
