@@ -34,6 +34,17 @@ def lookup_join(
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
 
 
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``ids``; none that is among them goes.
+
+    A filter by hash, to be followed by the exact join: the marks of the ids, at most 2^``bits`` rows whatever their
+    number, go to the tasks that scan ``rows``, so that what cannot match is dropped where it is read and never shuffled.
+    """
+    mark = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
+    marks = ids.select(mark.alias("_mark")).distinct()
+    return rows.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+
+
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """1-based position in a total order without a single-task window.
 

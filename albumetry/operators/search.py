@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from albumetry import vocab
 from albumetry.functions import intent as I
 from albumetry.functions import text as X
-from albumetry.operators.scale import global_rank
+from albumetry.operators.scale import global_rank, maybe_among
 from albumetry.operators.vectors import top_k_batch
+from albumetry.session import written
 
 RECORD_COLUMNS = [
     "caption", "objects", "keyword_tags", "keyword_keys", "scene", "detected_text",
@@ -163,11 +164,15 @@ def page(judged: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
 def candidates(queries: DataFrame, vectors: DataFrame, assets: DataFrame, records: DataFrame,
                pool: int = vocab.CANDIDATES_PER_QUERY, prefilter: bool = False) -> DataFrame:
     """Nearest ``pool`` vectors per query with their records; deleted assets are
-    dropped after the cut (before it with ``prefilter``)."""
+    dropped after the cut (before it with ``prefilter``).
+
+    Names and records are read by the scan but only those of hits leave it: a mark of the hits' ids filters them there.
+    """
     active = assets.filter(~F.col("is_deleted")).select("asset_id", "filename")
     if prefilter:
         vectors = vectors.join(active, "asset_id", "left_semi")
-    hits = top_k_batch(queries, vectors, pool).drop("rank")
+    hits = written(top_k_batch(queries, vectors, pool).drop("rank"))
+    active, records = maybe_among(active, hits, "asset_id"), maybe_among(records, hits, "asset_id")
     wide = records.select("asset_id", *[c for c in RECORD_COLUMNS if c in records.columns])
     missing = {c: F.lit(None).cast("boolean" if c == "is_indoor" else "string")
                for c in RECORD_COLUMNS if c not in records.columns}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 from albumetry.functions.text import collection_key
 from albumetry.functions.vectors import cosine
 from albumetry.operators.scale import keep_newest, upsert
+from albumetry.session import written
 
-BROADCAST_QUERIES = 4096
-BLOCK_QUERIES = 4096
-BLOCK_ASSETS = 65_536
+CELL = 256  # vectors of a cell, on average, while there are pivots enough
+MOST_PIVOTS = 4096  # rows that the driver and every task hold, whatever the number of vectors
+BLOCK_VECTORS = 8192  # vectors and queries of one tile: 64 MB of scores
+BLOCK_QUERIES = 1024
+SLACK = 1e-6  # of angles, for rounding
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -24,35 +28,79 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-class _Best:
-    """Running best k (score desc, id asc) per query over blocks of assets."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.scores: np.ndarray | None = None
-        self.ids: np.ndarray | None = None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.round(scores, 9)
-        ids = np.broadcast_to(ids, scores.shape)
-        if self.scores is not None:
-            scores = np.hstack([self.scores, scores])
-            ids = np.hstack([self.ids, ids])
-        if scores.shape[1] > self.k:
-            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-            scores = np.take_along_axis(scores, order, axis=1)
-            ids = np.take_along_axis(ids, order, axis=1)
-        self.scores, self.ids = scores, ids
-
-    def frame(self, query_ids) -> pd.DataFrame:
-        if self.scores is None:
-            return pd.DataFrame({"query_id": [], "asset_id": [], "score": []})
-        q, k = self.scores.shape
-        return pd.DataFrame({
-            "query_id": np.repeat(np.asarray(query_ids), k),
-            "asset_id": self.ids.reshape(-1),
-            "score": self.scores.reshape(-1),
-        })
+@dataclass(frozen=True)
+class Cells:
+    """Cells of unit vectors about pivots: what tells from afar whether a cell can hold a vector near enough."""
+
+    pivots: np.ndarray  # one row per cell, nearest neighbours side by side
+    size: np.ndarray
+    low: np.ndarray  # least and largest angle of a cell's vectors to its pivot
+    high: np.ndarray
+    block: np.ndarray  # first block of the cell's vectors, and number of blocks they are dealt over
+    parts: np.ndarray
+
+    def reached(self, angles: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Cells (columns) that can hold a vector within the angle ``reach`` of each query (rows), by the triangle inequality."""
+        within = reach[:, None] + SLACK
+        return (self.size > 0) & (angles - self.high <= within) & (self.low - angles <= within)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _slices(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    step = max(1, BLOCK_VECTORS * BLOCK_QUERIES // max(1, width))
+    for at in range(0, len(batch), step):
+        yield batch.iloc[at: at + step]
+
+
+class VectorIndex:
+    """Vectors in cells about pivots: ``placed`` (asset_id, embedding, cell, block) and what is known of the ``cells``.
+
+    Pivots are a sample by hash, one per ``CELL`` vectors and at most ``MOST_PIVOTS``; every vector lies in the cell of the pivot
+    nearest to it. Cells are dealt into blocks of about ``BLOCK_VECTORS`` vectors, near ones together; a larger cell takes
+    several blocks.
+    """
+
+    def __init__(self, vectors: DataFrame, cell: int = CELL, most_pivots: int = MOST_PIVOTS, block: int = BLOCK_VECTORS):
+        vectors = vectors.select("asset_id", "embedding").filter("embedding is not null")
+        spark = vectors.sparkSession
+        n = max(1, min(most_pivots, -(-vectors.count() // cell)))
+        drawn = vectors.orderBy(F.xxhash64("asset_id"), "asset_id").limit(n).toPandas()  # at most most_pivots rows
+        pivots = _side_by_side(_unit(drawn["embedding"])) if len(drawn) else np.zeros((1, 1))
+        shared = spark.sparkContext.broadcast(pivots)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for part in _slices(batch, len(pivots)):
+                    angles = _angles(_unit(part["embedding"]), shared.value)
+                    cell = angles.argmin(axis=1)
+                    yield part.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(part)), cell])
+
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+        placed = written(vectors.mapInPandas(place, f"{kind}, cell int, angle double"))
+        size, low, high = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
+            size[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+        first, parts, at, held = np.zeros(len(size), dtype=np.int64), np.ones(len(size), dtype=np.int64), 0, 0
+        for k, n in enumerate(size.tolist()):
+            if held and held + n > block:
+                at, held = at + 1, 0
+            first[k], parts[k] = at, max(1, -(-n // block))
+            if parts[k] > 1:
+                at, held = at + int(parts[k]), 0
+            else:
+                held += n
+        self.cells = Cells(pivots, size, low, high, first, parts)
+        where = spark.createDataFrame([(k, int(first[k]), int(parts[k])) for k in range(len(size))], "cell int, _first long, _parts long")
+        deal = F.col("_first") + F.pmod(F.xxhash64("asset_id"), F.col("_parts"))
+        self.placed = placed.join(F.broadcast(where), "cell").select("asset_id", "embedding", "cell", deal.alias("block"))
+
+
+def _side_by_side(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in the order of the one among every 32nd that they are nearest to."""
+    return pivots[np.argsort(_angles(pivots, pivots[::32]).argmin(axis=1), kind="stable")]
 
 
 def _out_schema(queries: DataFrame, vectors: DataFrame) -> str:
@@ -69,64 +117,108 @@ def best_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """(query_id, asset_id, score, rank): exact top k by cosine per query.
+def _routed(queries: DataFrame, cells: Cells, home: bool) -> DataFrame:
+    """(query_id, embedding, least, block, pairs): the block of each query's nearest cell, or all others that it can reach.
 
-    queries: query_id, embedding; vectors: asset_id, embedding. Up to
-    ``broadcast_queries`` query vectors (counted) are sent to every scan task
-    and the catalog is not shuffled. Beyond that both sides are cut into blocks
-    and every pair of blocks is one task. Tasks emit k rows per query, so pairs
-    are never materialised.
+    ``pairs`` is the number of vectors to be scored there. Beyond home, queries come with ``least``, the score that a hit must
+    have, and ``block``, their home.
     """
-    queries = queries.select("query_id", "embedding").filter("embedding is not null")
-    vectors = vectors.select("asset_id", "embedding").filter("embedding is not null")
-    if queries.limit(broadcast_queries + 1).count() <= broadcast_queries:
-        partial = _by_broadcast(queries, vectors, k)
-    else:
-        partial = _by_blocks(queries, vectors, k)
-    return best_k(partial, k)
-
-
-def _by_broadcast(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    rows = queries.toPandas()  # at most broadcast_queries rows, checked by the caller
-    query_ids = rows["query_id"].to_numpy()
-    matrix = _unit(rows["embedding"]) if len(rows) else None
-    sent = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        best = _Best(k)
-        if q is not None:
-            for pdf in batches:
-                if len(pdf):
-                    best.add(q @ _unit(pdf["embedding"]).T, pdf["asset_id"].to_numpy())
-        yield best.frame(ids)
-
-    return vectors.mapInPandas(scan, _out_schema(queries, vectors))
-
-
-def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int,
-               block_queries: int = BLOCK_QUERIES, block_assets: int = BLOCK_ASSETS) -> DataFrame:
-    q_blocks = max(1, -(-queries.count() // block_queries))
-    a_blocks = max(1, -(-vectors.count() // block_assets))
-
-    def blocked(df: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-        )
-
-    left = blocked(queries, "query_id", "qb", q_blocks, "ab", a_blocks)
-    right = blocked(vectors, "asset_id", "ab", a_blocks, "qb", q_blocks)
-
-    def cell(q: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        if len(q) and len(a):
-            best.add(_unit(q["embedding"]) @ _unit(a["embedding"]).T, a["asset_id"].to_numpy())
-        return best.frame(q["query_id"].to_numpy())
-
-    return left.groupBy("qb", "ab").cogroup(right.groupBy("qb", "ab")).applyInPandas(
-        cell, _out_schema(queries, vectors)
-    )
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding {queries.schema['embedding'].dataType.simpleString()}"
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = shared.value
+        share = cells.size / cells.parts
+        for batch in batches if cells.size.any() else ():
+            for part in _slices(batch, 4 * len(cells.size)):
+                angles = _angles(_unit(part["embedding"]), cells.pivots)
+                if home:
+                    nearest = np.where(cells.size > 0, angles, np.inf).argmin(axis=1)
+                    row, block = np.arange(len(part)), cells.block[nearest]
+                    there = np.bincount(cells.block, weights=share)
+                    pairs = there[block]
+                else:
+                    reach = np.arccos(np.clip(part["least"].to_numpy() - 1e-9, -1.0, 1.0))
+                    row, cell = np.nonzero(cells.reached(angles, reach))
+                    parts = cells.parts[cell]
+                    row, first = np.repeat(row, parts), np.repeat(cells.block[cell], parts)
+                    block = first + np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    # one row per query and block
+                    code, at = np.unique(row * (int(cells.block.max() + cells.parts.max()) + 1) + block, return_inverse=True)
+                    pairs = np.bincount(at, weights=np.repeat(share[cell], parts), minlength=len(code))
+                    row, block = np.divmod(code, int(cells.block.max() + cells.parts.max()) + 1)
+                    away = block != part["block"].to_numpy()[row]
+                    row, block, pairs = row[away], block[away], pairs[away]
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row],
+                                    "least": part["least"].to_numpy()[row], "block": block, "pairs": pairs})
+
+    return queries.mapInPandas(route, f"{kind}, least double, block long, pairs double")
+
+
+def _scored(routed: DataFrame, index: VectorIndex, k: int) -> DataFrame:
+    """(query_id, asset_id, score): best k of each query in each block that it was sent to."""
+    shared = routed.sparkSession.sparkContext.broadcast(index.cells)
+    asked = routed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_split"))
+    left = routed.join(asked, "block").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_split")).cast("int"))
+    right = index.placed.join(asked, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_split") - 1)))
+
+    def tile(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        cells = shared.value
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "asset_id": [], "score": []})
+        v = v.sort_values("asset_id", kind="stable")
+        asked, held, of = _unit(q["embedding"]), _unit(v["embedding"]), v["cell"].to_numpy()
+        reach = np.arccos(np.clip(q["least"].to_numpy() - 1e-9, -1.0, 1.0))
+        scores = np.full((len(q), len(v)), -np.inf)
+        for cell in np.unique(of):
+            one = Cells(*[getattr(cells, f.name)[cell: cell + 1] for f in fields(Cells)])
+            rows = np.flatnonzero(one.reached(_angles(asked, one.pivots), reach)[:, 0])
+            columns = np.flatnonzero(of == cell)
+            if len(rows):
+                scores[np.ix_(rows, columns)] = np.round(asked[rows] @ held[columns].T, 9)
+        least = q["least"].to_numpy()[:, None] - 1e-9
+        if scores.shape[1] > k:
+            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True))
+        row, column = np.nonzero((scores >= least) & (scores > -np.inf))
+        order = np.lexsort((column, -scores[row, column], row))  # columns are in order of asset_id
+        row, column = row[order], column[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, column = row[first], column[first]
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "asset_id": v["asset_id"].to_numpy()[column], "score": scores[row, column]})
+
+    return left.select("query_id", "embedding", "least", "block", "_part").groupBy("block", "_part").cogroup(
+        right.groupBy("block", "_part")).applyInPandas(tile, _out_schema(routed, index.placed))
+
+
+def _searched(queries: DataFrame, index: VectorIndex, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(hits, routes of both rounds)."""
+    asked = queries.select("query_id", "embedding").filter("embedding is not null").withColumns({"least": F.lit(float(least)), "block": F.lit(-1).cast("long")})
+    home = written(_routed(asked, index.cells, home=True))
+    near = written(_scored(home, index, k))
+    # the k-th score at home is one that a hit must have
+    known = best_k(near, k).groupBy("query_id").agg(F.min("score").alias("_score"), F.count("*").alias("_n"))
+    least_now = F.when(F.col("_n") == k, F.greatest("least", "_score")).otherwise(F.col("least"))
+    onward = home.join(known, "query_id", "left").withColumn("least", least_now).select("query_id", "embedding", "least", "block")
+    away = written(_routed(onward, index.cells, home=False))
+    return near.unionByName(_scored(away, index, k)), home.unionByName(away)
+
+
+def top_k_batch(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, least: float = -1.0) -> DataFrame:
+    """(query_id, asset_id, score, rank): exact top k by cosine per query, of scores of at least ``least``.
+
+    queries: query_id, embedding; vectors: asset_id, embedding, or an index of them that is used again. Each query first
+    meets the block of vectors nearest to it; its k-th score there, or ``least``, then says by the triangle inequality
+    which other cells can hold a hit, and only those are scored. Tiles of queries and vectors are of bounded size and emit k
+    rows per query. Null vectors take no part; zero vectors score 0.
+    """
+    index = vectors if isinstance(vectors, VectorIndex) else VectorIndex(vectors)
+    hits, _ = _searched(queries, index, k, least)
+    return best_k(hits, k)
+
+
+def pairs_scored(queries: DataFrame, index: VectorIndex, k: int, least: float = -1.0) -> float:
+    """Number of (query, vector) pairs that ``top_k_batch`` scores."""
+    return _searched(queries, index, k, least)[1].agg(F.sum("pairs")).first()[0] or 0.0
 
 
 def top_k(vectors: DataFrame, query: Column, k: int, offset: int = 0) -> DataFrame:
@@ -148,7 +240,7 @@ def similar_assets(sources: DataFrame, vectors: DataFrame, assets: DataFrame, li
     active = assets.filter(~F.col("is_deleted")).select("asset_id")
     wanted = sources.join(active, "asset_id", "left_semi").select("asset_id")
     queries = wanted.join(vectors, "asset_id").select(F.col("asset_id").alias("query_id"), "embedding")
-    hits = top_k_batch(queries, vectors, limit + 1).filter(
+    hits = top_k_batch(queries, vectors, limit + 1, least).filter(
         (F.col("asset_id") != F.col("query_id")) & (F.col("score") >= least)
     )
     return (
