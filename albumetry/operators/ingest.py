@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from albumetry.functions import text as X
 from albumetry.functions.hashes import valid_signature
-from albumetry.operators.scale import lookup_join
+from albumetry.operators.scale import lookup_join, maybe_among
+from albumetry.session import written
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
@@ -25,11 +26,13 @@ def mark_copies(batch: DataFrame, catalog: DataFrame, by: str = "path") -> DataF
     """Adds existing_id and outcome: new, skipped (known or copy in the batch) or failed.
 
     Hashes are reduced to one row each before they meet the catalog, so a hash
-    on a large share of the batch is looked up once.
+    on a large share of the batch is looked up once. The batch (names and hashes) is written once, so its contents are
+    read and hashed once, whatever is then asked of it; of the catalog only rows that may match are joined.
     """
+    batch = written(batch)
     valid = batch.filter("is_valid")
     classes = valid.groupBy("file_hash").agg(F.count("*").alias("n"), F.min(by).alias("first"))
-    known = catalog.select("file_hash", F.col("asset_id").alias("existing_id"))
+    known = maybe_among(catalog.select("file_hash", F.col("asset_id").alias("existing_id")), classes, "file_hash")
     table = classes.join(known, "file_hash", "left")
     marked = lookup_join(valid, table, "file_hash", by)
     outcome = F.when(F.col("existing_id").isNotNull(), "skipped").when(F.col(by) == F.col("first"), "new").otherwise("skipped")

@@ -149,3 +149,28 @@ def upsert_quality(old: DataFrame, new: DataFrame) -> DataFrame:
 def quality_of(quality: DataFrame, ids: DataFrame) -> DataFrame:
     """Stored rows only; nothing is computed."""
     return quality.join(ids.select("asset_id"), "asset_id", "left_semi")
+
+
+def raster_metrics(rasters: DataFrame) -> DataFrame:
+    """Pixel metrics of grey rasters: asset_id, brightness, darkness, sharpness, edge_stddev_cropped, blur_score.
+
+    ``rasters``: asset_id, width, height, data (binary, row by row). Column expressions alone, one pass over each raster; an empty
+    or missing raster gets the defaults of an image that cannot be decoded.
+    """
+    from albumetry.functions import raster as P
+
+    good = F.coalesce(F.octet_length("data") > 0, F.lit(False))
+    both = P.let(P.grey_levels(F.col("data")), lambda g: F.struct(
+        P.sums(g).alias("grey"),
+        P.let(P.edge_levels(g, F.col("width"), F.col("height")), lambda e: F.struct(
+            P.sums(e).alias("all"), P.sums(P.inner_levels(e, F.col("width"), F.col("height"))).alias("inner"))).alias("edges")))
+    out = rasters.select("asset_id", F.when(good, both).alias("p"))
+    brightness = F.col("p.grey.s") / F.col("p.grey.n") / 255.0
+    sharpness = P.deviation(F.col("p.edges.all"))
+    return out.select(
+        "asset_id", F.coalesce(F.round(brightness, 4), F.lit(0.5)).alias("brightness"),
+        F.coalesce(F.round(1.0 - brightness, 4), F.lit(0.5)).alias("darkness"),
+        F.coalesce(F.round(sharpness, 4), F.lit(10.0)).alias("sharpness"),
+        F.round(P.deviation(F.col("p.edges.inner")), 4).alias("edge_stddev_cropped"),
+        F.coalesce(F.round(Q.blur_score(sharpness), 4), F.lit(50.0)).alias("blur_score"),
+    )

@@ -42,7 +42,8 @@ def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> Da
     """
     mark = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
     marks = ids.select(mark.alias("_mark")).distinct()
-    return rows.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    # the mark is no column of the rows, so that the planner can move the filter below their own joins
+    return rows.join(F.broadcast(marks), mark == F.col("_mark"), "left_semi")
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

@@ -336,6 +336,34 @@ def dhash(spark, sf):
     return d.select(F.col("doc_id").alias("asset_id"), H.dhash64(W.letter_grid(F.col("text"), F.col("n_chars"), 72)).alias("p_hash"))
 
 
+RASTER = """
+sized AS (SELECT doc_id AS asset_id, hex(text) AS hx, strlen(text) AS n, CAST(floor(sqrt(strlen(text))) AS BIGINT) AS w FROM documents WHERE text <> ''),
+raster AS (SELECT asset_id, w, (n + w - 1) // w AS h, list_transform(range((n + w - 1) // w * w), lambda i:
+    CASE WHEN i < n THEN CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT) ELSE 0 END) AS g FROM sized),
+edges AS (SELECT *, least(2, w // 4, h // 4) AS m, list_transform(range(w * h), lambda i:
+    CASE WHEN i % w = 0 OR i % w = w - 1 OR i // w = 0 OR i // w = h - 1 THEN g[i + 1]
+    ELSE least(255, greatest(0, 8 * g[i + 1] - g[i] - g[i + 2] - g[i + 1 - w] - g[i - w] - g[i + 2 - w] - g[i + 1 + w] - g[i + w] - g[i + 2 + w])) END) AS e FROM raster),
+crops AS (SELECT *, list_transform(list_filter(range(w * h), lambda i: i % w >= m AND i % w < w - m AND i // w >= m AND i // w < h - m), lambda i: e[i + 1]) AS c FROM edges),
+stats AS (SELECT asset_id, list_sum(g) / len(g) / 255.0 AS b,
+    sqrt(CAST(len(e) * list_sum(list_transform(e, lambda x: x * x)) - list_sum(e) * list_sum(e) AS DOUBLE)) / len(e) AS s,
+    sqrt(CAST(len(c) * list_sum(list_transform(c, lambda x: x * x)) - list_sum(c) * list_sum(c) AS DOUBLE)) / len(c) AS i FROM crops)"""
+
+
+@query("pixel_metrics", f"""WITH {RASTER}
+SELECT doc_id AS asset_id, coalesce(round(b, 4), 0.5) AS brightness, coalesce(round(1 - b, 4), 0.5) AS darkness, coalesce(round(s, 4), 10.0) AS sharpness,
+    round(i, 4) AS edge_stddev_cropped, coalesce(round(least(100.0, greatest(0.0, 100.0 - s * 3.0)), 4), 50.0) AS blur_score
+FROM documents LEFT JOIN stats ON asset_id = doc_id""")
+def pixel_metrics(spark, sf):
+    """Every text's bytes as a grey raster, about as wide as high, its last row filled up with black."""
+    size = F.octet_length("text")
+    d = W.table(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").cast("binary").alias("data"),
+                                               F.greatest(F.lit(1), F.floor(F.sqrt(size))).cast("int").alias("width"), size.alias("size"))
+    d = d.withColumn("height", F.ceil(F.col("size") / F.col("width")).cast("int"))
+    black = F.lit(bytearray(1))
+    full = F.rpad("data", (F.col("width") * F.col("height")).cast("int"), black)
+    return Q.raster_metrics(d.select("asset_id", "width", "height", full.alias("data")))
+
+
 def _palette_sql() -> str:
     rows = ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(vocab.PALETTE))
     return f"SELECT * FROM (VALUES {rows}) t(place, name, pr, pg, pb)"

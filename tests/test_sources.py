@@ -183,3 +183,27 @@ def test_quality_follows_analysis(spark, tmp_path):
     step(df, 0)
     step(df, 0)  # a retried batch is not doubled
     assert spark.read.parquet(str(tmp_path / "r")).count() == spark.read.parquet(str(tmp_path / "q")).count() == 1
+
+
+def test_raster_metrics_equal_the_decoded_images(spark):
+    """Column expressions against the array code that decoded images go through."""
+    import numpy as np
+
+    from albumetry.operators.quality import raster_metrics
+    from albumetry.sources.pixels import pixel_row
+
+    rng = np.random.default_rng(4)
+    rows = [(k, w, h, bytes(rng.integers(0, 256, w * h, dtype=np.uint8).tolist()))
+            for k, (w, h) in enumerate([(1, 1), (1, 9), (9, 1), (2, 2), (3, 3), (4, 4), (7, 5), (8, 8), (31, 17)])]
+    rows += [(90, 6, 6, b"\x80" * 36), (91, 5, 8, bytes([255, 0] * 20)), (92, 0, 0, b""), (93, None, None, None)]
+    got = {r["asset_id"]: r for r in raster_metrics(spark.createDataFrame(rows, "asset_id int, width int, height int, data binary")).collect()}
+    for k, w, h, data in rows:
+        if not data:
+            assert tuple(got[k])[1:] == (0.5, 0.5, 10.0, None, 50.0)
+            continue
+        brightness, sharpness, cropped, *_ = pixel_row(w, h, 1, data)
+        assert abs(got[k]["brightness"] - brightness) < 6e-5 and abs(got[k]["sharpness"] - sharpness) < 6e-5
+        assert abs(got[k]["edge_stddev_cropped"] - cropped) < 6e-5
+        assert abs(got[k]["blur_score"] - min(100, max(0, 100 - 3 * sharpness))) < 2e-4
+    plan = raster_metrics(spark.createDataFrame(rows, "asset_id int, width int, height int, data binary"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
