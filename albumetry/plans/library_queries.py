@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from albumetry import vocab
@@ -13,9 +15,11 @@ from albumetry.operators import catalog as C
 from albumetry.operators import ingest as N
 from albumetry.operators import quality as Q
 from albumetry.operators import records as R
+from albumetry.operators.stored import StoredTable, purge_stored, reset_stored
 from albumetry.plans import views as W
 from albumetry.plans.registry import epoch, joined, query
 from albumetry.plans.sql import NOW, any_in, exact_round, grid, one_of, strip, texts, with_views
+from albumetry.session import scratch_dir
 from albumetry.sources.files import category_counts
 
 US = "epoch_us"
@@ -134,6 +138,32 @@ def empty_trash(spark, sf):
     return _left(C.empty_trash(_tables(spark, sf), W.assets(spark, sf)))
 
 
+def _stored(spark, tables, key="asset_id", buckets=32):
+    """The tables, stored in buckets."""
+    out = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    return {name: StoredTable(spark, f"{out}/{name}", key, buckets).create(t) for name, t in tables.items()}
+
+
+@query("stored_purge", _purged(f"is_deleted AND deleted_at <= {NOW} - INTERVAL 30 DAY"))
+def stored_purge(spark, sf):
+    """Expired rows leave every stored table, bucket by bucket."""
+    stored = _stored(spark, _tables(spark, sf))
+    purge_stored(stored, C.expired_trash(W.assets(spark, sf), W.at(W.NOW)))
+    return _left({name: t.read() for name, t in stored.items()})
+
+
+@query("stored_reset", with_views(f"""SELECT 'asset' AS name, asset_id, CASE WHEN asset_id IN {LOW} THEN 'UPLOADED' ELSE status END AS status FROM assets
+    UNION ALL SELECT 'quality', doc_id, NULL FROM labels WHERE doc_id NOT IN {LOW}
+    UNION ALL SELECT 'vectors', vec_id, NULL FROM embeddings WHERE vec_id NOT IN {LOW}""", "assets"))
+def stored_reset(spark, sf):
+    t = _tables(spark, sf)
+    stored = _stored(spark, {"asset": W.assets(spark, sf).select("asset_id", "status"), "quality": t["quality"], "vectors": t["vectors"]})
+    reset_stored(stored["asset"], {"quality": stored["quality"], "vectors": stored["vectors"]}, _low(spark, sf))
+    top = stored["asset"].read().select(F.lit("asset").alias("name"), "asset_id", "status")
+    rest = _left({name: stored[name].read() for name in ("quality", "vectors")})
+    return top.unionByName(rest.withColumn("status", F.lit(None).cast("string")))
+
+
 @query("expired_trash", with_views(f"""SELECT asset_id, {US}(deleted_at) AS deleted_at FROM assets
     WHERE is_deleted AND deleted_at <= {NOW} - INTERVAL 30 DAY""", "assets"))
 def expired_trash(spark, sf):
@@ -222,6 +252,24 @@ def mark_copies(spark, sf):
     return N.mark_copies(_batch(spark, sf), _known(spark, sf)).select("path", "file_hash", "existing_id", "outcome")
 
 
+@query("stream_ingest", with_views("""SELECT path, file_hash, CASE WHEN NOT is_valid THEN 'failed'
+        WHEN row_number() OVER (PARTITION BY file_hash, is_valid ORDER BY path) = 1 THEN 'new' ELSE 'skipped' END AS outcome FROM batch""", "assets", batch=BATCH))
+def stream_ingest(spark, sf):
+    """All documents as a stream of uploads into an empty catalog."""
+    from albumetry.streaming import jobs as J
+
+    cols, schema = W.asset_columns(), W.table(spark, sf, "documents").schema
+    # as a pattern: a stream's path must else be a folder
+    d = spark.readStream.schema(schema).parquet(f"{sf}/[d]ocuments.parquet")
+    d = d.select(*[cols[c].alias(c) for c in ("asset_id", "filename", "file_size")], F.sha2("text", 256).alias("file_hash"))
+    prints = d.select(
+        F.concat(F.lit("/in/"), F.lpad(F.col("asset_id").cast("string"), 12, "0"), F.lit("/"), "filename").alias("path"),
+        "filename", F.col("file_size").cast("long").alias("file_size"), "file_hash", (~F.col("filename").endswith(".mp4")).alias("is_valid"))
+    out = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    J.ingest_stream(prints, f"{out}/catalog", f"{out}/outcome", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/outcome").select("path", "file_hash", "outcome")
+
+
 @query("split_duplicates", _ingest("SELECT path, existing_id FROM marked WHERE existing_id IS NOT NULL"))
 def split_duplicates(spark, sf):
     return N.conflicts(N.mark_copies(_batch(spark, sf), _known(spark, sf))).select("path", "existing_id")
@@ -338,8 +386,8 @@ def dhash(spark, sf):
 
 RASTER = """
 sized AS (SELECT doc_id AS asset_id, hex(text) AS hx, strlen(text) AS n, CAST(floor(sqrt(strlen(text))) AS BIGINT) AS w FROM documents WHERE text <> ''),
-raster AS (SELECT asset_id, w, (n + w - 1) // w AS h, list_transform(range((n + w - 1) // w * w), lambda i:
-    CASE WHEN i < n THEN CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT) ELSE 0 END) AS g FROM sized),
+raster AS (SELECT asset_id, w, (n + w - 1) // w AS h, list_resize(list_transform(regexp_extract_all(hx, '..'), lambda x: CAST('0x' || x AS BIGINT)),
+    (n + w - 1) // w * w, 0) AS g FROM sized),
 edges AS (SELECT *, least(2, w // 4, h // 4) AS m, list_transform(range(w * h), lambda i:
     CASE WHEN i % w = 0 OR i % w = w - 1 OR i // w = 0 OR i // w = h - 1 THEN g[i + 1]
     ELSE least(255, greatest(0, 8 * g[i + 1] - g[i] - g[i + 2] - g[i + 1 - w] - g[i - w] - g[i + 2 - w] - g[i + 1 + w] - g[i + w] - g[i + 2 + w])) END) AS e FROM raster),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from albumetry import vocab
@@ -9,9 +11,11 @@ from albumetry.functions import intent as I
 from albumetry.functions import text as X
 from albumetry.operators import search as S
 from albumetry.operators import vectors as V
+from albumetry.operators.stored import StoredTable
 from albumetry.plans import views as W
 from albumetry.plans.registry import joined, query
 from albumetry.plans.sql import first_in, strip, tokens, with_views
+from albumetry.session import scratch_dir
 
 SCORE = "round(score, 6) AS score"
 
@@ -332,6 +336,39 @@ def collection_preview(spark, sf):
     return out.select("id", "confirmed", "similar", joined(F.col("covers").cast("array<string>")).alias("covers"))
 
 
+WHOLE = "array_to_string(list_transform({0}, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), '|') AS vector"
+
+
+def _whole(c):
+    """All elements of a vector, as millionths."""
+    return joined(F.transform(c, lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string"))).alias("vector")
+
+
+def _stored_vectors(spark, sf):
+    rows = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("asset_id"), F.lit("m").alias("model_name"), "embedding", "label")
+    return StoredTable(spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}", buckets=32).create(rows)
+
+
+@query("stored_upsert", f"""
+WITH fresh AS (SELECT doc_id FROM labels WHERE quality = 1)
+SELECT vec_id AS asset_id, label, {WHOLE.format("CASE WHEN f.doc_id IS NULL THEN embedding ELSE list_reverse(embedding) END")}
+FROM embeddings LEFT JOIN fresh f ON f.doc_id = vec_id""")
+def stored_upsert(spark, sf):
+    """Vectors of well labelled assets are replaced in their buckets by their reversed form."""
+    table = _stored_vectors(spark, sf)
+    good = W.table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("asset_id"))
+    table.upsert(table.read().join(good, "asset_id", "left_semi").withColumn("embedding", F.reverse("embedding")), ["asset_id", "model_name"])
+    return table.read().select("asset_id", "label", _whole(F.col("embedding")))
+
+
+@query("stored_delete", f"""SELECT vec_id AS asset_id, label, {WHOLE.format("embedding")} FROM embeddings
+WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def stored_delete(spark, sf):
+    table = _stored_vectors(spark, sf)
+    table.delete(W.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("asset_id")), F.col("model_name") == "m")
+    return table.read().select("asset_id", "label", _whole(F.col("embedding")))
+
+
 @query("upsert_vectors", """
 WITH fresh AS (SELECT doc_id FROM labels WHERE quality = 1)
 SELECT vec_id AS asset_id, CASE WHEN f.doc_id IS NULL THEN 'clip-A.1' ELSE 'clip-A.1' END AS model_name,

@@ -28,37 +28,61 @@ def ingest_batch(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return N.mark_copies(N.fingerprint(files), catalog)
 
 
-def stream_ingest(spark: SparkSession, source: str, catalog_path: str, outcome_path: str, checkpoint: str,
+PREFIX = 2  # hex digits of the content hash that name a folder of the catalog
+
+
+def _prefix() -> Column:
+    return F.substring("file_hash", 1, PREFIX).alias("prefix")
+
+
+def known_hashes(spark: SparkSession, catalog_path: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """(file_hash, asset_id) of earlier batches, from the folders of the hashes of this one alone.
+
+    The list of folders has at most 16^PREFIX names; all others are neither listed nor read.
+    """
+    prefixes = [r["prefix"] for r in batch.filter("is_valid").select(_prefix()).distinct().collect()]
+    kind = "file_hash string, asset_id string, prefix string, batch long"
+    known = spark.read.schema(kind).option("ignoreMissingFiles", True).parquet(catalog_path)
+    return known.filter(F.col("prefix").isin(prefixes) & (F.col("batch") != batch_id)).select("file_hash", "asset_id")
+
+
+def ingest_stream(prints: DataFrame, catalog_path: str, outcome_path: str, checkpoint: str,
                   after: Callable[[DataFrame, int], None] | None = None, **trigger):
-    """New files → validated, hashed, deduplicated → catalog.
+    """A stream of fingerprints (path, filename, file_size, file_hash, is_valid) → deduplicated → catalog.
 
-    Each micro-batch overwrites its own folder, named by batch id, so a retried
-    batch is written once. ``after`` receives the new assets (for instance for
-    analysis and then quality).
+    The catalog lies in folders by the first digits of the hash and, within, by batch. A micro-batch writes its fingerprints
+    once, looks its hashes up in the folders they belong to, and overwrites its own folders, so a batch that is
+    retried is written once. ``after`` receives the new assets (for instance for analysis and then quality).
     """
     from albumetry.session import written
 
-    empty = N.register_assets(
-        spark.createDataFrame([], "path string, filename string, file_size long, file_hash string, outcome string")
-    ).schema
+    spark = prints.sparkSession
 
-    def write(files: DataFrame, batch_id: int) -> None:
-        known = spark.read.schema(empty).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).parquet(catalog_path)
-        earlier = known.filter(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        marked = written(ingest_batch(files, earlier))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = written(batch)
+        marked = written(N.mark_copies(batch, known_hashes(spark, catalog_path, batch, batch_id)))
         marked.write.mode("overwrite").parquet(f"{outcome_path}/batch={batch_id}")
         fresh = written(N.register_assets(marked))
-        fresh.write.mode("overwrite").parquet(f"{catalog_path}/batch={batch_id}")
+        dealt = fresh.select("*", _prefix(), F.lit(batch_id).cast("long").alias("batch")).repartition("prefix")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "batch").parquet(catalog_path)
         if after is not None:
             after(fresh, batch_id)
 
-    spark.createDataFrame([], empty).write.mode("ignore").parquet(f"{catalog_path}/batch=start")
+    # a catalog without a row, so that the first batch has something to look into
+    empty = spark.createDataFrame([], "asset_id string, file_hash string, prefix string, batch long")
+    empty.write.mode("ignore").partitionBy("prefix", "batch").parquet(catalog_path)
     return (
-        file_stream(spark, source).writeStream.foreachBatch(write)
+        prints.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def stream_ingest(spark: SparkSession, source: str, catalog_path: str, outcome_path: str, checkpoint: str,
+                  after: Callable[[DataFrame, int], None] | None = None, **trigger):
+    """New files → validated, hashed, deduplicated → catalog; see ``ingest_stream``."""
+    return ingest_stream(N.fingerprint(file_stream(spark, source)), catalog_path, outcome_path, checkpoint, after, **trigger)
+
+
 def stream_dedupe(rows: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
     """First row per content hash; with an event time the state is bounded."""
     if time is None:

@@ -98,6 +98,31 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert {r["outcome"]: r["count"] for r in outcomes} == {"new": 4, "skipped": 2, "failed": 1}
 
 
+def test_lookup_reads_the_folders_of_its_hashes_alone(spark, tmp_path):
+    """What a batch of one hash reads does not grow with a catalog of other hashes."""
+    import hashlib
+
+    path, outcome, source = str(tmp_path / "catalog"), str(tmp_path / "outcome"), str(tmp_path / "in")
+    kind = "path string, filename string, file_size long, file_hash string, is_valid boolean"
+
+    def hashed(n):
+        return hashlib.sha256(str(n).encode()).hexdigest()
+
+    for number, names in enumerate([range(120), range(120, 240), [7, 7, 1000]]):
+        rows = [(f"/{number}/{k}-{n}", f"{n}.jpg", 1, hashed(n), n != 5) for k, n in enumerate(names)]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        J.ingest_stream(spark.readStream.schema(kind).parquet(source), path, outcome, str(tmp_path / "chk")).awaitTermination()
+    one = spark.createDataFrame([(hashed(7), True)], "file_hash string, is_valid boolean")
+    read = J.known_hashes(spark, path, one, 99).select("file_hash", F.input_file_name().alias("f")).collect()
+    assert {r["f"].split("prefix=")[1][:2] for r in read} == {hashed(7)[:2]}
+    assert {r["file_hash"] for r in read} == {h for h in map(hashed, [*range(240), 1000]) if h[:2] == hashed(7)[:2]}
+    last = spark.read.parquet(f"{outcome}/batch=2").collect()
+    assert sorted((r["path"], r["outcome"]) for r in last) == [("/2/0-7", "skipped"), ("/2/1-7", "skipped"), ("/2/2-1000", "new")]
+    first = spark.read.parquet(f"{outcome}/batch=0").collect()
+    assert {r["outcome"] for r in first if r["path"] == "/0/5-5"} == {"failed"}
+    assert spark.read.parquet(path).count() == 240  # 239 of the first two batches, one of the last
+
+
 EVENTS = [("a", 1, "UPLOADED", None), ("a", 2, "PROCESSING", None), ("a", 3, "READY", None), ("a", 4, "FAILED", "late"),
           ("b", 5, "PROCESSING", None), ("b", 6, "FAILED", "x" * 3000), ("c", 7, "READY", None), ("c", 8, "UPLOADED", None), ("c", 9, "PROCESSING", None)]
 SCHEMA = "asset_id string, seq long, state string, error string"
