@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumetry import vocab
+from albumetry.operators.scale import page_of
 
 
 def active(assets: DataFrame) -> DataFrame:
@@ -23,9 +24,10 @@ def hydrate(assets: DataFrame, metadata: DataFrame | None = None, records: DataF
 
 
 def list_active(assets: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Active assets, newest first."""
-    out = active(assets).orderBy(F.col("created_at").desc(), "asset_id").offset(offset)
-    return out if limit is None else out.limit(limit)
+    """Active assets, newest first; of a page (``limit``) only the slice that holds it is sorted."""
+    if limit is None:
+        return active(assets).orderBy(F.col("created_at").desc(), "asset_id").offset(offset)
+    return page_of(active(assets), -F.unix_micros("created_at"), [F.col("asset_id")], offset, limit)
 
 
 GALLERY_ORDERS: dict[str, list] = {

@@ -67,6 +67,38 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
+SLICE = 100_000  # rows that a page is cut from by a sort
+STEPS = 4096  # parts of the key's range counted at a time: as many rows on the driver
+
+
+def page_of(df: DataFrame, key: Column, ties: list[Column], offset: int, limit: int, slice_rows: int = SLICE) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order of a whole-number key and ``ties``; null keys come last.
+
+    The whole is never sorted: the key's range is counted in equal parts, those that the page lies in are counted again in finer
+    ones, until about ``slice_rows`` rows or a single key are left; only these are sorted. The number of passes grows with
+    the logarithm of the range. Each pass reads the key alone.
+    """
+    rows = df.withColumn("_key", F.coalesce(key.cast("long"), F.lit(1 << 62)))
+    first = rows.agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"), F.count("*").alias("n")).first()
+    low, high, n, before = first["lo"] or 0, first["hi"] or 0, first["n"], 0
+    while n > max(slice_rows, limit) and low < high and before + n > offset:
+        width = (high - low) // STEPS + 1
+        inside = rows.filter(F.col("_key").between(low, high)).select(F.expr(f"(_key - {low}L) div {width}L").alias("part"))
+        counts = {r["part"]: r["count"] for r in inside.groupBy("part").count().collect()}  # at most STEPS rows
+        at, kept = before, []
+        for part in sorted(counts):
+            if at < offset + limit and at + counts[part] > offset:
+                kept.append((part, at))
+            at += counts[part]
+        (least, skipped), (most, _) = kept[0], kept[-1]
+        low, high, before = low + least * width, min(high, low + (most + 1) * width - 1), skipped
+        if n == (left := sum(counts[p] for p, _ in kept)) and len(kept) > 1:
+            break  # the page needs them all
+        n = left
+    slice_ = rows.filter(F.col("_key").between(low, high))
+    return slice_.orderBy("_key", *ties).offset(max(0, offset - before)).limit(limit).drop("_key")
+
+
 def keep_newest(df: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """One row per key; Spark cuts each map task to one row per key first."""
     from pyspark.sql import Window

@@ -543,3 +543,16 @@ def stream_asset_lifecycle(spark, sf):
 def stream_analysis_lifecycle(spark, sf):
     return _streamed(spark, sf, W.ANALYSIS_STATES, J.stream_analysis_lifecycle)
 
+
+@query("stream_dedupe", """SELECT DISTINCT user_id || '/' || event_type AS file_hash FROM events
+WHERE user_id || '/' || event_type NOT IN (SELECT user_id || '/' || event_type FROM events WHERE value > 99)""")
+def stream_dedupe(spark, sf):
+    """Events as a stream of uploads, named by user and type; those of high value stand for the catalog."""
+    name = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("file_hash")
+    schema = W.table(spark, sf, "events").schema
+    known = W.table(spark, sf, "events").filter("value > 99").select(name).distinct()
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet").select(name, F.col("ts").cast("timestamp").alias("ts"))
+    out = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    J.stream_dedupe(rows, "ts", "60 days", known).writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("file_hash")

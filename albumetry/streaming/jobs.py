@@ -83,11 +83,18 @@ def stream_ingest(spark: SparkSession, source: str, catalog_path: str, outcome_p
     return ingest_stream(N.fingerprint(file_stream(spark, source)), catalog_path, outcome_path, checkpoint, after, **trigger)
 
 
-def stream_dedupe(rows: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First row per content hash; with an event time the state is bounded."""
-    if time is None:
-        return rows.dropDuplicates(["file_hash"])
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["file_hash"])
+def stream_dedupe(rows: DataFrame, time: str | None = None, delay: str = "1 day", known: DataFrame | None = None) -> DataFrame:
+    """First row per content hash, of the hashes that the catalog ``known`` (file_hash) does not hold.
+
+    The catalog takes the place of old state: a hash is remembered until ``delay`` has passed, by the event time column, or by
+    the time of arrival where there is none, so the state holds the hashes of one delay and not of all time.
+    """
+    if known is not None:
+        rows = rows.join(known.select("file_hash"), "file_hash", "left_anti")
+    if time is not None:
+        return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["file_hash"])
+    timed = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return timed.dropDuplicatesWithinWatermark(["file_hash"]).drop("_arrived")
 
 
 # --- asset life cycle -------------------------------------------------------------------
@@ -226,12 +233,38 @@ def stream_analysis_lifecycle(events: DataFrame, ready: DataFrame | None = None,
     )
 
 
+STEPS = ("records", "quality")
+
+
 def analysis_then_quality(analyse: Callable[[DataFrame], DataFrame], assess: Callable[[DataFrame], DataFrame],
-                          record_path: str, quality_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step: quality follows analysis, whether that succeeded or not."""
+                          record_path: str, quality_path: str, commit_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch step: quality follows analysis, whether that succeeded or not.
+
+    Each of both writes of a batch is followed by a commit record (batch, step) below ``commit_path`` (where not given,
+    beside the records). A batch that is retried after a failure in between goes on after its last commit: what was analysed
+    is not analysed again, as a model may answer otherwise. ``committed`` reads whole batches alone.
+    """
+    commits = commit_path or f"{record_path.rstrip('/')}_commits"
 
     def step(assets: DataFrame, batch_id: int) -> None:
-        analyse(assets).write.mode("overwrite").parquet(f"{record_path}/batch={batch_id}")
-        assess(assets).write.mode("overwrite").parquet(f"{quality_path}/batch={batch_id}")
+        spark = assets.sparkSession
+        done = {r["step"] for r in _commits(spark, commits).filter(F.col("batch") == batch_id).collect()}  # two rows at most
+        for name, make, path in zip(STEPS, (analyse, assess), (record_path, quality_path)):
+            if name not in done:
+                make(assets).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+                record = spark.createDataFrame([(batch_id, name)], "number long, name string").coalesce(1)
+                record.write.mode("overwrite").parquet(f"{commits}/batch={batch_id}/step={name}")
 
     return step
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    spark.createDataFrame([], "number long, name string").write.mode("ignore").parquet(f"{path}/batch=-1/step=none")
+    rows = spark.read.schema("number long, name string, batch long, step string").parquet(path)
+    return rows.select("batch", "step").filter(F.col("step").isin(*STEPS)).distinct()
+
+
+def committed(spark: SparkSession, path: str, commit_path: str) -> DataFrame:
+    """Rows of the batches below ``path`` of which both steps are committed."""
+    whole = _commits(spark, commit_path).groupBy("batch").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(STEPS)).select("batch")
+    return spark.read.parquet(path).join(whole, "batch", "left_semi").drop("batch")

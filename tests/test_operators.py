@@ -246,3 +246,21 @@ def test_edit_pairs_over_blocks(spark):
     got = {r["bucket"]: r["pairs"] for r in U.edit_pair_distances(df, block=4).collect()}
     total = sum(k * (k - 1) // 2 for k in (40, 80))
     assert got == want and sum(got.values()) == total
+
+
+def test_deep_pages_equal_the_sort(spark):
+    """Pages of keys that are even, crowded in one place, all equal, or null, against the sorted whole."""
+    from albumetry.operators.scale import page_of
+
+    n = 3000
+    keys = {"even": lambda k: k * 7919 % 100_003, "crowded": lambda k: 5 if k % 3 else k * 10**12, "equal": lambda k: 1,
+            "null": lambda k: None if k % 2 else -k, "two": lambda k: k % 2 * (1 << 50)}
+    for name, key in keys.items():
+        rows = [(k, key(k)) for k in range(n)]
+        df = spark.createDataFrame(rows, "id long, key long").repartition(4)
+        order = [k for k, _ in sorted(rows, key=lambda r: (1 << 62 if r[1] is None else r[1], r[0]))]
+        for offset, limit in ((0, 10), (1490, 25), (2995, 10), (n, 5), (700, 2500)):
+            got = [r["id"] for r in page_of(df, F.col("key"), [F.col("id")], offset, limit, slice_rows=50).collect()]
+            assert got == order[offset: offset + limit], (name, offset)
+    empty = spark.createDataFrame([], "id long, key long")
+    assert page_of(empty, F.col("key"), [F.col("id")], 0, 5).count() == 0

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from albumetry.operators import ingest as N
@@ -181,6 +182,24 @@ def test_stream_dedupe(spark, tmp_path):
     assert sorted(r["file_hash"] for r in spark.table("once").collect()) == ["x", "y"]
 
 
+def test_dedupe_state_is_bounded(spark, tmp_path):
+    """Over many days of new hashes the state holds those of the last ones; catalog hashes never pass."""
+    src, kind = str(tmp_path / "days"), "file_hash string, ts timestamp"
+    known = spark.createDataFrame([("d0-3",), ("d4-1",)], "file_hash string")
+    start, counts = pd.Timestamp("2024-01-01"), []
+    for day in range(8):
+        rows = [(f"d{day}-{k % 50}", (start + pd.Timedelta(days=day, minutes=k)).to_pydatetime()) for k in range(100)]
+        rows += [(f"d{day - 1}-7", (start + pd.Timedelta(days=day)).to_pydatetime())] if day else []
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        out = J.stream_dedupe(spark.readStream.schema(kind).parquet(src), "ts", "1 day", known)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "chk")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        counts.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = [r["file_hash"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted({f"d{day}-{k}" for day in range(8) for k in range(50)} - {"d0-3", "d4-1"})
+    assert max(counts) <= 200  # not the 400 hashes of all days
+
+
 def test_providers(spark):
     @F.pandas_udf("response string, error string")
     def analyze(path: pd.Series, prompt: pd.Series) -> pd.DataFrame:
@@ -210,6 +229,29 @@ def test_quality_follows_analysis(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == spark.read.parquet(str(tmp_path / "q")).count() == 1
 
 
+def test_failure_between_both_writes(spark, tmp_path):
+    """A retried batch goes on after its last commit and gives each row once, whatever the model would answer then."""
+    record, quality, commits = (str(tmp_path / x) for x in ("r", "q", "c"))
+    answers, broken = iter(range(10)), [True]
+
+    def assess(d):
+        if broken:
+            broken.clear()
+            raise RuntimeError("lost")
+        return d.withColumn("q", F.lit(2))
+
+    step = J.analysis_then_quality(lambda d: d.withColumn("r", F.lit(next(answers))), assess, record, quality, commits)
+    first, second = (spark.createDataFrame([(x,)], "asset_id string") for x in "ab")
+    with pytest.raises(RuntimeError):
+        step(first, 0)
+    assert J.committed(spark, record, commits).count() == 0  # half a batch is not read
+    step(first, 0)
+    step(second, 1)
+    step(second, 1)
+    assert sorted(map(tuple, J.committed(spark, record, commits).collect())) == [("a", 0), ("b", 1)]
+    assert sorted(map(tuple, J.committed(spark, quality, commits).collect())) == [("a", 2), ("b", 2)]
+
+
 def test_raster_metrics_equal_the_decoded_images(spark):
     """Column expressions against the array code that decoded images go through."""
     import numpy as np
