@@ -1,8 +1,12 @@
 """HTML extraction by layout-aware rendering.
 
 A tolerant tree builder (implied end tags, void and raw-text elements, unclosed and misnested tags) gives the tree of a
-page; what its visibility rules hide is left out; the rest is laid out as text: blocks stand on lines of their own
-with blank lines where margins are, lists keep bullets, numbers and nesting, and table cells stand in aligned columns.
+page; what its visibility rules hide is left out, be they attributes or style sheets of the page; the rest is laid out as
+text: blocks stand on lines of their own with blank lines where margins are, lists keep bullets, numbers and nesting, and
+table cells stand in aligned columns, over several of them or several rows where they span these.
+
+Of style sheets, rules of display and visibility count whose selectors are an element, classes and ids, joined (``p.x#y``); of
+at-rules, the content of ``@media`` for all or for screens. Of equal properties the more important, more specific, later one wins.
 Pages are rendered where they lie, one at a time; nothing is shuffled.
 """
 
@@ -10,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from albumetry.llm.tables import text_batches
 
-DEEPEST = 400  # elements nested deeper become siblings, as in browsers
-TABLES = 8  # tables nested deeper are laid out as plain blocks
-WIDEST = 60  # longer cells do not widen their column
+DEEPEST = 512  # elements nested deeper become siblings, as in browsers
+MOST_COLUMNS = 1000  # that a cell may span, by the HTML standard
+WIDEST = 60  # lines of cells before the last one of a row are folded at spaces to this width
 
 # Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,7 +65,11 @@ ENDS = {
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s"'>][^\s>]*+|[^>])*+)>""")
 SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*+)))?""")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*+(display|visibility)\s*+:\s*+([a-zA-Z-]+)\s*+(!\s*+important)?", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+AT_RULE = re.compile(r"@([^{};]*)(?:;|\{((?:[^{}]*\{[^{}]*\})*[^{}]*)\})")
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -161,7 +170,7 @@ def tree(page: str) -> Element:
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             inside = page[at: stop.start()] if stop else page[at:]
-            if tag == "textarea" or tag == "xmp":
+            if tag in ("textarea", "xmp", "style"):
                 one.children.append(html.unescape(inside) if tag == "textarea" else inside)
             last = page.find(">", stop.end()) if stop else -1
             at = last + 1 if last >= 0 else end
@@ -176,7 +185,92 @@ def visible(e: Element) -> bool:
         return False
     if "hidden" in e.attrs or (e.tag == "input" and e.attrs.get("type", "").lower() == "hidden"):
         return False
-    return not UNSEEN.search(e.attrs.get("style", ""))
+    return True
+
+
+def _declared(text: str) -> dict[str, tuple[bool, str]]:
+    """Last value of display and visibility, and whether it is marked as important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARED.findall(text):
+        name = name.lower()
+        if important or not out.get(name, (False, ""))[0]:
+            out[name] = (bool(important), value.lower())
+    return out
+
+
+def _rules(sheets: list[str]) -> dict[str, list[tuple[tuple, str, frozenset, dict]]]:
+    """Rules of the style sheets by one name they ask for: (specificity and place, element, classes and ids, declarations)."""
+    out: dict[str, list] = {}
+    place = 0
+    for sheet in sheets:
+        sheet = AT_RULE.sub(lambda m: m[2] or "" if m[1].strip().lower() in ("media all", "media screen") else "", COMMENT.sub(" ", sheet))
+        for selectors, body in RULE.findall(sheet):
+            declared = _declared(body)
+            for selector in selectors.split(",") if declared else ():
+                found = SELECTOR.fullmatch(selector.strip())
+                if found and found[0]:
+                    place += 1
+                    names = frozenset(re.findall(r"[.#][\w-]+", found[2]))
+                    tag = (found[1] or "*").lower()
+                    ids = sum(n[0] == "#" for n in names)
+                    rank = (ids, len(names) - ids, tag != "*", place)
+                    out.setdefault(min(names) if names else tag, []).append((rank, tag, names, declared))
+    return out
+
+
+def _styled(root: Element) -> None:
+    """Applies the page's styles: what has no display is marked hidden; of what is not visible, its own text goes."""
+    sheets, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        if e.tag == "style":
+            sheets += [c for c in e.children if isinstance(c, str)]
+        todo += [c for c in reversed(e.children) if isinstance(c, Element)]
+    rules = _rules(sheets)
+    stack = [(root, True)]
+    while stack:
+        e, seen = stack.pop()
+        found = [((important, (1 << 30,)), name, value) for name, (important, value) in _declared(e.attrs.get("style", "")).items()]
+        if rules:
+            own = {f".{c}" for c in e.attrs.get("class", "").split()} | ({f"#{e.attrs['id']}"} if e.attrs.get("id") else set())
+            for key in (*own, e.tag, "*"):
+                found += [((important, rank), name, value) for rank, tag, names, declared in rules.get(key, ())
+                          if tag in ("*", e.tag) and names <= own for name, (important, value) in declared.items()]
+        won = {name: value for _, name, value in sorted(found, key=lambda f: f[0])}
+        if won.get("display") == "none":
+            e.attrs["hidden"] = ""
+        elif "display" in won and won["display"] != "inherit":
+            e.attrs.pop("hidden", None)  # an author's display beats the attribute
+        if won.get("visibility") in ("hidden", "collapse", "visible"):
+            seen = won["visibility"] == "visible"
+        if not seen:
+            e.children = [c for c in e.children if isinstance(c, Element)]
+            if e.tag == "input":
+                e.attrs["hidden"] = ""
+        stack += [(c, seen) for c in e.children if isinstance(c, Element)]
+
+
+def cells_of(text: str) -> int:
+    """Columns that a text takes up: two for wide letters, none for marks."""
+    if text.isascii():
+        return len(text)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in text)
+
+
+def folded(line: str, width: int = WIDEST) -> list[str]:
+    """A line cut at spaces to the width; a longer word stands alone. Leading spaces stay, also of what follows."""
+    if cells_of(line) <= width:
+        return [line]
+    indent = line[: len(line) - len(line.lstrip(" "))]
+    out, at, size = [], [], len(indent)
+    for word in line.split():
+        n = cells_of(word)
+        if at and size + 1 + n > width:
+            out.append(indent + " ".join(at))
+            at, size = [], len(indent)
+        size += n + (1 if at else 0)
+        at.append(word)
+    return [*out, indent + " ".join(at)]
 
 
 class Page:
@@ -267,26 +361,49 @@ def _table(out: Page, table: Element, depth: int) -> None:
     for e in other:
         _lay_out(out, [e], depth)
         out.end()
-    cells = [[(_rendered(c, depth), max(1, min(100, _number(c.attrs.get("colspan"), 1)))) for c in row] for row in rows]
+    # places of the cells: (first column, columns, lines); a cell over several rows keeps its columns in these
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    kept: dict[int, int] = {}  # column -> rows that it is still taken for
+    for r, row in enumerate(rows):
+        at, here, taken = 0, [], dict(kept)
+        for k, c in enumerate(row):
+            while taken.get(at, 0) > 0:
+                at += 1
+            span = max(1, min(MOST_COLUMNS, _number(c.attrs.get("colspan"), 1)))
+            down = _number(c.attrs.get("rowspan"), 1)
+            down = len(rows) - r if down == 0 else max(1, min(down, len(rows) - r))
+            lines = _rendered(c, depth)
+            here.append((at, span, lines if k == len(row) - 1 else [x for line in lines for x in folded(line)]))
+            if down > 1:
+                kept |= dict.fromkeys(range(at, at + span), down)
+            at += span
+        placed.append(here)
+        kept = {c: n - 1 for c, n in kept.items() if n > 1}
     width: dict[int, int] = {}
     for one in (True, False):  # cells of one column first; wider ones then widen their last column
-        for row in cells:
-            at = 0
-            for lines, span in row:
-                longest = max(map(len, lines), default=0)
-                if (span == 1) == one and longest <= WIDEST:
+        for row in placed:
+            for k, (at, span, lines) in enumerate(row):
+                if (span == 1) == one and k < len(row) - 1:
+                    longest = max((n for n in map(cells_of, lines) if n <= WIDEST), default=0)
                     room = sum(width.get(c, 0) for c in range(at, at + span - 1)) + 2 * (span - 1)
                     width[at + span - 1] = max(width.get(at + span - 1, 0), longest - room)
-                at += span
-    for row in cells:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
+    # the last cell of a row is not padded, so it widens its column only as far as short lines go
+    for row in placed:
+        if row and row[-1][1] == 1:
+            longest = max((n for n in map(cells_of, row[-1][2]) if n <= WIDEST), default=0)
+            width[row[-1][0]] = max(width.get(row[-1][0], 0), longest)
+    begin, total = [0], 0
+    for c in range(max((at + span for row in placed for at, span, _ in row), default=0)):
+        total += width.get(c, 0) + 2
+        begin.append(total)
+    for row in placed:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
                 piece = lines[k] if k < len(lines) else ""
-                room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                line += piece.ljust(room) + "  "
-                at += span
-            out.rows([line.rstrip()])
+                if piece:
+                    line += " " * (begin[at] - cells_of(line) if begin[at] > cells_of(line) else 2 if line else 0) + piece
+            out.rows([line])
 
 
 def _rendered(e: Element, depth: int) -> list[str]:
@@ -343,7 +460,7 @@ def _lay_out(out: Page, nodes: list, depth: int) -> None:
             out.rows([line.rstrip() for line in raw.split("\n")] if raw else [])
             out.end(True)
             continue
-        if tag == "table" and depth < TABLES:
+        if tag == "table":
             _table(out, e, depth + 1)
             out.end(True)
             continue
@@ -391,8 +508,9 @@ def _strings(e: Element) -> Iterator[str]:
 
 def render(page: str) -> str:
     """Visible text of a page, laid out; blank lines never come twice."""
-    out = Page()
-    _lay_out(out, tree(page.replace("\r\n", "\n").replace("\r", "\n")).children, 0)
+    out, root = Page(), tree(page.replace("\r\n", "\n").replace("\r", "\n"))
+    _styled(root)
+    _lay_out(out, root.children, 0)
     return out.result().replace("\xa0", " ")
 
 

@@ -69,3 +69,32 @@ def test_table_of_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
     assert sorted(map(tuple, extract(pages).collect()), key=repr) == [(1, "a"), (1, "a"), (2, None), (3, "")]
     assert extract(pages.filter("false")).count() == 0
+
+
+def test_cells_over_several_rows_and_columns():
+    assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert render("<table><tr><td>1<td rowspan=0>x<td>2<tr><td>33<td>4<tr><td>5<td>6</table>") == "1   x  2\n33     4\n5      6"
+    assert render("<table><tr><td colspan=2>wide one<td>z<tr><td>a<td>b<td>c</table>") == "wide one  z\na  b      c"
+    assert render("<table><tr><td rowspan=9>a<td>b</table>after") == "a  b\n\nafter"
+
+
+def test_style_sheets_and_visibility():
+    css = "<style>/* .d{display:none} */ .x{display:none} #i{visibility:hidden} p.y, em {display:none} @media print{.m{display:none}} @media screen{.s{display:none}}</style>"
+    assert render(css + "<p class='a x'>no<p class=y>no<div class=y>yes</div><em>no</em><p id=i>no <b style='visibility:visible'>seen</b></p>") == "yes\n\nseen"
+    assert render(css + "<p class=m>yes<p class=s>no<p class=d>shown") == "yes\n\nshown"
+    assert render("<p style='display:none;display:block'>yes</p><p style='display:block;display:none'>no</p>") == "yes"
+    assert render("<style>.x{display:none!important}</style><p class=x style='display:block'>no</p>on") == "on"
+    assert render("<style>#k{display:block}.x{display:none}</style><p class=x id=k>yes</p>") == "yes"
+    assert render("<style>p{display:none</style><p>broken rule") == "broken rule"
+    assert render("<p hidden style='display:block'>shown</p>") == "shown"
+
+
+def test_wide_letters_and_long_cells():
+    assert render("<table><tr><td>日本<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>") == "日本  x\nabcd  y\ne\u0301     z"
+    long = " ".join(["word"] * 30)
+    text = render(f"<table><tr><td>{long}<td>b<tr><td>a<td>{long}</table>")
+    lines = text.split("\n")
+    assert text.split().count("word") == 60 and lines[0].endswith("  b") and lines[-1] == "a".ljust(61) + long
+    deep = "<table><tr><td>" * 30 + "inside<td>beside" + "</table>" * 30
+    assert render(deep) == "inside  beside"
+    assert render("<div>" * 2000 + "deep") == "deep"
