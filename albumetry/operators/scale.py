@@ -34,16 +34,17 @@ def lookup_join(
     return salted_rows.join(salted_table, [key, "_salt"], how).drop("_salt")
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20, how: str = "left_semi") -> DataFrame:
     """``rows`` without most of those whose key is not among ``ids``; none that is among them goes.
 
     A filter by hash, to be followed by the exact join: the marks of the ids, at most 2^``bits`` rows whatever their
     number, go to the tasks that scan ``rows``, so that what cannot match is dropped where it is read and never shuffled.
+    With ``how="left_anti"``, the rows that are dropped so.
     """
     mark = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
     marks = ids.select(mark.alias("_mark")).distinct()
     # the mark is no column of the rows, so that the planner can move the filter below their own joins
-    return rows.join(F.broadcast(marks), mark == F.col("_mark"), "left_semi")
+    return rows.join(F.broadcast(marks), mark == F.col("_mark"), how)
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
