@@ -17,7 +17,7 @@ Every byte covered by a ``LENGTH``-byte string that also starts elsewhere is rem
 The same holds for texts taken as sequences of words (``unit="words"``): then lengths, places and windows count words, and
 a word stands for itself by the hash of its bytes.
 
-Identifiers are 64-bit hashes of runs. Texts are shuffled only where a fixed-size bitmap says that the document
+Identifiers are 64-bit hashes of runs. Texts are shuffled only where marks of fixed number say that the document
 takes part in step 4 or loses bytes.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql.types import BooleanType
 from albumetry.llm.shingles import mixed, prefix_hash, run_hash, word_bounds, word_codes
 from albumetry.llm.streams import bit_of, bitmap, passes, whole_groups
 from albumetry.llm.tables import kept_whole, text_batches, written
-from albumetry.operators.scale import ROWS_PER_TASK, lookup_join
+from albumetry.operators.scale import ROWS_PER_TASK, lookup_join, maybe_among
 
 LENGTH = 400
 GRAM = 100
@@ -156,9 +156,9 @@ def _suffix(cls="cls", pos="pos"):
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
     """(bucket rows, units around the anchor) of the wanted suffixes, one text fetch per document."""
     reach = length - gram
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id"))
     per_doc = wanted.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("key", "pos", "lo", "hi", "final", "many")).alias("_all"))
-    texts = _hit(_named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), bits).select("doc_id", F.col("_cls").alias("_c"), "text")
+    texts = maybe_among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id")
+    texts = _named(texts).select("doc_id", F.col("_cls").alias("_c"), "text")
     met = texts.join(per_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_c") == F.col("cls")))
     kind = "key long, cls long, doc_id long, pos int, lo int, hi int, final boolean, many boolean, before int, units binary"
 
@@ -179,16 +179,6 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, unit:
     return met.select("doc_id", "cls", "text", "_all").mapInPandas(fetch, kind)
 
 
-def _hit(rows: DataFrame, bits) -> DataFrame:
-    """Rows whose doc_id may be in the bitmap; only the bit numbers go to Python."""
-
-    @F.pandas_udf(BooleanType())
-    def hit(at: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, at.to_numpy()))
-
-    return rows.filter(hit(bit_of("doc_id")))
-
-
 def _joined(part: pd.DataFrame, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """(all units of the contexts, number of each)."""
     raw = part["units"].tolist()
@@ -410,15 +400,11 @@ def _touched(docs: DataFrame, length: int, gram: int, unit: str = BYTES) -> tupl
                    F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("cls") == F.col("_c")), "full")
     per = written(per.select(F.coalesce("doc_id", "_d").alias("_d"), F.coalesce("cls", "_c").alias("_c"), "_spans",
                              F.coalesce("_copy", F.lit(False)).alias("_copy")))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per, "_d"))
-
-    @F.pandas_udf(BooleanType())
-    def hit(at: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, at.to_numpy()))
-
-    named = _named(kept_whole(docs, "doc_id", "text")).withColumn("_hit", hit(bit_of(F.col("doc_id").cast("long"))))
-    met = named.filter("_hit").join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_cls") == F.col("_c")), "left")
-    return named.filter("not _hit"), met
+    # by the marks of the ids, in the JVM: no Python worker stands beside the one that cuts
+    named = _named(kept_whole(docs, "doc_id", "text")).withColumn("_id", F.col("doc_id").cast("long"))
+    ids = per.select(F.col("_d").alias("_id"))
+    met = maybe_among(named, ids, "_id").join(per, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_cls") == F.col("_c")), "left")
+    return maybe_among(named, ids, "_id", how="left_anti"), met
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

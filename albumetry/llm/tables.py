@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH = 2_000
+BATCH = 1_000
 
 
 def text_batches(df: DataFrame) -> DataFrame:
