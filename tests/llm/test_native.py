@@ -116,6 +116,27 @@ def test_shards(spark, bundles):
     assert sharding.shard(docs.filter("false")).count() == 0
 
 
+def test_placing_equals_a_plain_loop():
+    """Heaviest first, each to the shard where the dot product with what is left of its capacity is highest, the first of equal ones."""
+    import numpy as np
+
+    rng = random.Random(4)
+    for shards in (1, 3, 8):
+        loads = [[rng.randrange(1, 1000), rng.randrange(1, 300), rng.randrange(1, 9)] for _ in range(60)]
+        total = [sum(x) for x in zip(*loads)]
+        share = [[a / b for a, b in zip(x, total)] for x in loads]
+        left = [[1 / shards] * 3 for _ in range(shards)]
+        want = [None] * len(loads)
+        for i in sorted(range(len(loads)), key=lambda i: (-sum(share[i]), i)):
+            dots = [sum(a * b for a, b in zip(c, share[i])) for c in left]
+            best = max(range(shards), key=lambda k: (round(dots[k], 12), -k))
+            want[i] = best
+            left[best] = [a - b for a, b in zip(left[best], share[i])]
+        assert sharding.place_bundles(np.array(loads, dtype=float), shards).tolist() == want
+    assert sharding.place_bundles(np.zeros((0, 3)), 4).tolist() == []
+    assert sharding.place_bundles(np.zeros((5, 3)), 4).tolist() == [0] * 5
+
+
 def test_shards_are_even_without_giants(spark):
     rows = [(k, text_of(k, 20 + k % 50)) for k in range(1500)] + [(5000 + k, "hot text " * 30) for k in range(750)]
     load = Counter()
