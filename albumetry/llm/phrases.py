@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumetry.llm.pretokens import gathered
-from albumetry.llm.shingles import mixed, powers, prefix_hash, run_hash
+from albumetry.llm.shingles import mixed, powers, word_hashes
 from albumetry.llm.tables import text_batches, written
 from albumetry.operators.scale import lookup_join
 
@@ -80,7 +80,7 @@ class Words:
         word = kind == 0
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         start, end = (np.append(0, edge) if word[0] else edge).reshape(-1, 2).T  # the last byte is in no word
-        self.hashes = run_hash(prefix_hash(data), start, end)
+        self.hashes = word_hashes(data, start, end)
         self.piece = np.cumsum(kind == 2)[start]
         sizes = np.array([len(t) + 1 for t in texts])
         self.lang = langs[np.searchsorted(np.cumsum(sizes), start, side="right")]
@@ -126,7 +126,7 @@ def let_in(words: Words, lang_seeds: np.ndarray, before: np.ndarray | None, bits
             now[at] = has(bits, key)
             if before is not None:
                 old = np.zeros(n, dtype=bool)
-                old[at] = has(before, key)
+                old[at] = has(before, key) if new is None else has(before, key) & ~new  # a shared bit counted nothing
                 was = old
             inside = now
     return tuple(np.concatenate(x) for x in zip(*[(a, np.full(len(a), k), key) for a, key, k in found]))

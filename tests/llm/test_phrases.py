@@ -113,3 +113,32 @@ def test_score_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert phrases.collocations(documents(spark, [(1, "a")]).filter("false")).count() == 0
+
+
+def test_long_words_of_equal_sums(spark):
+    """Thue-Morse words: their sums of powers mod 2^64 are equal."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(k, f"{one} {two} yy", "en") for k in range(40)] + [(k, f"{one} zz", "en") for k in range(40, 75)]
+    assert found(phrases.collocations(documents(spark, rows))) == brute(rows)
+
+
+def test_shared_bit_is_not_taken_for_counted():
+    """A bit that another phrase set before does not say that the longer phrase was counted before."""
+    words, seeds = phrases.Words([b"a b c d"], np.array([0])), np.array([7], dtype=np.uint64)
+    everything = np.full(1 << 13, 255, dtype=np.uint8)
+    first, size, keys = phrases.let_in(words, seeds, None, everything, 4)
+    key = {(i, k): x for i, k, x in zip(first.tolist(), size.tolist(), keys)}
+
+    def bits(*phrase):
+        out = np.zeros(1 << 13, dtype=np.uint8)
+        for p in phrase:
+            at = int(key[p]) >> 48
+            out[at >> 3] |= 1 << (at & 7)
+        return out
+
+    before = bits((1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (1, 3), (0, 3))  # "a" and "a b" are not in, the bit of "a b c" is shared
+    first, size, _ = phrases.let_in(words, seeds, before, before | bits((0, 1), (0, 2)), 4)
+    assert {(0, 2), (0, 3), (0, 4)} == set(zip(first.tolist(), size.tolist()))
