@@ -46,8 +46,16 @@ def first_contained(c: Column, words: Iterable[str]) -> Column:
     return F.coalesce(*[F.when(c.contains(w), F.lit(w)) for w in words])
 
 
+# Letters whose upper case has several characters, and the single letter that stands for it, where there is one.
+_LONG = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+_LONG_UPPER = "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _LONG)
+
+
 def sentence_case(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1))
+    """First letter upper, as one letter: ß becomes ẞ, not SS."""
+    first = F.substring(c, 1, 1)
+    upper = F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(F.translate(first, _LONG, _LONG_UPPER))
+    return F.concat(upper, F.substring(c, 2, 2**31 - 1))
 
 
 def capitalise(c: Column) -> Column:

@@ -264,3 +264,9 @@ def test_deep_pages_equal_the_sort(spark):
             assert got == order[offset: offset + limit], (name, offset)
     empty = spark.createDataFrame([], "id long, key long")
     assert page_of(empty, F.col("key"), [F.col("id")], 0, 5).count() == 0
+
+
+def test_sentence_case_is_one_letter(spark):
+    """A letter whose upper case has several characters stays one letter, as in the SQL."""
+    got = [one(spark, X.sentence_case(F.lit(w))) for w in ("ßel", "été", "ŉa", "ﬁn", "ᾳx", "1a", "", "日a")]
+    assert got == ["ẞel", "Été", "ŉa", "ﬁn", "ᾼx", "1a", "", "日a"]
