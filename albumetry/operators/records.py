@@ -17,9 +17,20 @@ RECORD_FIELDS = [
 ]
 
 
+def _json(c: Column) -> Column:
+    """Text → variant if the whole of it is one JSON value, else null.
+
+    Spark's parser stops behind the first value and leaves the rest unread. So the text is parsed as the first of two values,
+    of which the second, its own digest, must come right behind it.
+    """
+    digest = F.sha2(c, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), digest, F.lit('"]')))
+    return let(both, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == digest, F.try_variant_get(v, "$[0]", "variant")))
+
+
 def _object(c: Column) -> Column:
     """Cleaned text → variant if it is a JSON object, else null."""
-    return F.when(c.startswith("{"), F.try_parse_json(c))
+    return F.when(c.startswith("{"), _json(c))
 
 
 def parse_records(raw: DataFrame, text: str = "response") -> DataFrame:
@@ -31,7 +42,7 @@ def parse_records(raw: DataFrame, text: str = "response") -> DataFrame:
         "parse_error",
         F.when(F.col("record").isNull(),
                F.when(empty, "Empty response received from provider.")
-               .when(F.try_parse_json("_clean").isNull(), "Failed to parse JSON response")
+               .when(_json(F.col("_clean")).isNull(), "Failed to parse JSON response")
                .otherwise("Provider response parsed to non-object JSON structure.")),
     ).drop("_clean")
 

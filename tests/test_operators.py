@@ -270,3 +270,15 @@ def test_sentence_case_is_one_letter(spark):
     """A letter whose upper case has several characters stays one letter, as in the SQL."""
     got = [one(spark, X.sentence_case(F.lit(w))) for w in ("ßel", "été", "ŉa", "ﬁn", "ᾳx", "1a", "", "日a")]
     assert got == ["ẞel", "Été", "ŉa", "ﬁn", "ᾼx", "1a", "", "日a"]
+
+
+def test_whole_text_must_be_json(spark):
+    """What follows the first value makes the answer unreadable."""
+    texts = ["4305024215708615 words follow", "12", '{"caption": "a"}', '{"caption": "a"} and more', '{"caption": "a"}]', "1] x", "1, 2",
+             '"open', "null", "[1, 2]", "true story", "", '{"a": [1, {"b": "]"}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "media_asset_id long, response string")
+    got = {r["media_asset_id"]: r["parse_error"] for r in R.parse_records(df).collect()}
+    bad, other = "Failed to parse JSON response", "Provider response parsed to non-object JSON structure."
+    assert [got[i] for i in range(len(texts))] == [bad, other, None, bad, bad, bad, bad, bad, other, other, bad,
+                                                   "Empty response received from provider.", None]
+    assert sorted(r["media_asset_id"] for r in R.normalise_records(df).collect()) == [2, 12]
