@@ -235,7 +235,7 @@ def group_funnel(items: DataFrame, details: DataFrame | None = None) -> DataFram
         "compared": _pairs_seen(all_rows), "matched": taken(exact), "accepted": taken(exact), "groups": group_count(exact),
     })
     rest = base.join(exact.select("id"), "id", "left_anti")
-    close = written(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details))
+    close = written(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details, P.NEAR_COLUMNS))
     near = written(G.leader_groups(close.filter(P.near_valid())))
     near_rows = ranked(rest, near)
     out = out.unionByName(_funnel_rows("near", {
@@ -244,7 +244,7 @@ def group_funnel(items: DataFrame, details: DataFrame | None = None) -> DataFram
     }))
     rest = rest.join(near.select("id"), "id", "left_anti")
     far = written(P.near_items(rest, vocab.SIMILAR_RADIUS))
-    judged = P.similar_verdict(R.with_details(far, details)).filter("is_similar")
+    judged = P.similar_verdict(R.with_details(far, details, P.SIMILAR_COLUMNS)).filter("is_similar")
     similar = written(G.leader_groups(judged))
     similar_rows = ranked(rest, similar)
     return out.unionByName(_funnel_rows("similar", {

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from albumetry import vocab
 from albumetry.functions import text as X
 from albumetry.functions.hashes import bit_distance, hash_bits
+from albumetry.functions.text import let
 from albumetry.session import written
 
 BUCKET_ROWS = 4096
@@ -196,31 +197,46 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
 
 
-def with_rule_words(records: DataFrame) -> DataFrame:
-    """Per record word lists used by the pair rules, computed once before pairing."""
+def _counted(words: Column) -> Column:
+    """Map of each word to its number of occurrences; by a sort, so that long texts cost little more than their words."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        sizes = lambda at: F.transform(at, lambda i, j: F.coalesce(F.get(at, j + 1), F.size(s)) - i)
+        return let(starts, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), sizes(at)))
+
+    none = F.create_map().cast("map<string,int>")
+    return F.when(F.size(words) == 0, none).otherwise(let(F.sort_array(words), runs))
+
+
+def with_rule_words(records: DataFrame, keep_metric_keys: bool = False) -> DataFrame:
+    """Per record word lists and counts used by the pair rules, computed once before pairing."""
     none = X.empty_words()
     objects = F.coalesce(F.col("objects"), none)
+    caption = X.meaningful_words(F.col("caption"))
+    keys = F.filter(F.coalesce(F.col("keyword_keys"), none), X.is_meaningful)
+    if not keep_metric_keys:
+        keys = F.filter(keys, lambda k: ~k.isin(vocab.METRIC_KEYS))
     return records.withColumns(
         {
             "near_objects": F.filter(F.transform(objects, _lowered), X.is_meaningful),
             "similar_objects": F.filter(objects, X.is_meaningful),
-            "caption_words": X.meaningful_words(F.col("caption")),
+            "caption_words": caption,
             "colour_words": F.transform(F.coalesce(F.col("dominant_colors"), none), _lowered),
-            "text_words": X.meaningful_words(F.col("detected_text")),
+            "word_counts": let(F.concat(caption, keys), _counted),
+            "text_counts": let(X.meaningful_words(F.col("detected_text")), _counted),
         }
     )
 
 
-RULE_COLUMNS = [
-    "width", "height", "scene", "near_objects", "similar_objects", "caption_words",
-    "colour_words", "text_words", "keyword_keys", "document_type", "people_count",
-    "event_type", "taken_at",
-]
+# what the rules read of each side of a pair, and no more: a pair carries it twice
+NEAR_COLUMNS = ["width", "height", "scene", "near_objects", "caption_words", "colour_words"]
+SIMILAR_COLUMNS = ["scene", "similar_objects", "word_counts", "text_counts", "document_type", "people_count", "event_type", "taken_at"]
 
 
 def attach_sides(pairs: DataFrame, details: DataFrame) -> DataFrame:
     """Adds a_* and b_* columns of both items; details has one row per id."""
-    cols = [c for c in RULE_COLUMNS if c in details.columns]
+    cols = [c for c in details.columns if c != "id"]
     left = details.select(F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = details.select(F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in cols])
     return pairs.join(left, "a_id").join(right, "b_id")
@@ -267,11 +283,17 @@ def rule_trace(pairs: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.when(near_valid(), "ACCEPTED").otherwise("REJECTED"))
 
 
-def _common(a: Column, b: Column) -> Column:
-    return F.filter(a, lambda w: F.array_contains(b, w))
+def _shared(a: Column, b: Column) -> Column:
+    """struct(common, words): occurrences in ``a`` of words that ``b`` has, and distinct words of both; from counted words.
+
+    Both maps are met by hash: a test of every word against every other grows with the square of the texts.
+    """
+    both = F.map_zip_with(a, b, lambda _, x, y: F.when(y.isNotNull(), F.coalesce(x, F.lit(0))).otherwise(0))
+    summed = lambda counts: F.aggregate(counts, F.lit(0), lambda n, x: n + x)
+    return let(F.map_values(both), lambda v: F.struct(summed(v).alias("common"), F.size(v).alias("words")))
 
 
-def similar_verdict(pairs: DataFrame, keep_metric_keys: bool = False) -> DataFrame:
+def similar_verdict(pairs: DataFrame) -> DataFrame:
     """Adds consistency, confidence, reasons, explanation and is_similar."""
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     d = F.col("distance")
@@ -285,26 +307,21 @@ def similar_verdict(pairs: DataFrame, keep_metric_keys: bool = False) -> DataFra
 
     obj_a, obj_b = a("similar_objects"), b("similar_objects")
     obj_known = (F.size(obj_a) > 0) & (F.size(obj_b) > 0)
-    obj_common = F.get(_common(obj_a, obj_b), F.lit(0))
+    obj_common = F.get(F.array_intersect(obj_a, obj_b), F.lit(0))  # the first of a's that b has
     obj_score = F.when(~obj_known, 0.5).when(obj_common.isNotNull(), 1.0).otherwise(0.1)
 
     scenes = F.coalesce((a("scene") != "") & (b("scene") != ""), F.lit(False))
     scene_score = F.when(~scenes, 0.5).when(scene_ok, 1.0).otherwise(0.2)
 
-    def words(side) -> Column:
-        keys = F.filter(F.coalesce(side("keyword_keys"), none), X.is_meaningful)
-        if not keep_metric_keys:
-            keys = F.filter(keys, lambda k: ~k.isin(vocab.METRIC_KEYS))
-        return F.concat(side("caption_words"), keys)
-
-    def word_score(wa: Column, wb: Column) -> Column:
-        common = F.size(_common(wa, wb))
-        share = common / F.size(F.array_union(wa, wb))
-        return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.5).when(share >= 0.2, 1.0).when(common > 0, 0.7).otherwise(0.3)
+    def word_score(shared: Column) -> Column:
+        common = shared["common"]
+        return F.when(common / shared["words"] >= 0.2, 1.0).when(common > 0, 0.7).otherwise(0.3)
 
+    wa, wb = a("word_counts"), b("word_counts")
+    worded = F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.5).otherwise(let(_shared(wa, wb), word_score))
     same_doc = both_docs & (doc_a == doc_b)
-    text_a, text_b = a("text_words"), b("text_words")
-    text_hit = (F.size(text_b) > 0) & (F.size(_common(text_a, text_b)) >= 2)
+    text_a, text_b = a("text_counts"), b("text_counts")
+    text_hit = (F.size(text_a) > 0) & (F.size(text_b) > 0) & (_shared(text_a, text_b)["common"] >= 2)
     ocr_score = F.when(same_doc | F.col("_text_hit"), 1.0).otherwise(0.5)
 
     people_known = a("people_count").isNotNull() & b("people_count").isNotNull()
@@ -336,13 +353,12 @@ def similar_verdict(pairs: DataFrame, keep_metric_keys: bool = False) -> DataFra
     ).otherwise("Grouped based on visual similarity and metadata consistency.")
     return (
         pairs.filter(~doc_clash & scene_ok)
-        .withColumn("_wa", words(a)).withColumn("_wb", words(b))
-        .withColumn("_word_score", word_score(F.col("_wa"), F.col("_wb")))
+        .withColumn("_word_score", worded)
         .withColumn("_text_hit", text_hit)
         .withColumn("consistency", consistency)
         .withColumn("reasons", reasons)
         .withColumn("confidence", F.floor(0.5 * visual + 0.5 * F.col("consistency") + 0.5).cast("int"))
         .withColumn("explanation", explained)
         .withColumn("is_similar", (F.col("consistency") >= 40) & (F.size("reasons") > 0))
-        .drop("_wa", "_wb", "_word_score", "_text_hit")
+        .drop("_word_score", "_text_hit")
     )

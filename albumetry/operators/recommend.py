@@ -75,17 +75,17 @@ def exact_groups(items: DataFrame) -> DataFrame:
     return G.copy_groups(G.copy_items(items))
 
 
-def pair_details(items: DataFrame) -> DataFrame:
-    """Rule columns per item: id plus everything the pair rules read."""
-    worded = P.with_rule_words(items)
-    return worded.select(F.col("asset_id").alias("id"), *[c for c in P.RULE_COLUMNS if c in worded.columns])
+def pair_details(items: DataFrame, columns: list[str], keep_metric_keys: bool = False) -> DataFrame:
+    """Rule columns per item: id plus those of ``columns`` that there are."""
+    worded = P.with_rule_words(items, keep_metric_keys)
+    return worded.select(F.col("asset_id").alias("id"), *[c for c in columns if c in worded.columns])
 
 
-def with_details(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def with_details(pairs: DataFrame, items: DataFrame, columns: list[str], keep_metric_keys: bool = False) -> DataFrame:
     """Both sides' rule columns; words are split only for items that are in a pair."""
     pairs = written(pairs)
     paired = pairs.select(F.col("a_id").alias("asset_id")).unionByName(pairs.select(F.col("b_id").alias("asset_id"))).distinct()
-    details = written(pair_details(items.join(paired, "asset_id", "left_semi")))
+    details = written(pair_details(items.join(paired, "asset_id", "left_semi"), columns, keep_metric_keys))
     return P.attach_sides(pairs, details)
 
 
@@ -96,7 +96,7 @@ def near_pairs(items: DataFrame, exact: DataFrame, details: DataFrame | None = N
     """
     rest = G.copy_items(items).join(exact.select("id"), "id", "left_anti")
     found = P.near_items(rest, vocab.NEAR_RADIUS)
-    return with_details(found, items if details is None else details).filter(P.near_valid())
+    return with_details(found, items if details is None else details, P.NEAR_COLUMNS).filter(P.near_valid())
 
 
 def near_groups(items: DataFrame, exact: DataFrame, details: DataFrame | None = None) -> DataFrame:
@@ -109,7 +109,7 @@ def similar_pairs(items: DataFrame, exact: DataFrame, near: DataFrame, keep_metr
     taken = exact.select("id").unionByName(near.select("id"))
     rest = G.copy_items(items).join(taken, "id", "left_anti")
     found = P.near_items(rest, vocab.SIMILAR_RADIUS)
-    judged = P.similar_verdict(with_details(found, items if details is None else details), keep_metric_keys)
+    judged = P.similar_verdict(with_details(found, items if details is None else details, P.SIMILAR_COLUMNS, keep_metric_keys))
     return judged.filter("is_similar").select(
         "a_id", "a_ord", "b_id", "b_ord", "distance", "consistency", "confidence", "reasons", "explanation"
     )

@@ -166,7 +166,7 @@ def near_pairs(spark, sf):
 def rule_trace(spark, sf):
     items, details = _items(spark, sf)
     rest = G.copy_items(items).join(R.exact_groups(items).select("id"), "id", "left_anti")
-    out = P.rule_trace(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details))
+    out = P.rule_trace(R.with_details(P.near_items(rest, vocab.NEAR_RADIUS), details, P.NEAR_COLUMNS))
     return out.select("a_id", "b_id", *[f"{n}_rule" for n in RULES], "decision")
 
 
