@@ -102,7 +102,8 @@ def normalise_exif(tags: DataFrame) -> DataFrame:
         "exif": ["ExposureTime", "FNumber", "ISOSpeedRatings", "DateTimeOriginal"],
         "gps": ["GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef"],
     }
-    one = tags.groupBy("asset_id").agg(
+    # texts are aggregated by a sort: dealt out first, so that no task sorts all tags of the file it reads
+    one = tags.repartition("asset_id").groupBy("asset_id").agg(
         *[
             F.max(F.when((F.col("ifd") == ifd) & (F.col("tag") == t), F.col("value"))).alias(f"{ifd}_{t}")
             for ifd, names in wanted.items() for t in names

@@ -282,3 +282,12 @@ def test_whole_text_must_be_json(spark):
     assert [got[i] for i in range(len(texts))] == [bad, other, None, bad, bad, bad, bad, bad, other, other, bad,
                                                    "Empty response received from provider.", None]
     assert sorted(r["media_asset_id"] for r in R.normalise_records(df).collect()) == [2, 12]
+
+
+def test_tags_are_dealt_out_before_they_are_sorted(spark):
+    """No task sorts all the tags of the file it reads."""
+    rows = spark.createDataFrame([("a", "base", "Make", " x "), ("b", "other", "Unknown", "y")], "asset_id string, ifd string, tag string, value string")
+    out = N.normalise_exif(rows)
+    assert {r["asset_id"]: r["camera_make"] for r in out.collect()} == {"a": "x", "b": None}
+    executed = N.normalise_exif(rows)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1 and executed.rindex("SortAggregate") < executed.index("Exchange hashpartitioning")
