@@ -1,4 +1,8 @@
-"""Statistics of grey rasters as column expressions: no Python worker reads a pixel."""
+"""Statistics of grey rasters as column expressions: no Python worker reads a pixel.
+
+A raster is kept as packed numbers of eight bytes, and one row per pixel reads its neighbours from there. Spark compiles such rows
+into one loop; a lambda over an array is interpreted for each pixel and costs many times as much.
+"""
 
 from __future__ import annotations
 
@@ -8,40 +12,46 @@ from pyspark.sql import functions as F
 from albumetry.functions.text import let
 
 
-def grey_levels(data: Column) -> Column:
-    """Bytes of a binary column as an array of numbers 0 to 255."""
-    letters = F.split(F.decode(data, "ISO-8859-1"), "")  # a letter for each byte
-    return F.transform(F.filter(letters, lambda c: F.length(c) > 0), lambda c: F.ascii(c))
+STEP = 6  # bytes from one packed number to the next: each of them has both its neighbours in the number
+
+
+def packed(data: Column) -> Column:
+    """Bytes of a binary column as numbers of eight bytes, the first on top: number k holds bytes 6k - 1 to 6k + 6, zeros outside."""
+    numbers = F.ceil(F.octet_length(data) / STEP).cast("int")
+    zero = F.lit(bytearray(1))
+
+    def cut(full: Column) -> Column:
+        number = lambda k: F.conv(F.hex(F.substring(full, STEP * k + 1, F.lit(8))), 16, -10).cast("long")
+        return F.transform(F.sequence(F.lit(0), numbers - 1), number)
+
+    return let(F.rpad(F.concat(zero, data), (STEP * numbers + 2).cast("int"), zero), cut)
 
 
-def edge_levels(grey: Column, width: Column, height: Column) -> Column:
-    """3×3 edge filter (centre 8, neighbours -1) held in 0 to 255; the border stays as it is.
+def triple(numbers: Column, i: Column) -> Column:
+    """Byte ``i`` of packed numbers with its neighbours, as the three lowest bytes of a number; null far outside."""
+    k = F.floor(i / STEP).cast("int")
+    return F.call_function("shiftrightunsigned", F.get(numbers, k), 40 - 8 * (i - STEP * k))
 
-    The sum of a 3×3 box is that of three sums along the rows, so each pixel is added up six times and not nine.
-    """
 
-    def filtered(g: Column) -> Column:
-        along = F.transform(g, lambda x, i: F.coalesce(F.get(g, i - 1), F.lit(0)) + x + F.coalesce(F.get(g, i + 1), F.lit(0)))
+def _byte(three: Column, place: int) -> Column:
+    return F.shiftright(three, 8 * place).bitwiseAND(255).cast("int")
 
-        def boxed(h: Column) -> Column:
-            def pixel(x: Column, i: Column) -> Column:
-                at, row = F.pmod(i, width), F.floor(i / width)
-                border = (at == 0) | (at == width - 1) | (row == 0) | (row == height - 1)
-                box = F.get(h, (i - width).cast("int")) + F.get(h, i) + F.get(h, (i + width).cast("int"))
-                return F.when(border, x).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), 9 * x - box)))
 
-            return F.transform(g, pixel)
+def level(three: Column) -> Column:
+    """Byte in the middle, 0 to 255."""
+    return _byte(three, 1)
 
-        return let(along, boxed)
 
-    return let(grey, filtered)
+def edge_level(above: Column, here: Column, below: Column, at: Column, row: Column, width: Column, height: Column) -> Column:
+    """3×3 edge filter (centre 8, neighbours -1) held in 0 to 255, from the triples of three rows; the border stays as it is; null without a pixel."""
+    border = (at == 0) | (at == width - 1) | (row == 0) | (row == height - 1)
+    box = sum((_byte(three, place) for three in (above, here, below) for place in range(3)), F.lit(0))
+    return F.when(border, level(here)).when(~border, F.least(F.lit(255), F.greatest(F.lit(0), 9 * level(here) - box)))
 
 
-def sums(levels: Column) -> Column:
-    """Number, sum and sum of squares of an array of numbers."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    return F.aggregate(levels, zero, lambda a, x: F.struct(
-        (a["n"] + 1).alias("n"), (a["s"] + x).cast("long").alias("s"), (a["q"] + x * x).cast("long").alias("q")))
+def sums(x: Column) -> Column:
+    """Number, sum and sum of squares of a column of whole numbers, as an aggregate; nulls are left out."""
+    return F.struct(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
 
 
 def deviation(s: Column) -> Column:
@@ -49,8 +59,7 @@ def deviation(s: Column) -> Column:
     return F.sqrt((s["n"] * s["q"] - s["s"] * s["s"]).cast("double")) / s["n"]
 
 
-def inner_levels(levels: Column, width: Column, height: Column) -> Column:
-    """The raster without its outermost pixels: two, or fewer on small ones."""
-    m = F.least(F.lit(2), F.floor(width / 4), F.floor(height / 4))
-    return F.filter(levels, lambda x, i: (F.pmod(i, width) >= m) & (F.pmod(i, width) < width - m)
-                    & (F.floor(i / width) >= m) & (F.floor(i / width) < height - m))
+def inner(at: Column, row: Column, width: Column, height: Column) -> Column:
+    """Whether a pixel is left when the outermost ones go: two, or fewer on small rasters."""
+    m = F.least(F.lit(2), F.shiftright(width, 2), F.shiftright(height, 2))
+    return (at >= m) & (at < width - m) & (row >= m) & (row < height - m)

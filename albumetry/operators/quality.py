@@ -154,17 +154,27 @@ def quality_of(quality: DataFrame, ids: DataFrame) -> DataFrame:
 def raster_metrics(rasters: DataFrame) -> DataFrame:
     """Pixel metrics of grey rasters: asset_id, brightness, darkness, sharpness, edge_stddev_cropped, blur_score.
 
-    ``rasters``: asset_id, width, height, data (binary, row by row). Column expressions alone, one pass over each raster; an empty
-    or missing raster gets the defaults of an image that cannot be decoded.
+    ``rasters``: asset_id, width, height, data (binary, row by row). Column expressions alone: one row per pixel within a task, added
+    up per raster before the shuffle; an empty or missing raster gets the defaults of an image that cannot be decoded.
     """
     from albumetry.functions import raster as P
 
-    good = F.coalesce(F.octet_length("data") > 0, F.lit(False))
-    both = P.let(P.grey_levels(F.col("data")), lambda g: F.struct(
-        P.sums(g).alias("grey"),
-        P.let(P.edge_levels(g, F.col("width"), F.col("height")), lambda e: F.struct(
-            P.sums(e).alias("all"), P.sums(P.inner_levels(e, F.col("width"), F.col("height"))).alias("inner"))).alias("edges")))
-    out = rasters.select("asset_id", F.when(good, both).alias("p"))
+    i, at, row, numbers, width, height = (F.col(c) for c in ("_i", "_at", "_row", "_numbers", "width", "height"))
+    last = F.octet_length("data") - 1
+    good = F.coalesce(last >= 0, F.lit(False))
+    pixels = (
+        rasters.select("asset_id", F.monotonically_increasing_id().alias("_raster"), "width", "height",
+                       F.when(good, P.packed(F.col("data"))).alias("_numbers"), F.when(good, F.sequence(F.lit(0), last)).alias("_places"))
+        .select("asset_id", "_raster", "width", "height", "_numbers", F.explode_outer("_places").alias("_i"))
+        .withColumns({"_row": F.floor(i / width).cast("int"), "_above": P.triple(numbers, i - width), "_here": P.triple(numbers, i),
+                      "_below": P.triple(numbers, i + width)})
+        .withColumn("_at", i - row * width)
+        .select("asset_id", "_raster", P.level(F.col("_here")).alias("_grey"), P.inner(at, row, width, height).alias("_inner"),
+                P.edge_level(F.col("_above"), F.col("_here"), F.col("_below"), at, row, width, height).alias("_edge"))
+    )
+    out = pixels.groupBy("asset_id", "_raster").agg(F.struct(
+        P.sums(F.col("_grey")).alias("grey"),
+        F.struct(P.sums(F.col("_edge")).alias("all"), P.sums(F.when(F.col("_inner"), F.col("_edge"))).alias("inner")).alias("edges")).alias("p"))
     brightness = F.col("p.grey.s") / F.col("p.grey.n") / 255.0
     sharpness = P.deviation(F.col("p.edges.all"))
     return out.select(
