@@ -17,13 +17,26 @@ from albumetry.session import written
 
 CELL = 256  # vectors of a cell, on average, while there are pivots enough
 MOST_PIVOTS = 4096  # rows that the driver and every task hold, whatever the number of vectors
-BLOCK_VECTORS = 8192  # vectors and queries of one tile: 64 MB of scores
+BLOCK_VECTORS = 8192  # scores that a task holds at once stay below 64 MB
 BLOCK_QUERIES = 1024
+TILE_NUMBERS = 1 << 21  # of the vectors of one tile: 16 MB; a tile also takes up to 16 times BLOCK_QUERIES queries
+TILE_SLICES = 16
+EXACT_PAIRS = 1 << 16  # scored again in double precision at once
 SLACK = 1e-6  # of angles, for rounding
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.asarray(rows.tolist(), dtype=np.float64)
+def _kind(rows: DataFrame) -> str:
+    """Type of number in which the vectors of a table travel between tasks."""
+    return "float32" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"
+
+
+def _bytes(rows: pd.Series, kind: str) -> list[bytes]:
+    return [np.asarray(r, dtype=kind).tobytes() for r in rows]
+
+
+def _unit(rows: pd.Series, kind: str | None = None) -> np.ndarray:
+    """Unit vectors of arrays, or of bytes in numbers of a kind."""
+    m = np.asarray(rows.tolist(), dtype=np.float64) if kind is None else np.frombuffer(b"".join(rows), dtype=kind).astype(np.float64).reshape(len(rows), -1)
     size = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
@@ -56,19 +69,23 @@ def _slices(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
 
 
 class VectorIndex:
-    """Vectors in cells about pivots: ``placed`` (asset_id, embedding, cell, block) and what is known of the ``cells``.
+    """Vectors in cells about pivots: ``placed`` (asset_id, vector, cell, block) and what is known of the ``cells``.
+
+    A vector is kept as the bytes of its numbers.
 
     Pivots are a sample by hash, one per ``CELL`` vectors and at most ``MOST_PIVOTS``; every vector lies in the cell of the pivot
-    nearest to it. Cells are dealt into blocks of about ``BLOCK_VECTORS`` vectors, near ones together; a larger cell takes
-    several blocks.
+    nearest to it. Cells are dealt into blocks of about ``block`` vectors (``TILE_NUMBERS`` numbers, unless given), near ones together;
+    a larger cell takes several blocks.
     """
 
-    def __init__(self, vectors: DataFrame, cell: int = CELL, most_pivots: int = MOST_PIVOTS, block: int = BLOCK_VECTORS):
+    def __init__(self, vectors: DataFrame, cell: int = CELL, most_pivots: int = MOST_PIVOTS, block: int | None = None):
         vectors = vectors.select("asset_id", "embedding").filter("embedding is not null")
         spark = vectors.sparkSession
         n = max(1, min(most_pivots, -(-vectors.count() // cell)))
         drawn = vectors.orderBy(F.xxhash64("asset_id"), "asset_id").limit(n).toPandas()  # at most most_pivots rows
         pivots = _side_by_side(_unit(drawn["embedding"])) if len(drawn) else np.zeros((1, 1))
+        block = block or min(4 * BLOCK_VECTORS, max(CELL, TILE_NUMBERS // max(1, pivots.shape[1])))
+        self.kind = numbers = _kind(vectors)
         shared = spark.sparkContext.broadcast(pivots)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,10 +93,11 @@ class VectorIndex:
                 for part in _slices(batch, len(pivots)):
                     angles = _angles(_unit(part["embedding"]), shared.value)
                     cell = angles.argmin(axis=1)
-                    yield part.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(part)), cell])
+                    yield pd.DataFrame({"asset_id": part["asset_id"].to_numpy(), "vector": _bytes(part["embedding"], numbers),
+                                        "cell": cell.astype("int32"), "angle": angles[np.arange(len(part)), cell]})
 
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-        placed = written(vectors.mapInPandas(place, f"{kind}, cell int, angle double"))
+        name = vectors.schema["asset_id"].dataType.simpleString()
+        placed = written(vectors.mapInPandas(place, f"asset_id {name}, vector binary, cell int, angle double"))
         size, low, high = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
         for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
             size[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
@@ -95,7 +113,7 @@ class VectorIndex:
         self.cells = Cells(pivots, size, low, high, first, parts)
         where = spark.createDataFrame([(k, int(first[k]), int(parts[k])) for k in range(len(size))], "cell int, _first long, _parts long")
         deal = F.col("_first") + F.pmod(F.xxhash64("asset_id"), F.col("_parts"))
-        self.placed = placed.join(F.broadcast(where), "cell").select("asset_id", "embedding", "cell", deal.alias("block"))
+        self.placed = placed.join(F.broadcast(where), "cell").select("asset_id", "vector", "cell", deal.alias("block"))
 
 
 def _side_by_side(pivots: np.ndarray) -> np.ndarray:
@@ -117,21 +135,23 @@ def best_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _routed(queries: DataFrame, cells: Cells, home: bool) -> DataFrame:
-    """(query_id, embedding, least, block, pairs): the block of each query's nearest cell, or all others that it can reach.
+def _routed(queries: DataFrame, cells: Cells, numbers: str, home: bool) -> DataFrame:
+    """(query_id, vector, least, block, pairs): the block of each query's nearest cell, or all others that it can reach.
 
     ``pairs`` is the number of vectors to be scored there. Beyond home, queries come with ``least``, the score that a hit must
-    have, and ``block``, their home.
+    have, ``block``, their home, and ``vector``, the bytes of their numbers.
     """
     shared = queries.sparkSession.sparkContext.broadcast(cells)
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, embedding {queries.schema['embedding'].dataType.simpleString()}"
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vector binary"
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = shared.value
         share = cells.size / cells.parts
         for batch in batches if cells.size.any() else ():
             for part in _slices(batch, 4 * len(cells.size)):
-                angles = _angles(_unit(part["embedding"]), cells.pivots)
+                angles = _angles(_unit(part["embedding"]) if home else _unit(part["vector"], numbers), cells.pivots)
+                vector = np.empty(len(part), dtype=object)
+                vector[:] = _bytes(part["embedding"], numbers) if home else part["vector"].tolist()
                 if home:
                     nearest = np.where(cells.size > 0, angles, np.inf).argmin(axis=1)
                     row, block = np.arange(len(part)), cells.block[nearest]
@@ -149,16 +169,56 @@ def _routed(queries: DataFrame, cells: Cells, home: bool) -> DataFrame:
                     row, block = np.divmod(code, int(cells.block.max() + cells.parts.max()) + 1)
                     away = block != part["block"].to_numpy()[row]
                     row, block, pairs = row[away], block[away], pairs[away]
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "embedding": part["embedding"].to_numpy()[row],
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "vector": vector[row],
                                     "least": part["least"].to_numpy()[row], "block": block, "pairs": pairs})
 
     return queries.mapInPandas(route, f"{kind}, least double, block long, pairs double")
 
 
+def _nearest(asked: np.ndarray, held: np.ndarray, least: np.ndarray, near: tuple[np.ndarray, np.ndarray], k: int, rows: int, width: int) -> Iterator[tuple]:
+    """(query, vector, score) of the best k of each query: of scores of at least ``least``, ties to the first vector.
+
+    ``near`` tells by query and vector group which can be left out: a pair of arrays, groups by query and the group of each vector.
+    Scores are first taken in single precision, slice by slice; what can be among the best k by its rounding error is scored
+    again in double precision.
+    """
+    reached, group = near
+    slack = (asked.shape[1] + 8) * 2.0 ** -22
+    a, h = asked.astype(np.float32), held.astype(np.float32)
+    for at in range(0, len(asked), rows):
+        here = slice(at, at + rows)
+        columns = np.flatnonzero(reached[here].any(axis=0)[group])
+        exact, low = least[here] - 1e-9, least[here] - slack
+        best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for first in range(0, len(columns), width):
+            some = columns[first: first + width]
+            scores = a[here] @ h[some].T
+            parts = len(some) // 64
+            if parts >= k:  # k of the slice's parts hold a score as high
+                tops = scores[:, :64 * parts].reshape(-1, parts, 64).max(axis=2)
+                low = np.maximum(low, np.partition(tops, parts - k, axis=1)[:, parts - k] - 2 * slack)
+            row, column = np.nonzero(scores >= low[:, None])
+            if not len(row):
+                continue
+            column = some[column]
+            score = np.concatenate([np.round(np.einsum("ij,ij->i", asked[at + row[i: i + EXACT_PAIRS]], held[column[i: i + EXACT_PAIRS]]), 9)
+                                    for i in range(0, len(row), EXACT_PAIRS)])
+            good = score >= exact[row]
+            row, column, score = (np.concatenate([x, y[good]]) for x, y in zip(best, (row, column, score)))
+            order = np.lexsort((column, -score, row))
+            row, column, score = row[order], column[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            full = place == k - 1
+            low[row[full]] = np.maximum(low[row[full]], score[full] - slack)
+            best = row[place < k], column[place < k], score[place < k]
+        yield at + best[0], best[1], best[2]
+
+
 def _scored(routed: DataFrame, index: VectorIndex, k: int) -> DataFrame:
     """(query_id, asset_id, score): best k of each query in each block that it was sent to."""
     shared = routed.sparkSession.sparkContext.broadcast(index.cells)
-    asked = routed.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_split"))
+    numbers, rows, width = index.kind, max(1, BLOCK_QUERIES // 4), BLOCK_VECTORS // 2
+    asked = routed.groupBy("block").agg(F.ceil(F.count("*") / (TILE_SLICES * BLOCK_QUERIES)).cast("int").alias("_split"))
     left = routed.join(asked, "block").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_split")).cast("int"))
     right = index.placed.join(asked, "block").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_split") - 1)))
 
@@ -166,40 +226,32 @@ def _scored(routed: DataFrame, index: VectorIndex, k: int) -> DataFrame:
         cells = shared.value
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "asset_id": [], "score": []})
-        v = v.sort_values("asset_id", kind="stable")
-        asked, held, of = _unit(q["embedding"]), _unit(v["embedding"]), v["cell"].to_numpy()
+        v = v.sort_values("asset_id", kind="stable")  # columns are in order of asset_id
+        there, group = np.unique(v["cell"].to_numpy(), return_inverse=True)
+        one = Cells(*[getattr(cells, f.name)[there] for f in fields(Cells)])
+        asked, held = _unit(q["vector"], numbers), _unit(v["vector"], numbers)
+        angles = _angles(asked, one.pivots)
         reach = np.arccos(np.clip(q["least"].to_numpy() - 1e-9, -1.0, 1.0))
-        scores = np.full((len(q), len(v)), -np.inf)
-        for cell in np.unique(of):
-            one = Cells(*[getattr(cells, f.name)[cell: cell + 1] for f in fields(Cells)])
-            rows = np.flatnonzero(one.reached(_angles(asked, one.pivots), reach)[:, 0])
-            columns = np.flatnonzero(of == cell)
-            if len(rows):
-                scores[np.ix_(rows, columns)] = np.round(asked[rows] @ held[columns].T, 9)
-        least = q["least"].to_numpy()[:, None] - 1e-9
-        if scores.shape[1] > k:
-            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True))
-        row, column = np.nonzero((scores >= least) & (scores > -np.inf))
-        order = np.lexsort((column, -scores[row, column], row))  # columns are in order of asset_id
-        row, column = row[order], column[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, column = row[first], column[first]
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "asset_id": v["asset_id"].to_numpy()[column], "score": scores[row, column]})
-
-    return left.select("query_id", "embedding", "least", "block", "_part").groupBy("block", "_part").cogroup(
+        order = np.argsort(angles.argmin(axis=1), kind="stable")  # slices of queries near each other reach fewer cells
+        near = one.reached(angles[order], reach[order]), group
+        hits = list(_nearest(asked[order], held, q["least"].to_numpy()[order], near, k, rows, width))
+        row, column, score = (np.concatenate(x) for x in zip(*hits))
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[order[row]], "asset_id": v["asset_id"].to_numpy()[column], "score": score})
+
+    return left.select("query_id", "vector", "least", "block", "_part").groupBy("block", "_part").cogroup(
         right.groupBy("block", "_part")).applyInPandas(tile, _out_schema(routed, index.placed))
 
 
 def _searched(queries: DataFrame, index: VectorIndex, k: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(hits, routes of both rounds)."""
     asked = queries.select("query_id", "embedding").filter("embedding is not null").withColumns({"least": F.lit(float(least)), "block": F.lit(-1).cast("long")})
-    home = written(_routed(asked, index.cells, home=True))
+    home = written(_routed(asked, index.cells, index.kind, home=True))
     near = written(_scored(home, index, k))
     # the k-th score at home is one that a hit must have
     known = best_k(near, k).groupBy("query_id").agg(F.min("score").alias("_score"), F.count("*").alias("_n"))
     least_now = F.when(F.col("_n") == k, F.greatest("least", "_score")).otherwise(F.col("least"))
-    onward = home.join(known, "query_id", "left").withColumn("least", least_now).select("query_id", "embedding", "least", "block")
-    away = written(_routed(onward, index.cells, home=False))
+    onward = home.join(known, "query_id", "left").withColumn("least", least_now).select("query_id", "vector", "least", "block")
+    away = written(_routed(onward, index.cells, index.kind, home=False))
     return near.unionByName(_scored(away, index, k)), home.unionByName(away)
 
 

@@ -68,3 +68,18 @@ def test_empty_sides(spark):
 
 def test_tiles_are_bounded():
     assert V.BLOCK_QUERIES * V.BLOCK_VECTORS * 8 <= 64 << 20
+
+
+def test_vectors_travel_in_few_large_tiles(spark):
+    """A vector is sent once per 16,384 queries of a block, as the bytes of its numbers; copies and near ties come out exactly."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 64)).astype("float32")
+    rows = [(k, base[k % 40] + (1e-6 * (k % 3) if k % 2 else 0)) for k in range(3000)]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "asset_id long, embedding array<float>")
+    index = V.VectorIndex(v)
+    assert dict(index.placed.dtypes)["vector"] == "binary" and index.cells.parts.max() == 1 and index.cells.block.max() == 0
+    asked = v.filter("asset_id % 50 = 0").withColumnRenamed("asset_id", "query_id")
+    single = [(i, x.astype("float32").astype("float64")) for i, x in rows]
+    assert close(V.top_k_batch(asked, index, 7, 0.25), brute([r for r in single if r[0] % 50 == 0], single, 7, 0.25))
+    plan = V._searched(asked, index, 7, 0.25)[0]._jdf.queryExecution().toString()
+    assert f"/ {float(16 * V.BLOCK_QUERIES)}" in plan
