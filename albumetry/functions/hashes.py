@@ -13,7 +13,8 @@ VALID_HASH = "^[0-9a-fA-F]{16}$"
 
 def hash_bits(hex16: Column) -> Column:
     """16 hex digits → signed 64-bit integer; anything else → null."""
-    return F.when(hex16.rlike(VALID_HASH), F.conv(hex16, 16, -10).cast("long"))
+    # the hash may be a long computation: once per row, not once for the test and once for the number
+    return let(hex16, lambda h: F.when(h.rlike(VALID_HASH), F.conv(h, 16, -10).cast("long")))
 
 
 def bits_hex(bits: Column) -> Column:

@@ -23,6 +23,7 @@ from albumetry.session import written
 
 BUCKET_ROWS = 4096
 MOST_KEYS = 512
+ROW_PAIRS = 150  # pairs that can be checked in the time that one more keyed row takes to be dealt and sorted
 
 
 def _signed(mask: int) -> int:
@@ -38,18 +39,20 @@ def _split(bits: list[int], parts: int) -> list[int]:
 def band_plan(bits: list[int], radius: int, hashes: int) -> list[tuple[int, list[int]]]:
     """(mask, bands that must differ) per combination, for about ``hashes`` rows.
 
-    Takes the fewest bands whose keys are long enough to leave small buckets.
+    Takes the bands with the least work: a row per hash and key, and the pairs of a key's buckets. More bands make smaller
+    buckets but many times the keys, so buckets of some hundreds are cheaper than very small ones.
     """
-    wanted = math.log2(max(hashes, 2) / 64) if hashes > 64 else 1
-    best = None
+    best, least = None, math.inf
     for m in range(radius + 1, len(bits) + 1):
         agree = m - radius
-        if best is not None and math.comb(m, agree) > MOST_KEYS:
+        keys = math.comb(m, agree)
+        if best is not None and (keys > MOST_KEYS or keys >= least):
             break
         bands = _split(bits, m)
-        best = (bands, agree)
-        if sum(sorted(b.bit_count() for b in bands)[:agree]) >= wanted:
-            break
+        shortest = sum(sorted(b.bit_count() for b in bands)[:agree])
+        work = keys * (1 + hashes / 2 ** shortest / 2 / ROW_PAIRS)
+        if work < least:
+            best, least = (bands, agree), work
     if best is None:  # fewer bits than bands: one bucket, every pair is checked
         return [(0, [])]
     bands, agree = best
@@ -77,7 +80,8 @@ class _Paths:
             path = len(self.rows)
             self.fixed[path] = self.fixed[parent] | mask
             self.differ[path] = self.differ[parent] + differ
-            self.rows.append((path, parent, mask, [_signed(d) for d in self.differ[path]]))
+            # the key holds the parent's bits too: two crowded buckets of one path must not meet
+            self.rows.append((path, parent, self.fixed[path], [_signed(d) for d in self.differ[path]]))
 
     def table(self, first: int) -> DataFrame:
         rows = [(p, q, _signed(m), d) for p, q, m, d in self.rows[first:]]
@@ -106,10 +110,10 @@ def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows:
         splittable = [p for p in range(first, len(paths.rows)) if paths.fixed[p].bit_count() <= 64 - radius - 1
                       and 2 ** (64 - paths.fixed[p].bit_count()) > bucket_rows]
         crowded = crowded.filter(F.col("path").isin(splittable))
+        crowded = written(crowded)  # counted once
         # one row per band combination at most
         sizes = crowded.groupBy("path").agg(F.max("n").alias("n")).collect()
         if sizes:
-            crowded = written(crowded)
             # one row per crowded bucket: the planner splits the buckets' side where it is skewed
             marked = keyed.join(crowded.select("path", "slot", F.lit(True).alias("_hot")), ["path", "slot"], "left")
             cold = marked.filter("_hot is null").select("path", "slot", "code")

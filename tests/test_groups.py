@@ -189,3 +189,23 @@ def test_common_words_of_long_texts(spark):
     shared = pairs._shared(pairs._counted(F.col("a")), pairs._counted(F.col("b")))
     got = {r["i"]: tuple(r["s"]) for r in df.select("i", shared.alias("s")).collect()}
     assert got == want and time.time() - start < 60
+
+
+def test_two_crowded_buckets_of_one_path_stay_apart(spark):
+    """Pairs across two crowded buckets were found under their own path and once more below the crowded one."""
+    rng = random.Random(9)
+    tops = [0x0F << 56, 0x0E << 56]
+    codes = set()
+    for _ in range(60):
+        low = rng.getrandbits(56)
+        codes |= {top | low ^ (1 << rng.randrange(56)) for top in tops for _ in range(3)}
+    codes = sorted(codes)
+    df = spark.createDataFrame([(signed(c),) for c in codes], "code long")
+    got = [tuple(r) for r in pairs.hash_pairs(df, 8, bucket_rows=40).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(codes, 8)
+
+
+def test_bands_follow_the_work_of_rows_and_pairs():
+    """Very small buckets cost many times the keyed rows: three million codes go by 45 keys, not by 165."""
+    assert [len(pairs.band_plan(list(range(64)), 8, n)) for n in (50_000, 3_000_000)] == [9, 45]
