@@ -194,11 +194,10 @@ def test_common_words_of_long_texts(spark):
 def test_two_crowded_buckets_of_one_path_stay_apart(spark):
     """Pairs across two crowded buckets were found under their own path and once more below the crowded one."""
     rng = random.Random(9)
-    tops = [0x0F << 56, 0x0E << 56]
     codes = set()
     for _ in range(60):
-        low = rng.getrandbits(56)
-        codes |= {top | low ^ (1 << rng.randrange(56)) for top in tops for _ in range(3)}
+        high = rng.getrandbits(57)
+        codes |= {(high ^ 1 << rng.randrange(57)) << 7 | low for low in (0x2A, 0x2B) for _ in range(2)}  # two values of the first band
     codes = sorted(codes)
     df = spark.createDataFrame([(signed(c),) for c in codes], "code long")
     got = [tuple(r) for r in pairs.hash_pairs(df, 8, bucket_rows=40).collect()]
