@@ -92,3 +92,32 @@ def test_words_large_buckets_and_cut_texts(spark, monkeypatch, small, part):
     got = sorted(((r["doc_id"], " ".join((r["text"] or "").split())) for r in left.collect() if r["doc_id"] != 905), key=key)
     assert got == sorted(((d, " ".join(w)) for d, w, _ in words_left(rows, 40) if d != 905), key=key)
     assert any(n for _, _, n in words_left(rows, 40))
+
+
+def test_suffixes_of_one_crowded_bucket_are_dealt_out(spark, monkeypatch):
+    """The open suffixes of one q-gram reach many tasks, also where the planner splits nothing."""
+    from pyspark.sql import functions as F
+
+    common = text_of(5, 64)  # under 400 bytes, so that every window around it is one of its own document
+    rows = [(k, text_of(10_000 + k, 40, 10**9) + common + text_of(50_000 + k, 40, 10**9)) for k in range(6_000)]
+    seen, written = [], suffixes.written
+
+    def spied(df):
+        if {"final", "many"} <= set(df.columns) and "units" not in df.columns:
+            seen.append(sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+        return written(df)
+
+    monkeypatch.setattr(suffixes, "written", spied)
+    monkeypatch.setattr(suffixes, "SMALL", 1 << 20)  # the levels of large buckets are tested above
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        spans, copies = suffixes.repeated_spans(documents(spark, rows))
+        assert spans.count() == 0 and copies.count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    [sizes] = seen
+    assert sum(sizes) > 5_000 and sizes[-1] < sum(sizes) / 2
