@@ -121,3 +121,63 @@ def test_suffixes_of_one_crowded_bucket_are_dealt_out(spark, monkeypatch):
             spark.conf.set(k, v)
     [sizes] = seen
     assert sum(sizes) > 5_000 and sizes[-1] < sum(sizes) / 2
+
+
+def shuffled(spark, run):
+    """(most rows that a task reads, all rows) of every stage of ``run`` that reads a shuffle."""
+    jsc = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+    jsc.listenerBus().waitUntilEmpty()
+    store, none = jsc.statusStore(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        listed = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s for s in (listed.apply(k) for k in range(listed.size()))}
+
+    before = set(stages())
+    run()
+    jsc.listenerBus().waitUntilEmpty()
+    out = []
+    for (number, attempt), stage in stages().items():
+        if (number, attempt) in before or stage.shuffleReadRecords() == 0:
+            continue
+        tasks = store.taskList(number, attempt, 10_000)
+        rows = [tasks.apply(k).taskMetrics().get().shuffleReadMetrics().recordsRead() for k in range(tasks.size())]
+        out.append((max(rows), sum(rows)))
+    return out
+
+
+def shuffled_unplanned(spark, docs, **kw):
+    """``shuffled`` for the spans, where the planner splits and broadcasts nothing by itself; and the spans."""
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before, out = {k: spark.conf.get(k) for k in fixed}, []
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        sizes = shuffled(spark, lambda: out.extend(map(set, (map(tuple, df.collect()) for df in suffixes.repeated_spans(docs, **kw)))))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return sizes, *out
+
+
+def test_copies_of_one_text_are_dealt_out(spark):
+    rows = [(k, text_of(1, 120)) for k in range(8_000)] + [(10_000 + k, text_of(100 + k, 5, 10**9)) for k in range(500)]
+    sizes, spans, copies = shuffled_unplanned(spark, documents(spark, rows))
+    assert {d for d, _ in copies} == set(range(8_000))
+    large = [(most, total) for most, total in sizes if total > 8_000]
+    assert large and all(most < total / 2 for most, total in large)
+
+
+def test_cells_of_one_large_bucket_are_dealt_out(spark, monkeypatch):
+    """Suffixes that share a core, or whose text ends within the cell so that they have no extent, reach many tasks."""
+    monkeypatch.setattr(suffixes, "SMALL", 64)
+    common = text_of(5, 30) + " "
+    rows = [(k, f"{k:04d}" + common + text_of(10_000 + k, 9, 10**9)) for k in range(4_000)]
+    sizes, spans, copies = shuffled_unplanned(spark, documents(spark, rows), length=60, gram=20)
+    gone = {}
+    for doc, _, start, end in spans:
+        gone.setdefault(doc, set()).update(range(start, end))
+    assert not copies and len(gone) == 4_000 and all(set(range(4, 4 + len(common))) <= g for g in gone.values())
+    large = [(most, total) for most, total in sizes if total > 8_000]
+    assert large and all(most < total / 4 for most, total in large)
