@@ -59,6 +59,12 @@ def deviation(s: Column) -> Column:
     return F.sqrt((s["n"] * s["q"] - s["s"] * s["s"]).cast("double")) / s["n"]
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half up on the double ``x`` times 10^digits, as the SQL rounds; ``round`` alone goes by the shortest decimal form of ``x``, which
+    can end in a tie where the product does not, or the other way round."""
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def inner(at: Column, row: Column, width: Column, height: Column) -> Column:
     """Whether a pixel is left when the outermost ones go: two, or fewer on small rasters."""
     m = F.least(F.lit(2), F.shiftright(width, 2), F.shiftright(height, 2))

@@ -178,9 +178,9 @@ def raster_metrics(rasters: DataFrame) -> DataFrame:
     brightness = F.col("p.grey.s") / F.col("p.grey.n") / 255.0
     sharpness = P.deviation(F.col("p.edges.all"))
     return out.select(
-        "asset_id", F.coalesce(F.round(brightness, 4), F.lit(0.5)).alias("brightness"),
-        F.coalesce(F.round(1.0 - brightness, 4), F.lit(0.5)).alias("darkness"),
-        F.coalesce(F.round(sharpness, 4), F.lit(10.0)).alias("sharpness"),
-        F.round(P.deviation(F.col("p.edges.inner")), 4).alias("edge_stddev_cropped"),
-        F.coalesce(F.round(Q.blur_score(sharpness), 4), F.lit(50.0)).alias("blur_score"),
+        "asset_id", F.coalesce(P.rounded(brightness, 4), F.lit(0.5)).alias("brightness"),
+        F.coalesce(P.rounded(1.0 - brightness, 4), F.lit(0.5)).alias("darkness"),
+        F.coalesce(P.rounded(sharpness, 4), F.lit(10.0)).alias("sharpness"),
+        P.rounded(P.deviation(F.col("p.edges.inner")), 4).alias("edge_stddev_cropped"),
+        F.coalesce(P.rounded(Q.blur_score(sharpness), 4), F.lit(50.0)).alias("blur_score"),
     )

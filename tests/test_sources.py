@@ -293,3 +293,19 @@ def test_raster_pixels_are_rows_of_a_compiled_loop(spark):
     assert len(got) == 3 and all(abs(a - b) < 6e-5 for x, y in zip(got, want) for a, b in zip(x, y))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"\*\(\d+\) Generate explode", plan) and "aggregate(" not in plan and "filter(" not in plan
+
+
+def test_raster_metrics_round_as_the_sql(spark, tmp_path):
+    """Means that end in a tie in their shortest form go where the SQL's product with 10,000 lies, up or down."""
+    import __spark_entry__ as entry_points
+    from tests import compare
+
+    rows = []
+    for doc, total in enumerate([34578, 40086, 42534, 38000]):  # 960 pixels, 30 by 32
+        low, more = divmod(total, 960)
+        rows.append((doc, chr(low + 1) * more + chr(low) * (960 - more), 960))
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    part = next(p for p in os.listdir(tmp_path / "raw") if p.endswith(".parquet"))
+    os.rename(tmp_path / "raw" / part, tmp_path / "documents.parquet")
+    fn, sql = entry_points.queries()["pixel_metrics"], entry_points.oracle_sql()["pixel_metrics"]
+    assert compare.differences(spark, compare.connect(str(tmp_path)), "pixel_metrics", fn, sql, str(tmp_path)) is None
