@@ -4,14 +4,19 @@ Bits are cut into m bands. Two hashes within radius r agree on at least m - r
 of them, so they meet under some combination of m - r bands. A pair is kept
 only under the first combination it agrees on, so no distinct is needed. Keys
 that collect too many hashes are split again on their remaining bits by the
-same rule, until every bucket is small.
+same rule. Large buckets below that are dealt out block by block; a task gets
+whole blocks of codes, parts them by bands once more where that saves work, and
+compares them as arrays.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +26,15 @@ from albumetry.functions.hashes import bit_distance, hash_bits
 from albumetry.functions.text import let
 from albumetry.session import written
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 131_072  # buckets with more codes are split again
+BLOCK_ROWS = 32_768  # buckets with more codes are dealt out block by block
+TASK_ROWS = 65_536
+SLICE_PAIRS = 1 << 16  # pairs compared at once: they stay in the cache
+BATCH_PAIRS = 1 << 16
 MOST_KEYS = 512
 ROW_PAIRS = 150  # pairs that can be checked in the time that one more keyed row takes to be dealt and sorted
+DEALT_PAIRS = 4096  # the same where tasks part their buckets again
+SORTED_PAIRS, RUN_PAIRS = 50, 10_000  # the same for a code sorted and for a run begun within a task
 
 
 def _signed(mask: int) -> int:
@@ -36,7 +47,7 @@ def _split(bits: list[int], parts: int) -> list[int]:
     return [sum(1 << b for b in bits[lo:hi]) for lo, hi in itertools.pairwise(edges)]
 
 
-def band_plan(bits: list[int], radius: int, hashes: int) -> list[tuple[int, list[int]]]:
+def band_plan(bits: list[int], radius: int, hashes: int, row_pairs: int = ROW_PAIRS) -> list[tuple[int, list[int]]]:
     """(mask, bands that must differ) per combination, for about ``hashes`` rows.
 
     Takes the bands with the least work: a row per hash and key, and the pairs of a key's buckets. More bands make smaller
@@ -50,7 +61,7 @@ def band_plan(bits: list[int], radius: int, hashes: int) -> list[tuple[int, list
             break
         bands = _split(bits, m)
         shortest = sum(sorted(b.bit_count() for b in bands)[:agree])
-        work = keys * (1 + hashes / 2 ** shortest / 2 / ROW_PAIRS)
+        work = keys * (1 + hashes / 2 ** shortest / 2 / row_pairs)
         if work < least:
             best, least = (bands, agree), work
     if best is None:  # fewer bits than bands: one bucket, every pair is checked
@@ -76,7 +87,7 @@ class _Paths:
 
     def add(self, parent: int, radius: int, hashes: int) -> None:
         free = [b for b in range(64) if not self.fixed[parent] >> b & 1]
-        for mask, differ in band_plan(free, radius, hashes):
+        for mask, differ in band_plan(free, radius, hashes, DEALT_PAIRS):
             path = len(self.rows)
             self.fixed[path] = self.fixed[parent] | mask
             self.differ[path] = self.differ[parent] + differ
@@ -88,7 +99,7 @@ class _Paths:
         return self.spark.createDataFrame(rows, "path int, parent int, mask long, differ array<long>")
 
 
-def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs of distinct codes at distance 1..radius: (code_a < code_b, distance).
 
     ``hashes`` must hold distinct 64-bit codes. The result is a written table.
@@ -98,7 +109,7 @@ def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows:
     total = codes.count()
     paths = _Paths(spark)
     paths.add(-1, radius, total)
-    rows = codes.withColumn("parent", F.lit(-1))
+    rows, dealt = codes.withColumn("parent", F.lit(-1)), total * len(paths.rows)
     first, found = 0, []
     while True:
         table = paths.table(first)
@@ -106,47 +117,184 @@ def hash_pairs(hashes: DataFrame, radius: int, code: str = "code", bucket_rows:
         keyed = rows.join(F.broadcast(table.select("path", "parent", "mask")), "parent").select(
             "path", F.col("code").bitwiseAND(F.col("mask")).alias("slot"), "code"
         )
-        crowded = keyed.groupBy("path", "slot").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
         splittable = [p for p in range(first, len(paths.rows)) if paths.fixed[p].bit_count() <= 64 - radius - 1
                       and 2 ** (64 - paths.fixed[p].bit_count()) > bucket_rows]
-        crowded = crowded.filter(F.col("path").isin(splittable))
-        crowded = written(crowded)  # counted once
+        n, again = F.col("n"), F.col("path").isin(splittable) & (F.col("n") > bucket_rows)
+        crowded = keyed.groupBy("path", "slot").agg(F.count("*").alias("n")).filter(again | (n > block_rows))
+        crowded = written(crowded.select("path", "slot", "n", again.alias("again"), F.ceil(n / block_rows).cast("int").alias("blocks")))
         # one row per band combination at most
-        sizes = crowded.groupBy("path").agg(F.max("n").alias("n")).collect()
-        if sizes:
-            # one row per crowded bucket: the planner splits the buckets' side where it is skewed
-            marked = keyed.join(crowded.select("path", "slot", F.lit(True).alias("_hot")), ["path", "slot"], "left")
-            cold = marked.filter("_hot is null").select("path", "slot", "code")
-        else:
-            cold = keyed
-        found.append(written(_verified(cold, table, radius)))
+        sizes = crowded.groupBy("path").agg(
+            F.max(F.when(F.col("again"), n)).alias("n"), F.coalesce(F.sum(F.when(F.col("again"), n)), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(~F.col("again"), n * (F.col("blocks") - 1))), F.lit(0)).alias("copies")).collect()
+        # counted rows: at most one crowded bucket per that many keyed rows
+        marked = keyed.join(F.broadcast(crowded), ["path", "slot"], "left")
+        cold = marked.filter(~F.coalesce("again", F.lit(False))).select("path", "slot", "code", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        dealt += sum(r["copies"] - r["rows"] for r in sizes)
+        found.append(written(_verified(cold, {p: (m, d) for p, _, m, d in paths.rows[first:]}, radius, 1 + dealt // TASK_ROWS)))
+        sizes = [r for r in sizes if r["n"]]
         if not sizes:
             break
-        rows = written(marked.filter("_hot").select("code", F.col("path").alias("parent"), "slot"))
-        first = len(paths.rows)
+        rows = written(marked.filter("again").select("code", F.col("path").alias("parent"), "slot"))
+        first, dealt = len(paths.rows), 0
         for r in sizes:
+            before = len(paths.rows)
             paths.add(r["path"], radius, r["n"])
+            dealt += r["rows"] * (len(paths.rows) - before)
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _verified(keyed: DataFrame, table: DataFrame, radius: int) -> DataFrame:
-    a = keyed.select("path", "slot", F.col("code").alias("code_a"))
-    b = keyed.select("path", "slot", F.col("code").alias("code_b"))
-    apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    near = (
-        a.join(b, ["path", "slot"])
-        .filter((F.col("code_a") < F.col("code_b")) & (F.bit_count(apart) <= radius))
-        .select("path", "code_a", "code_b", F.bit_count(apart).alias("distance"))
-    )
-    first_only = F.forall("differ", lambda m: apart.bitwiseAND(m) != 0)
-    return (
-        near.join(F.broadcast(table.select("path", "differ")), "path")
-        .filter(first_only)
-        .select("code_a", "code_b", "distance")
-    )
+def _verified(keyed: DataFrame, paths: dict[int, tuple[int, list[int]]], radius: int, tasks: int) -> DataFrame:
+    """Pairs of a bucket, each block of it with each; blocks by the hash of the code. ``paths``: mask and masks that must differ."""
+    own = F.expr("cast(pmod(xxhash64(code), blocks) as int)")
+    met = keyed.select("path", "slot", "code", own.alias("own"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tile = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tagged = met.select((F.shiftleft(F.col("path").cast("long"), 40) + 4 * tile + side).alias("tag"), "slot", "code")
+    dealt = tagged.repartition(tasks, F.shiftright("tag", 2), "slot").select("tag", "code")
+    return dealt.mapInArrow(_compared(paths, radius), "code_a long, code_b long, distance int")
+
+
+def _compared(paths: dict[int, tuple[int, list[int]]], radius: int) -> Callable:
+    """Compares the codes of one task, bucket by bucket; a task has about ``TASK_ROWS`` rows, and its pairs leave in batches."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        tag, code = (c.to_numpy() for c in pa.Table.from_batches(batches).columns)
+        path, code = tag >> 40, code.view(np.uint64)
+        slot = code & np.array([paths.get(p, (0,))[0] for p in range(int(path.max()) + 1)], np.uint64)[path]
+        order = np.lexsort((tag, slot))
+        tag, slot, code = tag[order], slot[order], code[order]
+        edges = np.flatnonzero((slot[1:] != slot[:-1]) | (tag[1:] >> 2 != tag[:-1] >> 2)) + 1
+        near, out, ready = _Near(radius), [], 0
+        for lo, hi in itertools.pairwise([0, *edges.tolist(), len(code)]):
+            mask, differ = paths[int(tag[lo] >> 40)]
+            sides = tag[lo:hi] & 3
+            cut = lo + int(np.searchsorted(sides, 2))
+            found = near.search(code[lo:cut], None if sides[0] == 0 else code[cut:hi], mask, [m & (1 << 64) - 1 for m in differ])
+            for part in found:
+                out.append(part)
+                ready += len(part[0])
+                if ready >= BATCH_PAIRS:
+                    yield _batch(out)
+                    out, ready = [], 0
+        if out:
+            yield _batch(out)
+
+    return run
+
+
+def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+    arrays = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["code_a", "code_b", "distance"])
+
+
+class _Near:
+    """Pairs of arrays of distinct codes within a radius. ``right`` None: pairs within ``left``."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self._room(SLICE_PAIRS)
+
+    def _room(self, size: int) -> None:
+        size = -(-size // 8) * 8
+        self.apart, self.bits, self.near = np.empty(size, np.uint64), np.empty(size, np.uint8), np.zeros(size, bool)
+
+    def search(self, left: np.ndarray, right: np.ndarray | None, fixed: int, differ: list[int], part: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+        """``pairs``, without the codes that agree on a band that must differ, and by bands of the bits that are not ``fixed``,
+        where either is less work for these very codes."""
+        whole = len(left) * (len(left) - 1) // 2 if right is None else len(left) * len(right)
+        if whole > SORTED_PAIRS * RUN_PAIRS:
+            saved, mask, value = max((_agreeing(left, right, m) for m in differ), default=(0, 0, 0))
+            if saved > whole // 8:
+                same = left & np.uint64(mask) == value
+                more = [m for m in differ if m != mask]
+                if right is None:
+                    yield from self.search(left[same], left[~same], fixed, more, part)
+                else:
+                    equal = right & np.uint64(mask) == value
+                    yield from self.search(left[same], right[~equal], fixed, more, part)
+                    yield from self.search(left[~same], right[equal], fixed, more, part)
+                    right = right[~equal]
+                yield from self.search(left[~same], right, fixed, differ, part)
+                return
+            if part:
+                codes = len(left) + (0 if right is None else len(right))
+                plan = band_plan([b for b in range(64) if not fixed >> b & 1], self.radius, codes)
+                runs = [_runs(left, right, m) for m, _ in plan]
+                work = sum(RUN_PAIRS + (len(a) * len(a) // 2 if b is None else len(a) * len(b)) for r in runs for a, b in r)
+                if work + len(plan) * codes * SORTED_PAIRS < whole:
+                    for (_, more), r in zip(plan, runs, strict=True):
+                        for a, b in r:
+                            yield from self.search(a, b, fixed, differ + more, False)
+                    return
+        yield from self.pairs(left, right, differ)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray | None, differ: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Slice by slice: (one code, the other, distance) of the pairs that differ under every mask of ``differ``."""
+        at, masks = 0, [np.uint64(m) for m in differ]
+        while at < len(left):
+            others = left[at:] if right is None else right
+            if not len(others):
+                return
+            block = left[at : at + max(1, SLICE_PAIRS // len(others))]
+            at += len(block)
+            size = len(block) * len(others)
+            if size > len(self.apart):
+                self._room(size)
+            apart, whole = self.apart[:size], -(-size // 8) * 8
+            np.bitwise_xor(block[:, None], others[None, :], out=apart.reshape(len(block), len(others)))
+            np.bitwise_count(apart, out=self.bits[:size])
+            np.less_equal(self.bits[:size], self.radius, out=self.near[:size])
+            self.near[size:whole] = False
+            eights = np.flatnonzero(self.near[:whole].view(np.uint64))  # few, as a rule
+            if 16 * len(eights) > whole // 8:
+                hit = np.flatnonzero(self.near[:size])
+            else:
+                hit = (eights[:, None] * 8 + np.arange(8)).ravel()
+                hit = hit[self.near[hit]]
+            bits = apart[hit]
+            for mask in masks:  # kept under the first combination only
+                kept = (bits & mask) != 0
+                hit, bits = hit[kept], bits[kept]
+            one, other = np.divmod(hit, len(others))
+            if right is None:
+                kept = other > one
+                hit, one, other = hit[kept], one[kept], other[kept]
+            if len(hit):
+                yield block[one].view(np.int64), others[other].view(np.int64), self.bits[hit]
+
+
+def _agreeing(left: np.ndarray, right: np.ndarray | None, mask: int) -> tuple[int, int, int]:
+    """(pairs that agree under a mask on its most frequent value, the mask, the value)."""
+    values, counts = np.unique(left & np.uint64(mask), return_counts=True)
+    most = int(counts.argmax())
+    value, n = int(values[most]), int(counts[most])
+    other = n - 1 if right is None else 2 * int(np.count_nonzero(right & np.uint64(mask) == values[most]))
+    return n * other // 2, mask, value
+
+
+def _runs(left: np.ndarray, right: np.ndarray | None, mask: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Arrays of codes that agree under a mask and can hold a pair."""
+
+    def sort(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        slots = codes & np.uint64(mask)
+        order = np.argsort(slots)
+        slots = slots[order]
+        starts = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        return codes[order], slots[starts], [*starts.tolist(), len(codes)]
+
+    codes, slots, edges = sort(left)
+    if right is None:
+        return [(codes[a:b], None) for a, b in itertools.pairwise(edges) if b - a > 1]
+    others, theirs, ends = sort(right)
+    _, i, j = np.intersect1d(slots, theirs, assume_unique=True, return_indices=True)
+    return [(codes[edges[a] : edges[a + 1]], others[ends[b] : ends[b + 1]]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
 
 
 def near_items(items: DataFrame, radius: int, distinct: bool = False) -> DataFrame:

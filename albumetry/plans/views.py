@@ -46,21 +46,22 @@ def words(text: Column, low: int, high: int) -> Column:
 def letter_grid(text: Column, n: Column, cells: int = 64) -> Column:
     """Count of the letter e in equal slices of the whole text of n characters: a small raster.
 
-    The text is brought to four bytes a character once, so that a slice is found by its place and not by walking there.
+    Characters beyond ASCII are replaced by one byte each, so that a slice is found by its place and not by walking there.
     """
 
-    def slices(wide: Column) -> Column:
+    def slices(narrow: Column) -> Column:
         def cell(i: Column) -> Column:
             lo = F.floor(i * n / cells).cast("int")
             hi = F.floor((i + 1) * n / cells).cast("int")
             return let(
-                F.decode(F.substring(wide, 4 * lo + 1, 4 * (hi - lo)), "UTF-32"),
-                lambda part: (F.length(part) - F.length(F.replace(part, F.lit("e"), F.lit("")))).cast("double"),
+                F.substring(narrow, lo + 1, hi - lo).cast("string"),
+                lambda part: (F.octet_length(part) - F.octet_length(F.replace(part, F.lit("e"), F.lit("")))).cast("double"),
             )
 
         return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
 
-    return let(F.encode(text, "UTF-32"), slices)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return let(F.when(ascii_only, text).otherwise(F.regexp_replace(text, "[^\\x00-\\x7F]", "?")).cast("binary"), slices)
 
 
 def asset_columns() -> dict[str, Column]:

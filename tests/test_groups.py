@@ -208,3 +208,51 @@ def test_two_crowded_buckets_of_one_path_stay_apart(spark):
 def test_bands_follow_the_work_of_rows_and_pairs():
     """Very small buckets cost many times the keyed rows: three million codes go by 45 keys, not by 165."""
     assert [len(pairs.band_plan(list(range(64)), 8, n)) for n in (50_000, 3_000_000)] == [9, 45]
+
+
+def dense(rng, n):
+    """Most bits are zero in half of the codes, so that they agree on nearly every band."""
+    codes = {sum(1 << rng.randrange(64) for _ in range(rng.randrange(1, 7))) & (1 << 64) - 1 for _ in range(n)}
+    return sorted(codes | {rng.getrandbits(64) for _ in range(n // 4)} | {0, 1 << 63, (1 << 64) - 1})
+
+
+@pytest.mark.parametrize("bucket_rows,block_rows", [(4096, 40), (150, 60), (131_072, 32_768)])
+def test_large_buckets_are_dealt_out_in_blocks(spark, bucket_rows, block_rows):
+    codes = dense(random.Random(12), 500)
+    df = spark.createDataFrame([(signed(c),) for c in codes], "code long")
+    got = [tuple(r) for r in pairs.hash_pairs(df, 8, bucket_rows=bucket_rows, block_rows=block_rows).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(codes, 8)
+
+
+def test_three_million_codes_are_dealt_nine_times(spark):
+    """A row dealt by Spark costs far more than a pair compared in a task, which parts its buckets by more bands itself."""
+    paths = pairs._Paths(spark)
+    paths.add(-1, 8, 3_000_000)
+    assert len(paths.rows) == 9
+
+
+def test_tasks_compare_far_fewer_than_all_pairs(monkeypatch):
+    """Codes that agree where a pair must differ never meet, and sparse buckets are parted again; the pairs are those of one comparison."""
+    import numpy as np
+
+    monkeypatch.setattr(pairs, "RUN_PAIRS", 100)
+    monkeypatch.setattr(pairs, "SORTED_PAIRS", 1)
+    rng, low, compared = random.Random(5), 0xFF, []
+    codes = np.array(dense(rng, 1200), np.uint64)
+    spread = np.array(sorted(rng.getrandbits(64) for _ in range(1500)), np.uint64)
+    plain = pairs._Near.pairs
+    monkeypatch.setattr(pairs._Near, "pairs", lambda self, a, b, d: compared.append(len(a) ** 2 // 2 if b is None else len(a) * len(b)) or plain(self, a, b, d))
+
+    def found(parts):
+        listed = [tuple(sorted((int(x), int(y)))) for a, b, _ in parts for x, y in zip(a, b)]
+        assert len(listed) == len(set(listed))
+        return set(listed)
+
+    for left, right in [(codes, None), (codes[::2], codes[1::2]), (spread, None), (spread[:700], spread[700:])]:
+        differ = [low, low << 8] if 0 in left else []
+        compared.clear()
+        got = found(pairs._Near(8).search(left, right, 0, differ))
+        assert got == found(plain(pairs._Near(8), left, right, differ))
+        whole = len(left) ** 2 // 2 if right is None else len(left) * len(right)
+        assert sum(compared) < 0.7 * whole

@@ -291,3 +291,16 @@ def test_tags_are_dealt_out_before_they_are_sorted(spark):
     assert {r["asset_id"]: r["camera_make"] for r in out.collect()} == {"a": "x", "b": None}
     executed = N.normalise_exif(rows)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 1 and executed.rindex("SortAggregate") < executed.index("Exchange hashpartitioning")
+
+
+def test_letter_grid_of_texts_beyond_ascii(spark):
+    """Slices go by characters, whatever their bytes; no text is brought to four bytes a character."""
+    from albumetry.plans.views import letter_grid
+
+    texts = ["", "e", "née\U0001F600e" * 40, "eé" * 64 + "\u6565\u0165e\x00e", "plain e text, " * 31, "\U0001D556" * 70 + "e", "\x80\u07ff\uffffe" * 33]
+    df = spark.createDataFrame([(t, len(t)) for t in texts], "t string, n long")
+    out = df.select("t", letter_grid(F.col("t"), F.col("n")).alias("g"))
+    got = {r["t"]: r["g"] for r in out.collect()}
+    for t in texts:
+        assert got[t] == [t[i * len(t) // 64 : (i + 1) * len(t) // 64].count("e") for i in range(64)]
+    assert "UTF-32" not in out._jdf.queryExecution().toString()
