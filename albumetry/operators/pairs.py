@@ -249,8 +249,10 @@ class _Near:
                 self._room(size)
             apart, whole = self.apart[:size], -(-size // 8) * 8
             np.bitwise_xor(block[:, None], others[None, :], out=apart.reshape(len(block), len(others)))
-            np.bitwise_count(apart, out=self.bits[:size])
-            np.less_equal(self.bits[:size], self.radius, out=self.near[:size])
+            bits = np.bitwise_count(apart, out=self.bits[:size])
+            np.subtract(bits, 1, out=bits)  # a code and itself: 255
+            if not np.less(bits, self.radius, out=self.near[:size]).any():
+                continue
             self.near[size:whole] = False
             eights = np.flatnonzero(self.near[:whole].view(np.uint64))  # few, as a rule
             if 16 * len(eights) > whole // 8:
@@ -258,16 +260,20 @@ class _Near:
             else:
                 hit = (eights[:, None] * 8 + np.arange(8)).ravel()
                 hit = hit[self.near[hit]]
-            bits = apart[hit]
+            differing = apart[hit]
             for mask in masks:  # kept under the first combination only
-                kept = (bits & mask) != 0
-                hit, bits = hit[kept], bits[kept]
+                if not len(hit):
+                    break
+                kept = (differing & mask) != 0
+                hit, differing = hit[kept], differing[kept]
+            if not len(hit):
+                continue
             one, other = np.divmod(hit, len(others))
             if right is None:
                 kept = other > one
                 hit, one, other = hit[kept], one[kept], other[kept]
             if len(hit):
-                yield block[one].view(np.int64), others[other].view(np.int64), self.bits[hit]
+                yield block[one].view(np.int64), others[other].view(np.int64), bits[hit] + 1
 
 
 def _agreeing(left: np.ndarray, right: np.ndarray | None, mask: int) -> tuple[int, int, int]:
